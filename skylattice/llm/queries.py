@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from .chat_format import OP10_SQL, op10_chat_format
+from .decontaminate import OP3_SQL, op3_decontaminate
 from .token_counts import op1_token_counts
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_decontaminate": op3_decontaminate,
+    "op10_chat_format": op10_chat_format,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op10_chat_format": OP10_SQL}

@@ -19,6 +19,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -308,7 +309,7 @@ def compiled(path: str) -> dict:
     }
 
 
-_own: dict[int, Tokenizer] = {}  # of a worker, by broadcast
+_own: dict[str, Tokenizer] = {}  # of a worker, by call
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, context: int = 1024) -> DataFrame:
@@ -318,12 +319,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, context: int = 1024) -> D
     table gives an empty table; other columns are not read. The only broadcast is the tokenizer file's content.
     No shuffle: a text is one row, and long ones are worked on in pieces.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer_path))
+    spec, key = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer_path)), uuid.uuid4().hex
 
     def run(batches):
-        if (tok := _own.get(spec.id)) is None:
+        if (tok := _own.get(key)) is None:
             _own.clear()
-            tok = _own[spec.id] = Tokenizer(spec.value)
+            tok = _own[key] = Tokenizer(spec.value)
             gc.disable()  # nothing here makes cycles, and the collector would walk the state tables again and again
         for part in text_slices(batches):
             rows = part.column("text").to_pylist()
