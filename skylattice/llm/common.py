@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +47,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def text_slices(batches, max_bytes: int = 4 << 20):
     """Cut Arrow batches into runs of rows with about max_bytes of text each, so that memory does not follow the batch."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column("text")).to_pylist() if batch.num_rows else []
+        sizes = pc.binary_length(batch.column("text")).to_pylist() if batch.num_rows else []
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > max_bytes:

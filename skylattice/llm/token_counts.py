@@ -23,6 +23,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -329,8 +330,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, context: int = 1024) -> D
         for part in text_slices(batches):
             rows = part.column("text").to_pylist()
             n = pa.array(tok.count_texts(rows), pa.int64())
-            size = pa.compute.cast(pa.compute.binary_length(part.column("text")), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, n, pa.compute.greater(n, context)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            size = pc.cast(pc.binary_length(part.column("text")), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, n, pc.greater(n, context)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = texts(docs)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
