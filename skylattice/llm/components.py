@@ -1,0 +1,35 @@
+"""Connected components of an edge table, by repeated contraction to the smallest neighbour."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of edges (a, b): root is the same, and a node, within a component only.
+
+    In each round every node is renamed to its smallest neighbour (or itself), edges follow, and those within one
+    name vanish; rounds end when none is left. Nodes without an edge to another node are not returned. Only the number
+    of edges left comes to the driver; each round's tables are written to the shared folder.
+    """
+    spark = edges.sparkSession
+    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = written(spark, edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    names = None
+    while not edges.isEmpty():
+        to = written(spark, both(edges).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).select(F.col("a").alias("node"), "to"), "names")
+        if names is None:
+            names = to.select("node", F.col("to").alias("root"))
+        else:
+            step = to.select(F.col("node").alias("root"), "to")
+            names = names.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        names = written(spark, names, "roots")
+        left, right = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        moved = edges.join(left, "a").join(right, "b").filter("x <> y")
+        edges = written(spark, moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if names is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return names
