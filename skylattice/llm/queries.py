@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .quality_rules import OP2_SQL, op2_quality_rules
+from .simhash import op8_simhash_near_duplicates
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_decontaminate": OP3_SQL, "op10_chat_format": OP10_SQL}
