@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .license_scan import OP7_SQL, op7_license_scan
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash import op8_simhash_near_duplicates
 from .token_counts import op1_token_counts
@@ -12,8 +13,9 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op7_license_scan": op7_license_scan,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_decontaminate": OP3_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_decontaminate": OP3_SQL, "op7_license_scan": OP7_SQL, "op10_chat_format": OP10_SQL}
