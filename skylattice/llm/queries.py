@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe_codec import op5_bpe_codec
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .license_scan import OP7_SQL, op7_license_scan
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op5_bpe_codec": op5_bpe_codec,
     "op7_license_scan": op7_license_scan,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_line_dedup": op9_line_dedup,

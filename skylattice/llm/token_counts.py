@@ -181,16 +181,12 @@ class Known(dict):
         return n
 
 
-class Tokenizer:
-    """The compiled tokenizer; counts the tokens of texts. specials: literal strings that are one token each."""
+class Boundaries:
+    """The boundary transducer; finds the pre-tokens of many texts at once."""
 
-    def __init__(self, spec: dict, max_words: int = 1_000_000):
-        self.words = WordTransducer(spec["vocab"], spec["merges"])
-        self.classes = np.frombuffer(spec["classes"], np.uint8)
-        self.special = re.compile("|".join(map(re.escape, sorted(spec["specials"], key=len, reverse=True))) or r"(?!)")
+    def __init__(self, classes: bytes):
+        self.classes = np.frombuffer(classes, np.uint8)
         self.step, self.begins = boundary_tables()
-        self.known = Known(self.words)
-        self.max_words = max_words
 
     def symbols(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Input symbols; ends: places of the separators between texts."""
@@ -232,22 +228,36 @@ class Tokenizer:
             state = self.step.take(at)
         return np.ascontiguousarray(found.T).reshape(-1)[:n]
 
-    def counts(self, pieces: list[str]) -> list[int]:
-        """Tokens of each of these texts, none of which holds a special token."""
-        if not pieces:
-            return []
+    def words(self, pieces: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of all pieces, each piece's followed by one "\\0" that is not text, and the places of those."""
         whole = "\0".join(pieces) + "\0"
         ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
         sym = self.symbols(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), ends)
         at = np.flatnonzero(self.starts(sym))
-        cuts, end = at.tolist(), sym[at] == S_END
+        cuts = [*at.tolist(), len(whole)]
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])], np.flatnonzero(sym[at] == S_END)
+
+
+class Tokenizer(Boundaries):
+    """The compiled tokenizer; counts the tokens of texts. specials: literal strings that are one token each."""
+
+    def __init__(self, spec: dict, max_words: int = 1_000_000):
+        super().__init__(spec["classes"])
+        self.known = Known(WordTransducer(spec["vocab"], spec["merges"]))
+        self.special = re.compile("|".join(map(re.escape, sorted(spec["specials"], key=len, reverse=True))) or r"(?!)")
+        self.max_words = max_words
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Tokens of each of these texts, none of which holds a special token."""
+        if not pieces:
+            return []
         if len(self.known) > self.max_words:
             self.known.clear()
         known = self.known
-        cuts.append(len(whole))
-        n = np.array([known[whole[a:b]] for a, b in zip(cuts, cuts[1:])], np.int64)
-        n[end] = 0
-        return np.diff(np.append(0, np.cumsum(n)[np.flatnonzero(end)])).tolist()
+        words, ends = self.words(pieces)
+        n = np.array([known[w] for w in words], np.int64)
+        n[ends] = 0
+        return np.diff(np.append(0, np.cumsum(n)[ends])).tolist()
 
     def count_texts(self, rows: list[str], most: int = 2 << 20) -> list[int]:
         """Tokens of each text; long texts are cut where a pre-token is sure to begin."""
