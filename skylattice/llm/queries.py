@@ -7,6 +7,7 @@ from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .license_scan import OP7_SQL, op7_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .lm_scoring import op6_lm_score
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash import op8_simhash_near_duplicates
 from .token_counts import op1_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_lm_score": op6_lm_score,
     "op7_license_scan": op7_license_scan,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_line_dedup": op9_line_dedup,
