@@ -11,11 +11,13 @@ from .lm_scoring import op6_lm_score
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash import op8_simhash_near_duplicates
 from .token_counts import op1_token_counts
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_lm_score": op6_lm_score,
     "op7_license_scan": op7_license_scan,
