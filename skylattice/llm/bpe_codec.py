@@ -173,8 +173,8 @@ def gathered(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nd
     return values[shift + np.arange(total)]
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, digests: bool = False, max_bytes: int = SLICE) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids (array<int>), decoded (binary); with digests, sha256 of these two.
+def encode_decode(docs: DataFrame, ranks_path: str, digests: tuple[str, ...] = (), max_bytes: int = SLICE) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids (array<int>), decoded (binary); those named in digests as x_sha256.
 
     A null text is empty and has no ids; null doc_ids stay; repeated rows stay repeated; an empty table gives an empty
     table; columns other than doc_id and text are not read.
@@ -209,13 +209,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, digests: bool = False, max_b
                 text = gathered(token_starts[own_ids], token_sizes[own_ids], token_bytes).tobytes()
                 out[0].append(doc_id)
                 out[1].append(len(own_ids))
-                out[2].append(hashlib.sha256(own_ids.astype("<u4").tobytes()).hexdigest() if digests else own_ids.astype(np.int32))
-                out[3].append(hashlib.sha256(text).hexdigest() if digests else text)
-        kinds = (arrow_id, pa.int64(), pa.string() if digests else pa.list_(pa.int32()), pa.string() if digests else pa.binary())
+                out[2].append(hashlib.sha256(own_ids.astype("<u4").tobytes()).hexdigest() if "ids" in digests else own_ids.astype(np.int32))
+                out[3].append(hashlib.sha256(text).hexdigest() if "decoded" in digests else text)
+        kinds = (arrow_id, pa.int64(), *(pa.string() if c in digests else t for c, t in (("ids", pa.list_(pa.int32())), ("decoded", pa.binary()))))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "n_tokens", *names])
 
-    names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-    kinds = ["string", "string"] if digests else ["array<int>", "binary"]
+    names = [f"{c}_sha256" if c in digests else c for c in ("ids", "decoded")]
+    kinds = ["string" if c in digests else t for c, t in (("ids", "array<int>"), ("decoded", "binary"))]
     schema = f"doc_id {id_type.simpleString()}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}"
     return texts_of.groupBy("slice").cogroup(by_slice.groupBy("slice")).applyInArrow(join, schema)
 
@@ -223,4 +223,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, digests: bool = False, max_b
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=True)
+    return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=("ids", "decoded"))

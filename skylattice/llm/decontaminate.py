@@ -94,6 +94,32 @@ def shards(benchmark: DataFrame, max_chars: int) -> list[DataFrame]:
     return [rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
 
 
+def scanner(spark: SparkSession, benchmark: DataFrame, size: int, max_chars: int):
+    """A function for tasks: texts of a batch to (words, hit word numbers, items, text if hit) each."""
+    # each part is within max_chars (see shards), so it can be sent to every executor
+    parts = [spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in part.toLocalIterator()]) for part in shards(benchmark, max_chars)]
+    key = uuid.uuid4().hex
+
+    def scan(column) -> list[tuple[int, set[int], set[str], bytes]]:
+        data = [b"" if t.as_py() is None else t.as_buffer().to_pybytes() for t in column]
+        found = [(set(), set()) for _ in data]
+        counts = [0] * len(data)
+        for i, p in enumerate(parts):
+            if (one := _own.get((key, i))) is None:
+                _own.clear()  # one automaton at a time stays in memory
+                one = _own[key, i] = Automaton(p.value, size)
+            for j, text in enumerate(data):
+                words = words_of(text)
+                hit, owners = one.scan(words)
+                counts[j] = len(words)
+                if owners:
+                    found[j][0].update(hit.tolist())
+                    found[j][1].update(one.names[k] for k in owners)
+        return [(n, hit, items, text if hit else b"") for n, (hit, items), text in zip(counts, found, data)]
+
+    return scan
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_chars: int = 64 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), spans of original offsets.
 
@@ -101,35 +127,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_cha
     one window; equal windows of several items report all of them; repeated rows stay repeated; with an empty
     benchmark nothing is hit; columns other than the ids and texts are not read.
     """
-    sc = docs.sparkSession.sparkContext
-    # each part is within max_chars (checked above), so it can be sent to every executor
-    parts = [sc.broadcast([(r[0], r[1].encode()) for r in part.toLocalIterator()]) for part in shards(benchmark, max_chars)]
-
-    key = uuid.uuid4().hex
+    scan = scanner(docs.sparkSession, benchmark, size, max_chars)
 
     def run(batches):
         for part in text_slices(batches):
-            found = [[set(), set(), 0, b""] for _ in range(part.num_rows)]
-            for i, p in enumerate(parts):
-                if (one := _own.get((key, i))) is None:
-                    _own.clear()  # one automaton at a time stays in memory
-                    one = _own[key, i] = Automaton(p.value, size)
-                for out, text in zip(found, part.column("text")):
-                    data = text.as_buffer().to_pybytes()
-                    words = words_of(data)
-                    hit, owners = one.scan(words)
-                    out[2] = len(words)
-                    if owners:
-                        out[0].update(hit.tolist())
-                        out[1].update(one.names[k] for k in owners)
-                        out[3] = data
-            items = [sorted(x[1]) for x in found]
-            at = [[{"start": a, "end": b} for a, b in spans(x[3], np.array(sorted(x[0])))] for x in found]
+            found = scan(part.column("text"))
+            items = [sorted(x[2]) for x in found]
+            at = [[{"start": a, "end": b} for a, b in spans(x[3], np.array(sorted(x[1])))] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    pa.array([x[2] for x in found], pa.int64()),
-                    pa.array([len(x[0]) for x in found], pa.int64()),
+                    pa.array([x[0] for x in found], pa.int64()),
+                    pa.array([len(x[1]) for x in found], pa.int64()),
                     pa.array([len(x) for x in items], pa.int64()),
                     pa.array(items, pa.list_(pa.string())),
                     pa.array(at, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
@@ -142,6 +151,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_cha
     return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_chars: int = 64 << 20) -> DataFrame:
+    """The rows of docs, whole, in which no window occurs; rows are judged where they lie. Null texts stay."""
+    scan = scanner(docs.sparkSession, benchmark, size, max_chars)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array([not x[1] for x in scan(part.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select(

@@ -233,5 +233,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 4096) -> DataFr
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, size: int = 3, limit: int = 4096) -> DataFrame:
+    """The rows of docs, whole, that stand for their component: those of its smallest doc_id, repeated rows once.
+
+    Rows without a doc_id stay only if no row of their component has one.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), size, limit)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
