@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.llm.bpe_codec import encode_decode
-from skylattice.llm.common import read, written
+from skylattice.llm.common import read, rows_where, written
 from skylattice.llm.decontaminate import without_leaks
 from skylattice.llm.line_dedup import dedup_lines
 from skylattice.llm.quality_rules import keep_good
@@ -22,7 +22,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; one of which no word is left goes."""
     out = dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     bare = (F.col("__dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.filter(~F.coalesce(bare, F.lit(False))).select(*docs.columns)
+    return rows_where(out, ~F.coalesce(bare, F.lit(False))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The words of the contracts: runs free of ASCII white space, and runs of letters, digits and non-ASCII.
@@ -44,6 +44,15 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_where(df: DataFrame, condition: Column) -> DataFrame:
+    """df.filter(condition) for conditions on computed arrays.
+
+    The optimizer moves a filter below the projections that compute what it reads and so computes that again, within
+    lambdas once for each element; it doesn't move a generator.
+    """
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(1)))).alias("__row")).drop("__row")
+
+
 def text_slices(batches, max_bytes: int = 4 << 20):
     """Cut Arrow batches into runs of rows with about max_bytes of text each, so that memory does not follow the batch."""
     for batch in batches:

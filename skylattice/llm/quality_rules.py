@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, rows_where, written
 
 WINDOW = 5
 #: metric: (slack above the median, slack below or None); shares in thousandths, mean word length in tenths.
@@ -69,8 +69,8 @@ def bucket(value: Column) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, metric, bucket, n over rows (lang, source, __q) that pass the base rules."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(f"__q.{m}")).alias("bucket")) for m in RULES]))
-    return rows.filter("not __q.base_failed").select("lang", "source", each.alias("e")).groupBy("lang", "source", "e.metric", "e.bucket").agg(F.count("*").alias("n"))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(f"__q.{m}")).alias("bucket")) for m in RULES])
+    return rows.select("lang", "source", F.explode(F.when(~F.col("__q.base_failed"), each)).alias("e")).groupBy("lang", "source", "e.metric", "e.bucket").agg(F.count("*").alias("n"))
 
 
 def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
@@ -128,7 +128,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their own columns, that the rules keep; texts are measured where they lie and not moved."""
     limits = written(docs.sparkSession, thresholds(sketches(measured(docs.select("lang", "source", "text")).drop("text"))), "limits")
-    return judged(measured(docs), limits).filter("__kept").drop("__q", "__kept")
+    return rows_where(judged(measured(docs), limits), F.col("__kept")).drop("__q", "__kept")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
