@@ -14,7 +14,8 @@ CORRIDOR = ["corridor_id", "modal_heading_deg", "altitude_mean_ft", "altitude_st
 
 
 def part(value: Column, scale: float) -> Column:
-    return F.least(F.greatest(value / scale, F.lit(0.0)), F.lit(1.0))
+    """value over scale within 0 to 1; null stays null, which least() and greatest() alone would lose."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value / scale, F.lit(0.0)), F.lit(1.0)))
 
 
 def joined(reasons: Column) -> Column:

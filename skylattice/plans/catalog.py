@@ -122,10 +122,10 @@ def stats_overview(spark, sf_dir):
 
 
 @query(f"""with {sql.SILVER}, runs as (select event_id % 3 run_ts, date_trunc('hour', ingest_ts) hour_bucket, count(distinct icao24) flight_count, avg(altitude_ft) avg_altitude_ft, avg(speed_kmh) avg_speed_kmh from silver group by all)
-select hour_bucket, cast(sum(flight_count) as bigint) flight_count, round(sum(avg_altitude_ft * flight_count) / nullif(sum(flight_count), 0), 3) avg_altitude_ft, round(sum(avg_speed_kmh * flight_count) / nullif(sum(flight_count), 0), 3) avg_speed_kmh from runs group by 1""")
+select hour_bucket, cast(sum(flight_count) as bigint) flight_count, round(sum(avg_altitude_ft * flight_count) / nullif(sum(flight_count), 0), 6) avg_altitude_ft, round(sum(avg_speed_kmh * flight_count) / nullif(sum(flight_count), 0), 6) avg_speed_kmh from runs group by 1""")
 def weighted_hours(spark, sf_dir):
     runs = silver(spark, sf_dir).groupBy((F.col("event_id") % 3).alias("run_ts"), rollups.hour_of(F.col("ingest_ts")).alias("hour_bucket")).agg(*rollups.measures())
-    return rounded(rollups.weighted_by_hour(runs), "avg_altitude_ft", "avg_speed_kmh", to=3)
+    return rounded(rollups.weighted_by_hour(runs), "avg_altitude_ft", "avg_speed_kmh", to=6)
 
 
 @query(f"with {sql.WITH_AIRLINE} select airline, count(distinct icao24) flight_count from flown where event_id % 5 = (select max(event_id % 5) from flown) group by 1")

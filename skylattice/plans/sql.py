@@ -77,6 +77,6 @@ NEAR = f"""near as (select * from (select c.* exclude (region), k.corridor_id ne
   from cruise c, corridors k) where rn = 1),
 parts as (select *, event_id % 5 = 0 noise, km / 50 far_part, {angle("true_track", "modal_heading_deg")} / 45 heading, abs((altitude_ft - altitude_mean_ft) / altitude_std_ft) / 3 alt,
   abs((baro_altitude * 3.28084 - altitude_p50_ft) / greatest(altitude_p50_ft * 0.1, 1e0)) / 3 alt2, len(flags) n_rules from near),
-scored as (select *, 0.25 * least(far_part, 1e0) + 0.25 * least(heading, 1e0) + 0.25 * least(alt, 1e0) + 0.25 * cast(noise as double) s0x, case when alt is null then null else s0x end score,
-  (least(far_part, 1e0) + coalesce(least(heading, 1e0), 1) + coalesce(least(alt, 1e0), 1)) / 3 ref_score,
-  round(greatest(least(n_rules / 3e0, 1e0), (least(far_part, 1e0) + coalesce(least(heading, 1e0), 0) + coalesce(least(alt2, 1e0), 0)) / 3), 4) adhoc_score from parts)"""
+scored as (select *, 0.25 * case when far_part is not null then least(far_part, 1e0) end + 0.25 * case when heading is not null then least(heading, 1e0) end + 0.25 * case when alt is not null then least(alt, 1e0) end + 0.25 * cast(noise as double) s0x, case when alt is null then null else s0x end score,
+  (case when far_part is not null then least(far_part, 1e0) end + coalesce(case when heading is not null then least(heading, 1e0) end, 1) + coalesce(case when alt is not null then least(alt, 1e0) end, 1)) / 3 ref_score,
+  round(greatest(least(n_rules / 3e0, 1e0), (case when far_part is not null then least(far_part, 1e0) end + coalesce(case when heading is not null then least(heading, 1e0) end, 0) + coalesce(case when alt2 is not null then least(alt2, 1e0) end, 0)) / 3), 4) adhoc_score from parts)"""
