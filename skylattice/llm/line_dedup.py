@@ -29,19 +29,27 @@ FEW = 2  # parts in the first round
 MANY = 16  # parts in the second
 
 
+def key(line: Column, role: int, s: Column, parts: int) -> tuple[Column, Column, Column]:
+    """The hash of all but part s, and from (1-based) and size of that part; role 1: as the longer line of a pair."""
+    m = F.length(line) - role
+    lo, hi = (m * s / parts).cast("int"), (m * (s + 1) / parts).cast("int")
+    rest = F.xxhash64(m, s, F.substring(line, F.lit(1), lo), F.lit(0), F.substring(line, hi + 1 + role, F.length(line)))
+    return rest, lo + 1, hi - lo + role
+
+
 def keys(line: Column, parts: int) -> Column:
-    """Array of (role, part, hash, from, size): role 0 for the line as it stands, 1 as the longer one of a pair.
+    """Array of (role, part, key, from, size) for both roles and every part."""
+    def of(role: int):
+        def one(s: Column) -> Column:
+            rest, start, size = key(line, role, s, parts)
+            return F.struct(F.lit(role).alias("role"), s.cast("int").alias("part"), rest.alias("key"), start.alias("from"), size.alias("size"))
+        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), one)
+    return F.concat(of(0), of(1))
 
-    from (1-based) and size give the part that the key leaves open.
-    """
-    def key(role: int):
-        def of(s: Column) -> Column:
-            m = F.length(line) - role
-            lo, hi = (m * s / parts).cast("int"), (m * (s + 1) / parts).cast("int")
-            before, after = F.substring(line, F.lit(1), lo), F.substring(line, hi + 1 + role, F.length(line))
-            return F.struct(F.lit(role).alias("role"), s.cast("int").alias("part"), F.xxhash64(m, s, before, F.lit(0), after).alias("key"), (lo + 1).alias("from"), (hi - lo + role).alias("size"))
-        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), of)
-    return F.concat(key(0), key(1))
+
+def few_keys(line: Column) -> Column:
+    """The keys alone of the first round; written out, so that they are compiled with the rest of the stage."""
+    return F.array(*[key(line, role, F.lit(s), FEW)[0] for role in (0, 1) for s in range(FEW)])
 
 
 def lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -99,7 +107,7 @@ def near_earlier(docs: DataFrame, distinct: DataFrame, max_rows: int) -> DataFra
 def kept_lines(docs: DataFrame, min_chars: int, max_rows: int) -> DataFrame:
     """doc_id and kept (sorted numbers of the lines of at least min_chars that stay)."""
     spark = docs.sparkSession
-    each = lines(docs, min_chars).select(place().alias("at"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.length("line").alias("c"), F.transform(keys(F.col("line"), FEW), lambda k: k["key"]).alias("keys"))
+    each = lines(docs, min_chars).select(place().alias("at"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.length("line").alias("c"), few_keys(F.col("line")).alias("keys"))
     # equal lines have equal keys, so any of them will do
     distinct = written(spark, each.groupBy("h", "g", "c").agg(F.min("at").alias("at"), F.first("keys").alias("keys")).select("at", "keys"), "distinct")
     gone = written(spark, near_earlier(docs, distinct, max_rows), "gone")
