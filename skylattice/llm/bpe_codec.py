@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens where they lie. A slice, a few megabytes of texts, keeps its distinct words and each
+Texts are cut into pre-tokens where they lie. A slice, some megabytes of texts, keeps its distinct words and each
 text's pre-tokens as places in that list. The distinct words of all slices are exploded to rows (word, slice, place) and
 dealt by word; equal words lie together, so each distinct word of the corpus is encoded once. The ids go back, packed,
 to the slices that asked, meet the packed texts there, and are put together by position. Decoding joins the token-byte
@@ -17,7 +17,6 @@ import base64
 import gc
 import hashlib
 import heapq
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -26,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import read, text_slices, texts
+from .common import packed, read, text_slices, texts, unpacked
 from .token_counts import Boundaries, character_classes, cut
 
-SLICE = 8 << 20
+SLICE = 32 << 20
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -73,10 +72,6 @@ class Places(dict):
         return n
 
 
-def packed(arrays: list[np.ndarray]) -> bytes:
-    return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
-
-
 def sliced_words(rows: DataFrame, classes, kind: int, max_bytes: int) -> DataFrame:
     """kind 0: (slice, place, word) of the distinct words of slices; kind 1: (slice, doc_ids, counts, places packed)."""
     id_type = rows.schema["doc_id"].dataType
@@ -114,14 +109,19 @@ def sliced_words(rows: DataFrame, classes, kind: int, max_bytes: int) -> DataFra
                 flush()
             digest.update(repr(part.column("doc_id").to_pylist()).encode())
             key = int.from_bytes(digest.digest(), "little", signed=True)
+            # frequent words get small numbers, which pack well, and words go out sorted, which does too
+            found = np.concatenate(found) if found else np.zeros(0, np.uint32)
+            order = np.argsort(-np.bincount(found, minlength=len(places)), kind="stable")
+            rank = np.empty(len(places), np.uint32)
+            rank[order] = np.arange(len(places), dtype=np.uint32)
             if kind == 0:
-                words = [w.encode() for w in places]
+                words = sorted((w.encode(), int(rank[i])) for w, i in places.items())
                 for start in range(0, len(words), 50_000):
                     some = words[start : start + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key)), pa.array(np.arange(start, start + len(some), dtype=np.int32)), pa.array(some, pa.binary())], ["slice", "place", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key)), pa.array([i for _, i in some], pa.int32()), pa.array([w for w, _ in some], pa.binary())], ["slice", "place", "word"])
             else:
                 ids = part.column("doc_id").cast(arrow_id).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids], pa.list_(arrow_id)), pa.array([counts.tobytes()], pa.binary()), pa.array([packed(found)], pa.binary())], ["slice", "doc_ids", "counts", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids], pa.list_(arrow_id)), pa.array([counts.tobytes()], pa.binary()), pa.array([packed(rank[found])], pa.binary())], ["slice", "doc_ids", "counts", "places"])
 
     out = "slice long, place int, word binary" if kind == 0 else f"slice long, doc_ids array<{id_type.simpleString()}>, counts binary, places binary"
     return rows.mapInArrow(run, out)
@@ -142,7 +142,7 @@ def word_ids(words: DataFrame, ranks) -> DataFrame:
         n = 0
 
         def out():
-            rows = [(k, len(p), packed([np.array(p, np.uint32)]), packed([np.array(s, np.uint32)]), zlib.compress(b"".join(i), 1)) for k, (p, s, i) in held.items()]
+            rows = [(k, len(p), packed(np.array(p)), packed(np.array(s)), packed(np.frombuffer(b"".join(i), np.uint32))) for k, (p, s, i) in held.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["slice", "n", "places", "sizes", "ids"])
 
@@ -194,14 +194,14 @@ def encode_decode(docs: DataFrame, ranks_path: str, digests: tuple[str, ...] = (
         token_sizes[[i for i, _ in order]] = [len(t) for _, t in order]
         token_starts = np.append(0, np.cumsum(token_sizes)[:-1])
         token_bytes = np.frombuffer(b"".join(t for _, t in order), np.uint8)
-        load = lambda name: [np.frombuffer(zlib.decompress(b), np.uint32) for b in coded.column(name).to_pylist()] or [np.zeros(0, np.uint32)]
+        load = lambda name: [unpacked(b) for b in coded.column(name).to_pylist()] or [np.zeros(0, np.uint32)]
         places, sizes, ids = (np.concatenate(load(c)).astype(np.int64) for c in ("places", "sizes", "ids"))
         at = np.append(0, np.cumsum(sizes)[:-1]) if len(sizes) else np.zeros(0, np.int64)
         word_at, word_size = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
         word_at[places], word_size[places] = at, sizes
         out: list[list] = [[], [], [], []]
         for doc_ids, counts, data in zip(*(asked.column(c).to_pylist() for c in ("doc_ids", "counts", "places"))):
-            words, upto = np.frombuffer(zlib.decompress(data), np.uint32), 0
+            words, upto = unpacked(data), 0
             for doc_id, n in zip(doc_ids, np.frombuffer(counts, np.uint32).tolist()):
                 own = words[upto : upto + n]
                 upto += n

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,16 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**24, byte by byte of all: the high ones are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    low, mid, high = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(3, -1).astype(np.uint32)
+    return low | mid << 8 | high << 16
+
+
 def rows_where(df: DataFrame, condition: Column) -> DataFrame:
     """df.filter(condition) for conditions on computed arrays.
 
