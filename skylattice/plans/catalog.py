@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import enrich, geo
-from ..operators import anomaly, cluster, joins, legs, marts, rollups, windows
-from ..sources import dims
+from ..operators import anomaly, cluster, forecast, joins, legs, marts, rollups, windows
+from ..sources import dims, feeds, schemas
 from ..sources.states import silver, states
 from . import sql
 
@@ -451,3 +451,57 @@ def corridors_by_density(spark, sf_dir):
     points = cluster.route_features(silver(spark, sf_dir))
     labels = cluster.numbered(cluster.dbscan(points, "region", 0.3), "region")
     return rollups.corridor_summary(points.join(labels.select("event_id", "corridor_id"), "event_id").filter("corridor_id >= 0"))
+
+
+@query(f"with {sql.SILVER}, {sql.CORRIDORS}, r as (select origin_country, latitude, longitude, row_number() over (partition by origin_country order by latitude, event_id) - 1 i, count(*) over (partition by origin_country) m from cruise), k as (select unnest(range(0, 10)) k) select origin_country, count(*) n_points, round(sum(latitude), 1) sum_lat, round(sum(longitude), 1) sum_lon from (select distinct origin_country, i, round(latitude, 4) latitude, round(longitude, 4) longitude from r, k where i = floor(k * (m - 1) / 9e0)) group by 1")
+def corridor_polylines(spark, sf_dir):
+    lines = windows.polyline(cruise_points(spark, sf_dir), "origin_country", F.col("latitude"))
+    total = lambda i: F.round(F.aggregate(F.transform("polyline", lambda p: p[i]), F.lit(0.0), lambda a, x: a + x), 1)
+    return lines.select("origin_country", F.size("polyline").cast("long").alias("n_points"), total(0).alias("sum_lat"), total(1).alias("sum_lon"))
+
+
+@query(f"with {sql.S0} select icao24, last_contact, case when length(trim(callsign)) > 0 then trim(callsign) end callsign, time_position, latitude, on_ground, squawk from s0")
+def positional_feed(spark, sf_dir):
+    """States written as positional snapshots, one an hour, and read back."""
+    rows = states(spark, sf_dir).withColumns({"spi": F.lit(False), "position_source": F.lit(0), "sensors": F.lit(None).cast("string")})
+    values = F.array(*[F.col(c).cast("string") for c in schemas.POSITIONS])
+    bodies = rows.groupBy(rollups.hour_of(F.col("ingest_ts")).alias("h")).agg(F.to_json(F.struct(F.max("last_contact").alias("time"), F.collect_list(values).alias("states"))).alias("body"))
+    return feeds.from_positions(bodies).select("icao24", "last_contact", "callsign", "time_position", "latitude", "on_ground", "squawk")
+
+
+@query(f"""with {sql.S0}, {sql.REGISTRATIONS_CTE} select icao24, last_contact, round(velocity * 0.514444, 6) velocity, case when not on_ground then round(baro_altitude * 0.3048, 6) end baro_altitude, on_ground,
+  coalesce((select country from registrations r where starts_with(upper(s.registration), r.prefix) order by length(prefix) desc limit 1), 'Unknown') origin_country from s0 s""")
+def object_feed(spark, sf_dir):
+    """States written as object snapshots, one an hour, and read back with their units changed."""
+    c = F.col
+    rows = states(spark, sf_dir)
+    one = F.struct(c("icao24").alias("hex"), c("callsign").alias("flight"), c("registration").alias("r"), F.when(c("on_ground"), "ground").otherwise(c("baro_altitude").cast("string")).alias("alt_baro"), c("velocity").alias("gs"), c("true_track").alias("track"), c("latitude").alias("lat"), c("longitude").alias("lon"), (F.lit(2_000_000_000) - c("last_contact")).cast("double").alias("seen"))
+    bodies = rows.groupBy(rollups.hour_of(c("ingest_ts")).alias("h")).agg(F.to_json(F.struct(F.lit(2_000_000_000_000).alias("now"), F.collect_list(one).alias("ac"))).alias("body"))
+    out = feeds.from_objects(bodies)
+    return out.select("icao24", "last_contact", F.round("velocity", 6).alias("velocity"), F.round("baro_altitude", 6).alias("baro_altitude"), "on_ground", "origin_country")
+
+
+@query(f"""with {RUN}, l as (select * from (select series, d, n, lag(n, 1) over w lag_1, lag(n, 7) over w lag_7 from best window w as (partition by series order by d)) where lag_7 is not null)
+select 'lag_1' "method", round(avg(abs(n - lag_1)), 5) mae, round(sqrt(avg(pow(n - lag_1, 2))), 5) rmse, round(avg(abs(n - lag_1) / n), 5) mape from l union all select 'lag_7', round(avg(abs(n - lag_7)), 5), round(sqrt(avg(pow(n - lag_7, 2))), 5), round(avg(abs(n - lag_7) / n), 5) from l""")
+def forecast_baselines(spark, sf_dir):
+    rows = windows.lags(windows.longest_run(daily_orders(spark, sf_dir), ["series"], "d"), ["series"], "d", "n")
+    return rounded(forecast.metrics(rows, "n", ["lag_1", "lag_7"]), "mae", "rmse", "mape", to=5)
+
+
+@query()
+def daily_forecast(spark, sf_dir):
+    """The next seven days of every series of orders."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    daily = orders.groupBy((F.col("o_custkey") % 3).alias("series"), F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("n"))
+    return forecast.forecast(daily, "series", "d", "n")
+
+
+@query()
+def trajectory_errors(spark, sf_dir):
+    """Held-out errors of the learned trajectory and of dead reckoning, by phase."""
+    rows = windows.lag_features(silver(spark, sf_dir))
+    left = rows.select("event_id", "icao24", "last_contact", "flight_phase", "true_track", *forecast.MOTION, F.col("time_position").alias("t"), (F.col("time_position") + HOUR12).alias("target"))
+    right = rows.select("icao24", F.col("time_position").alias("t2"), F.col("latitude").alias("future_latitude"), F.col("longitude").alias("future_longitude"))
+    pairs = joins.asof_nearest(left, right, "icao24", "target", "t2", 7200).filter("t2 <> t").withColumn("seconds", F.col("t2") - F.col("t"))
+    out = forecast.trajectory(pairs, trees=5, min_pairs=10)
+    return windows.error_table(out, "flight_phase", "model_km", "baseline_km", ["cruise", "climb", "descent"])
