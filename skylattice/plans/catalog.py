@@ -337,9 +337,9 @@ def anomaly_reference_scores(spark, sf_dir):
     return rounded(anomaly.contextual_score(cruise_points(spark, sf_dir), corridor_table(spark, sf_dir), "reference_table").select("event_id", "anomaly_score", "is_ml_anomaly"), "anomaly_score")
 
 
-@query(f"with {sql.SILVER}, {sql.CORRIDORS}, {sql.NEAR} select event_id, round(adhoc_score, 3) anomaly_score, adhoc_score > 0.65 or n_rules > 0 is_ml_anomaly from scored")
+@query(f"with {sql.SILVER}, {sql.CORRIDORS}, {sql.NEAR} select event_id, adhoc_score anomaly_score, adhoc_score > 0.65 or n_rules > 0 is_ml_anomaly from scored")
 def anomaly_adhoc_scores(spark, sf_dir):
-    return rounded(anomaly.contextual_score(cruise_points(spark, sf_dir), corridor_table(spark, sf_dir), "adhoc").select("event_id", "anomaly_score", "is_ml_anomaly"), "anomaly_score", to=3)
+    return anomaly.contextual_score(cruise_points(spark, sf_dir), corridor_table(spark, sf_dir), "adhoc").select("event_id", "anomaly_score", "is_ml_anomaly")
 
 
 @query(f"with {sql.SILVER}, {sql.CORRIDORS}, {sql.NEAR}, o as (select n_rules > 0 r, coalesce(score > 0.6, false) m from scored), c as (select round(avg(case when r then cast(m as int) end), 6) catch_rate from o) select catch_rate, kind, n from c, (select 'rules_only' kind, count(*) filter (r and not m) n from o union all select 'ml_only', count(*) filter (m and not r) from o union all select 'both', count(*) filter (r and m) from o union all select 'neither', count(*) filter (not r and not m) from o union all select 'total', count(*) from o)")
