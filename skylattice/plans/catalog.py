@@ -414,12 +414,22 @@ def pair_error_table(spark, sf_dir):
     return windows.error_table(rows, "flight_phase", "km", "off", ["cruise", "climb"])
 
 
-@query()
+LEG_ROWS = f"""{sql.AIRPORTS_CTE}, n as (select event_id, iata, {sql.haversine('latitude', 'longitude', 'airport_lat', 'airport_lon')} km from silver, airports where latitude is not null and longitude is not null),
+near1 as (select event_id, iata from (select *, row_number() over (partition by event_id order by km, iata) rn from n) where rn = 1 and km <= 3000),
+r as (select s.*, near1.iata at_iata, lag(on_ground) over (partition by icao24 order by last_contact, s.event_id) was from silver s left join near1 on s.event_id = near1.event_id),
+l as (select *, sum(cast(takeoff as int)) over (partition by icao24 order by last_contact, event_id) leg from (select *, coalesce(was and not on_ground, false) takeoff from r)),
+m as (select *, first_value(case when takeoff and latitude is not null then at_iata end) over w dep0, first_value(case when takeoff and latitude is not null then last_contact end) over w time0,
+  coalesce(sum(cast(on_ground as int)) over (w rows between unbounded preceding and 1 preceding), 0) landed from l window w as (partition by icao24, leg order by last_contact, event_id)),
+known as (select *, case when landed = 0 and leg > 0 then dep0 end dep_iata, case when landed = 0 and leg > 0 and dep0 is not null then time0 end dep_time from m)"""
+
+
+@query(f"""with {sql.SILVER}, {LEG_ROWS}, done as (select k.*, greatest((last_contact - dep_time) / 60e0, 0.01e0) mins, {sql.haversine('airport_lat', 'airport_lon', 'latitude', 'longitude')} km from known k join airports on dep_iata = iata where on_ground and not was and at_iata is not null)
+select icao24, last_contact arrival_time, coalesce(callsign, '') callsign, dep_iata departure_iata, dep_time departure_time, at_iata arrival_iata, round(mins, 1) duration_min, round(km, 1) distance_km, round(km / (mins / 60), 1) avg_speed_kmh from done""")
 def flight_routes(spark, sf_dir):
     return legs.routes(states(spark, sf_dir), dims.airports(spark), radius_km=3000)
 
 
-@query()
+@query(f"with {sql.SILVER}, {LEG_ROWS} select icao24, last_contact ts, latitude, longitude, round(coalesce(baro_altitude, geo_altitude) * 3.28084, 1) altitude_ft, dep_iata, last_contact + 172800 expires_at from known where not on_ground and dep_iata is not null")
 def trajectory_points(spark, sf_dir):
     return legs.trajectory_points(states(spark, sf_dir), dims.airports(spark), radius_km=3000)
 
