@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import packed, read, text_slices, texts, unpacked
+from .common import Places, packed, read, text_slices, texts, unpacked
 from .token_counts import Boundaries, character_classes, cut
 
 SLICE = 32 << 20
@@ -64,14 +64,6 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Places(dict):
-    """Words and their places, by first occurrence."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def sliced_words(rows: DataFrame, classes, kind: int, max_bytes: int) -> DataFrame:
     """kind 0: (slice, place, word) of the distinct words of slices; kind 1: (slice, doc_ids, counts, places packed)."""
     id_type = rows.schema["doc_id"].dataType

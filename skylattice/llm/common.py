@@ -46,6 +46,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Places(dict):
+    """Words (or their bytes) and their places, by first occurrence."""
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2**24, byte by byte of all: the high ones are mostly zero."""
     return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 3)
