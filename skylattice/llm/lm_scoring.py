@@ -6,8 +6,8 @@ sequence of codes: frequent words have codes of their own, others one of a bin o
 word within its bin has its share of the bin's count, and the bin of unseen words is one type, as in the base model.
 For training, counts leave out the occurrence itself, so that the model learns how likely unseen words are.
 
-The model is trained on a stated share of the training documents, which grows with them, in groups of bounded size side
-by side; after each round the groups' weights are averaged, and the next round starts from there. Only weights, whose
+The model is trained on every training document, in groups of bounded size side by side, dealt by id and words so that
+copies of a text spread over them; after each round the groups' weights are averaged, and the next round starts from there. Only weights, whose
 number is fixed, and a few sums come to the driver.
 """
 
@@ -153,15 +153,20 @@ def coded(packed: DataFrame, answered: DataFrame, totals: dict, share: int) -> D
     return packed.groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(join, schema)
 
 
+def dealt(rows: DataFrame, group_tokens: int, rounds: int) -> DataFrame:
+    """(part, round, key, train) of the rows to train on, by a hash of id and words: copies of a text do not lie together."""
+    sample = rows.filter("train is not null").select("doc_id", "n_tokens", "train")
+    total = sample.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
+    groups = max(1, -(-total // group_tokens))
+    return sample.withColumn("key", F.xxhash64("doc_id", "train")).select(F.pmod("key", F.lit(groups)).alias("part"), F.pmod(F.col("key").bitwiseXOR(F.shiftright("key", 32)), F.lit(rounds)).alias("round"), "key", "train")
+
+
 def trained(rows: DataFrame, group_tokens: int, rounds: int) -> dict[str, np.ndarray]:
     """Weights after `rounds` rounds of training in groups of about group_tokens, averaged after each."""
     spark = rows.sparkSession
     shapes = gru.sizes(HEAD, BINS, PER_CLASS, HIDDEN)
     weights = gru.flat(gru.initial(shapes))
-    sample = rows.filter("train is not null").select("rest", "n_tokens", "train")
-    total = sample.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
-    groups = max(1, -(-total // group_tokens))
-    sample = sample.withColumn("key", F.xxhash64("train")).select(F.pmod("key", F.lit(groups)).alias("part"), F.pmod(F.col("key").bitwiseXOR(F.shiftright("key", 32)), F.lit(rounds)).alias("round"), "key", "train")
+    sample = dealt(rows, group_tokens, rounds)
     for i in range(rounds):
         before = spark.sparkContext.broadcast(weights)
 
@@ -180,11 +185,11 @@ def trained(rows: DataFrame, group_tokens: int, rounds: int) -> dict[str, np.nda
     return gru.unflat(weights, shapes)
 
 
-def score_documents(docs: DataFrame, share: int = 32, group_tokens: int = 4_000_000, rounds: int = 4) -> DataFrame:
+def score_documents(docs: DataFrame, share: int = 1, group_tokens: int = 4_000_000, rounds: int = 4) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    Documents whose crc32(doc_id as text) mod 10 is not 0 are learnt from: all of them for counts, one in `share` for
-    the weights. A null or empty text is the end token alone; a null doc_id is held out; repeated rows stay repeated
+    Documents whose crc32(doc_id as text) mod 10 is not 0 are learnt from: all of them for counts, one in `share` (all
+    by default) for the weights. A null or empty text is the end token alone; a null doc_id is held out; repeated rows stay repeated
     and count as often; an empty table gives an empty table; columns other than doc_id and text are not read.
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext

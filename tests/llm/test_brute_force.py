@@ -113,6 +113,28 @@ def test_language_model(docs, texts):
         assert r.base_score == pytest.approx(base) and r.score < 0
 
 
+def test_language_model_learns_from_every_training_document(docs, texts, monkeypatch):
+    seen = {}
+    real = lm_scoring.trained
+
+    def trained(rows, group_tokens, rounds):
+        seen.update({r.doc_id: r.train is not None for r in rows.select("doc_id", "train").collect()})
+        return real(rows, group_tokens, rounds)
+
+    monkeypatch.setattr(lm_scoring, "trained", trained)
+    rows = lm_scoring.score_documents(docs).collect()
+    assert seen == {k: zlib.crc32(str(k).encode()) % 10 != 0 for k in texts}
+    # by the base score a word costs the same wherever it stands; the trained model beats it on texts it has not seen
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_copies_spread_over_training_groups(spark):
+    rows = spark.createDataFrame([(i, 100, b"same") for i in range(400)], "doc_id long, n_tokens long, train binary")
+    sizes = [r["count"] for r in lm_scoring.dealt(rows, 4_000, 2).groupBy("part", "round").count().collect()]
+    assert sum(sizes) == 400 and len(sizes) >= 15 and max(sizes) <= 60
+
+
 def test_gradients_and_carried_state(monkeypatch):
     monkeypatch.setattr(gru, "F32", np.float64)
     rng = np.random.default_rng(0)
