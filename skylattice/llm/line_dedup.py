@@ -52,9 +52,15 @@ def few_keys(line: Column) -> Column:
     return F.array(*[key(line, role, F.lit(s), FEW)[0] for role in (0, 1) for s in range(FEW)])
 
 
-def lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, n (line number from 0) and line of lines with at least min_chars characters."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).filter(F.length("line") >= min_chars)
+def judged_line(line: Column, min_chars: int, short: bool) -> Column:
+    """Whether a line may go: with at least min_chars characters; with short, any with a word."""
+    long = F.length(line) >= min_chars
+    return long | line.rlike(r"[^\x20\x09-\x0D]") if short else long
+
+
+def lines(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
+    """doc_id, n (line number from 0) and line of the lines that may go."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).filter(judged_line(F.col("line"), min_chars, short))
 
 
 def place() -> Column:
@@ -104,10 +110,13 @@ def near_earlier(docs: DataFrame, distinct: DataFrame, max_rows: int) -> DataFra
     return pairs.join(a, "at").join(b, "other").filter(F.levenshtein("a", "b", 1).between(0, 1)).select("at").distinct()
 
 
-def kept_lines(docs: DataFrame, min_chars: int, max_rows: int) -> DataFrame:
-    """doc_id and kept (sorted numbers of the lines of at least min_chars that stay)."""
+def kept_lines(docs: DataFrame, min_chars: int, max_rows: int, short: bool) -> DataFrame:
+    """doc_id and kept (sorted numbers of the lines that stay of those that may go)."""
     spark = docs.sparkSession
-    each = lines(docs, min_chars).select(place().alias("at"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.length("line").alias("c"), few_keys(F.col("line")).alias("keys"))
+    few = few_keys(F.col("line"))
+    if short:  # without keys a line meets only its equals
+        few = F.when(F.length("line") >= min_chars, few).otherwise(F.array().cast("array<bigint>"))
+    each = lines(docs, min_chars, short).select(place().alias("at"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.length("line").alias("c"), few.alias("keys"))
     # equal lines have equal keys, so any of them will do
     distinct = written(spark, each.groupBy("h", "g", "c").agg(F.min("at").alias("at"), F.first("keys").alias("keys")).select("at", "keys"), "distinct")
     gone = written(spark, near_earlier(docs, distinct, max_rows), "gone")
@@ -115,17 +124,18 @@ def kept_lines(docs: DataFrame, min_chars: int, max_rows: int) -> DataFrame:
     return stay.groupBy(F.col("at.doc_id").alias("__id")).agg(F.sort_array(F.collect_list("at.n")).alias("__kept"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 30, max_rows: int = 1_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 30, max_rows: int = 1_000_000, short: bool = False) -> DataFrame:
     """docs with text (lines that stay, in order) and, added, __lines and __dropped (counts of lines).
 
-    Lines are what "\\n" separates; those under min_chars characters always stay. A null text stays null and has no
+    Lines are what "\\n" separates; those under min_chars characters always stay, or with short go
+    if they have a word and an earlier line is equal. A null text stays null and has no
     lines; an empty one has one, empty. Documents are ordered by doc_id, null last; repeated rows lie at the same
     place, so neither is earlier and both keep their lines. An empty table gives an empty table. Of docs, only doc_id
     and text need to be there; other columns go through. max_rows: how many places of lines with possible partners may be broadcast;
     beyond it texts are shuffled to them.
     """
     own = docs.columns
-    stay = kept_lines(docs.select("doc_id", "text"), min_chars, max_rows)
+    stay = kept_lines(docs.select("doc_id", "text"), min_chars, max_rows, short)
     joined = docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     # places that stay and lines, sorted together: a line stays if its place lies just before it
     split = F.split("text", "\n", -1)
@@ -133,7 +143,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 30, max_rows: int = 1_000_000)
     both = F.sort_array(F.concat(there, F.transform(split, lambda line, i: F.struct(i.alias("i"), F.lit(1).alias("t"), line.alias("l")))))
     step = joined.select(*own, both.alias("__z"), F.size(split).cast("long").alias("__lines"))
     before = lambda k: F.get(F.col("__z"), k - 1)
-    keep = F.filter("__z", lambda e, k: (e["t"] == 1) & ((F.length(e["l"]) < min_chars) | F.coalesce((before(k)["t"] == 0) & (before(k)["i"] == e["i"]), F.lit(False))))
+    keep = F.filter("__z", lambda e, k: (e["t"] == 1) & (~judged_line(e["l"], min_chars, short) | F.coalesce((before(k)["t"] == 0) & (before(k)["i"] == e["i"]), F.lit(False))))
     step = step.select(*own, F.transform(keep, lambda e: e["l"]).alias("__k"), "__lines")
     text = F.when(F.col("text").isNotNull(), F.array_join("__k", "\n"))
     gone = F.when(F.col("text").isNotNull(), F.col("__lines") - F.size("__k")).otherwise(0)

@@ -75,6 +75,15 @@ def test_lines(spark):
     assert got[6]["__dropped"] == 2 and got[5]["__lines"] == 0
 
 
+def test_short_lines_of_the_pipeline(spark):
+    a = "this is a line with more than thirty characters"
+    rows = [(1, f"All rights reserved.\n\n{a}\none"), (2, f"Read more\n\nAll rights reserved.\n{a}!\ntwo"), (3, "All rights reserved!\nRead more\n \nRead more\nthree"), (4, "Read more")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    # equal short lines go, those one edit away and blank ones stay
+    assert got == {1: rows[0][1], 2: "Read more\n\ntwo", 3: "All rights reserved!\n \nthree"}
+
+
 def test_licenses(spark):
     rows = [(1, "Licensed under the GNU General Public License, version 3 or later; and CC-BY cc_by"), (2, "commit MIT Licenses"), (3, "the mit license. The MIT License")]
     got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
