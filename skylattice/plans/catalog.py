@@ -470,23 +470,34 @@ def corridor_polylines(spark, sf_dir):
     return lines.select("origin_country", F.size("polyline").cast("long").alias("n_points"), total(0).alias("sum_lat"), total(1).alias("sum_lon"))
 
 
+SNAPSHOT = 5_000  # states of a snapshot, about
+
+
+def snapshots(rows, payload, bound=SNAPSHOT):
+    """rows grouped into snapshots of an hour: busy hours are dealt by hash, so that none has many more than `bound` states."""
+    rows = rows.withColumns({"h": rollups.hour_of(F.col("ingest_ts")), "__payload": payload})
+    parts = rows.groupBy("h").agg(F.ceil(F.count("*") / bound).alias("parts"))
+    dealt = rows.join(parts.withColumnRenamed("h", "__h"), F.col("h").eqNullSafe(F.col("__h")))
+    return dealt.groupBy("h", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("h", "__payload")]), F.col("parts")).alias("part"))
+
+
 @query(f"with {sql.S0} select icao24, last_contact, case when length(trim(callsign)) > 0 then trim(callsign) end callsign, time_position, latitude, on_ground, squawk from s0")
 def positional_feed(spark, sf_dir):
-    """States written as positional snapshots, one an hour, and read back."""
+    """States written as positional snapshots of bounded size, one or more an hour, and read back."""
     rows = states(spark, sf_dir).withColumns({"spi": F.lit(False), "position_source": F.lit(0), "sensors": F.lit(None).cast("string")})
     values = F.array(*[F.col(c).cast("string") for c in schemas.POSITIONS])
-    bodies = rows.groupBy(rollups.hour_of(F.col("ingest_ts")).alias("h")).agg(F.to_json(F.struct(F.max("last_contact").alias("time"), F.collect_list(values).alias("states"))).alias("body"))
+    bodies = snapshots(rows, values).agg(F.to_json(F.struct(F.max("last_contact").alias("time"), F.collect_list("__payload").alias("states"))).alias("body"))
     return feeds.from_positions(bodies).select("icao24", "last_contact", "callsign", "time_position", "latitude", "on_ground", "squawk")
 
 
 @query(f"""with {sql.S0}, {sql.REGISTRATIONS_CTE} select icao24, last_contact, round(velocity * 0.514444, 6) velocity, case when not on_ground then round(baro_altitude * 0.3048, 6) end baro_altitude, on_ground,
   coalesce((select country from registrations r where starts_with(upper(s.registration), r.prefix) order by length(prefix) desc limit 1), 'Unknown') origin_country from s0 s""")
 def object_feed(spark, sf_dir):
-    """States written as object snapshots, one an hour, and read back with their units changed."""
+    """States written as object snapshots of bounded size, one or more an hour, and read back with their units changed."""
     c = F.col
     rows = states(spark, sf_dir)
     one = F.struct(c("icao24").alias("hex"), c("callsign").alias("flight"), c("registration").alias("r"), F.when(c("on_ground"), "ground").otherwise(c("baro_altitude").cast("string")).alias("alt_baro"), c("velocity").alias("gs"), c("true_track").alias("track"), c("latitude").alias("lat"), c("longitude").alias("lon"), (F.lit(2_000_000_000) - c("last_contact")).cast("double").alias("seen"))
-    bodies = rows.groupBy(rollups.hour_of(c("ingest_ts")).alias("h")).agg(F.to_json(F.struct(F.lit(2_000_000_000_000).alias("now"), F.collect_list(one).alias("ac"))).alias("body"))
+    bodies = snapshots(rows, one).agg(F.to_json(F.struct(F.lit(2_000_000_000_000).alias("now"), F.collect_list("__payload").alias("ac"))).alias("body"))
     out = feeds.from_objects(bodies)
     return out.select("icao24", "last_contact", F.round("velocity", 6).alias("velocity"), F.round("baro_altitude", 6).alias("baro_altitude"), "on_ground", "origin_country")
 

@@ -92,6 +92,15 @@ def test_forecast_has_a_row_per_series_and_step(spark):
     assert len(out) == 6 and all(r.low <= r.predicted <= r.high for r in out)
 
 
+def test_snapshots_are_bounded(spark):
+    from skylattice.plans import catalog
+
+    rows = spark.range(3000).select(F.lit("2024-01-01 05:10:00").cast("timestamp").alias("ingest_ts"), F.col("id").cast("string").alias("x"))
+    got = catalog.snapshots(rows, F.array("x"), bound=100).agg(F.collect_list("__payload").alias("p")).collect()
+    assert len(got) == 30 and max(len(r.p) for r in got) < 200
+    assert sorted(int(x[0]) for r in got for x in r.p) == list(range(3000))
+
+
 def test_feeds(spark):
     row = ["abc123", " DLH1 ", "Germany", 10, 11, 8.5, 50.0, 1000.0, False, 200.0, 90.0, 0.0, None, 1010.0, "1000", False, 0]
     body = json.dumps({"time": 12, "states": [row, row[:5]]})
