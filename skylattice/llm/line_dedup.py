@@ -1,7 +1,8 @@
 """Line deduplication within one edit by a deletion-neighbourhood join, with DataFrame functions only.
 
-A line goes if an earlier one (by doc_id, then line number) is equal to it or one edit away: a character put in, taken
-out or changed. Equal lines meet first, by hashes that are aggregated before the shuffle, so that what follows sees
+A line with a word goes if an earlier one is equal to it or, for lines of at least `min_chars` characters, one edit away: a
+character put in, taken out or changed. Rows are ordered by doc_id, then by a digest of their texts, so that rows that
+share a doc_id, or have none, are told apart. Equal lines meet first, by hashes that are aggregated before the shuffle, so that what follows sees
 each distinct line once, at its earliest place.
 
 Deletion variants of every line would be as many as the corpus has characters, so lines that cannot have a partner are
@@ -52,20 +53,24 @@ def few_keys(line: Column) -> Column:
     return F.array(*[key(line, role, F.lit(s), FEW)[0] for role in (0, 1) for s in range(FEW)])
 
 
-def judged_line(line: Column, min_chars: int, short: bool) -> Column:
-    """Whether a line may go: with at least min_chars characters; with short, any with a word."""
-    long = F.length(line) >= min_chars
-    return long | line.rlike(r"[^\x20\x09-\x0D]") if short else long
+def has_word(line: Column) -> Column:
+    """Whether a line may go."""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def lines(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
-    """doc_id, n (line number from 0) and line of the lines that may go."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).filter(judged_line(F.col("line"), min_chars, short))
+def digest(text: Column) -> Column:
+    """60 bits of the text's MD5 as a long."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, n (line number from 0) and line of the lines that may go."""
+    return docs.select("doc_id", "digest", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).filter(has_word(F.col("line")))
 
 
 def place() -> Column:
-    """Where a line is; places compare as the lines' order: nulls last, then doc_id, then line number."""
-    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("n").alias("n"))
+    """Where a line is; places compare as the lines' order: rows without doc_id last, then doc_id, digest, line number."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest"), F.col("n").alias("n"))
 
 
 def with_company(rows: DataFrame) -> DataFrame:
@@ -76,11 +81,12 @@ def with_company(rows: DataFrame) -> DataFrame:
 
 def texts_at(docs: DataFrame, places: DataFrame, max_rows: int) -> DataFrame:
     """at and line of the given places (at). They are sent to the documents only if they are counted to be few."""
-    wanted = places.select("at").distinct().groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list("at.n").alias("__n"))
+    wanted = places.select("at").distinct().groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.digest").alias("w_digest")).agg(F.collect_list("at.n").alias("w_n"))
     if places.limit(max_rows + 1).count() <= max_rows:
         wanted = F.broadcast(wanted)
-    one = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", F.split("text", "\n", -1).alias("__l"), F.explode("__n").alias("n"))
-    return one.select(place().alias("at"), F.element_at("__l", F.col("n") + 1).alias("line")).distinct()
+    one = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")))
+    one = one.select("doc_id", "digest", F.split("text", "\n", -1).alias("w_lines"), F.explode("w_n").alias("n"))
+    return one.select(place().alias("at"), F.element_at("w_lines", F.col("n") + 1).alias("line")).distinct()
 
 
 def near_earlier(docs: DataFrame, distinct: DataFrame, max_rows: int) -> DataFrame:
@@ -110,65 +116,73 @@ def near_earlier(docs: DataFrame, distinct: DataFrame, max_rows: int) -> DataFra
     return pairs.join(a, "at").join(b, "other").filter(F.levenshtein("a", "b", 1).between(0, 1)).select("at").distinct()
 
 
-def kept_lines(docs: DataFrame, min_chars: int, max_rows: int, short: bool) -> DataFrame:
-    """doc_id and kept (sorted numbers of the lines that stay of those that may go)."""
+def kept_lines(docs: DataFrame, min_chars: int, max_rows: int) -> DataFrame:
+    """k_id, k_digest and kept (sorted numbers of the lines that stay of those that may go), one row a distinct document."""
     spark = docs.sparkSession
-    few = few_keys(F.col("line"))
-    if short:  # without keys a line meets only its equals
-        few = F.when(F.length("line") >= min_chars, few).otherwise(F.array().cast("array<bigint>"))
-    each = lines(docs, min_chars, short).select(place().alias("at"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.length("line").alias("c"), few.alias("keys"))
+    # without keys a line meets only its equals
+    few = F.when(F.length("line") >= min_chars, few_keys(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
+    each = lines(docs).select(place().alias("at"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.length("line").alias("c"), few.alias("keys"))
     # equal lines have equal keys, so any of them will do
     distinct = written(spark, each.groupBy("h", "g", "c").agg(F.min("at").alias("at"), F.first("keys").alias("keys")).select("at", "keys"), "distinct")
     gone = written(spark, near_earlier(docs, distinct, max_rows), "gone")
     stay = distinct.select("at").join(gone, "at", "left_anti")
-    return stay.groupBy(F.col("at.doc_id").alias("__id")).agg(F.sort_array(F.collect_list("at.n")).alias("__kept"))
+    return stay.groupBy(F.col("at.doc_id").alias("k_id"), F.col("at.digest").alias("k_digest")).agg(F.sort_array(F.collect_list("at.n")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 30, max_rows: int = 1_000_000, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 30, max_rows: int = 1_000_000) -> DataFrame:
     """docs with text (lines that stay, in order) and, added, __lines and __dropped (counts of lines).
 
-    Lines are what "\\n" separates; those under min_chars characters always stay, or with short go
-    if they have a word and an earlier line is equal. A null text stays null and has no
-    lines; an empty one has one, empty. Documents are ordered by doc_id, null last; repeated rows lie at the same
-    place, so neither is earlier and both keep their lines. An empty table gives an empty table. Of docs, only doc_id
-    and text need to be there; other columns go through. max_rows: how many places of lines with possible partners may be broadcast;
-    beyond it texts are shuffled to them.
+    Lines are what "\\n" separates. One without a word always stays; one that equals an earlier line goes, as does one of
+    at least min_chars characters that is one edit away from an earlier one as long. A null text stays null and has no
+    lines; an empty one has one, empty. Rows are ordered by doc_id, null last, then by a digest of the text; rows that
+    repeat both lie at the same place, so neither is earlier and both keep the same lines. An empty table gives an
+    empty table. Of docs, only doc_id and text need to be there; other columns go through, but columns named __lines
+    or __dropped are replaced. max_rows: how many places of lines with possible partners may be broadcast; beyond it
+    texts are shuffled to them.
     """
-    own = docs.columns
-    stay = kept_lines(docs.select("doc_id", "text"), min_chars, max_rows, short)
-    joined = docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    own = [c for c in docs.columns if c not in ("__lines", "__dropped")]
+    stay = kept_lines(docs.select("doc_id", "text", digest(F.col("text")).alias("digest")), min_chars, max_rows)
+    # docs' own columns lie in a struct, so that their names can't clash
+    rows = docs.select(F.struct(*own).alias("row"), digest(F.col("text")).alias("digest"))
+    joined = rows.join(stay.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")), "left")
     # places that stay and lines, sorted together: a line stays if its place lies just before it
-    split = F.split("text", "\n", -1)
-    there = F.transform(F.coalesce("__kept", F.array().cast("array<int>")), lambda i: F.struct(i.alias("i"), F.lit(0).alias("t"), F.lit("").alias("l")))
+    text, split = F.col("row.text"), F.split("row.text", "\n", -1)
+    there = F.transform(F.coalesce("kept", F.array().cast("array<int>")), lambda i: F.struct(i.alias("i"), F.lit(0).alias("t"), F.lit("").alias("l")))
     both = F.sort_array(F.concat(there, F.transform(split, lambda line, i: F.struct(i.alias("i"), F.lit(1).alias("t"), line.alias("l")))))
-    step = joined.select(*own, both.alias("__z"), F.size(split).cast("long").alias("__lines"))
-    before = lambda k: F.get(F.col("__z"), k - 1)
-    keep = F.filter("__z", lambda e, k: (e["t"] == 1) & (~judged_line(e["l"], min_chars, short) | F.coalesce((before(k)["t"] == 0) & (before(k)["i"] == e["i"]), F.lit(False))))
-    step = step.select(*own, F.transform(keep, lambda e: e["l"]).alias("__k"), "__lines")
-    text = F.when(F.col("text").isNotNull(), F.array_join("__k", "\n"))
-    gone = F.when(F.col("text").isNotNull(), F.col("__lines") - F.size("__k")).otherwise(0)
-    return step.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], F.when(F.col("text").isNotNull(), F.col("__lines")).otherwise(0).alias("__lines"), gone.cast("long").alias("__dropped"))
+    step = joined.select("row", both.alias("z"), F.size(split).cast("long").alias("n"))
+    before = lambda k: F.get(F.col("z"), k - 1)
+    keep = F.filter("z", lambda e, k: (e["t"] == 1) & (~has_word(e["l"]) | F.coalesce((before(k)["t"] == 0) & (before(k)["i"] == e["i"]), F.lit(False))))
+    step = step.select("row", F.transform(keep, lambda e: e["l"]).alias("left"), "n")
+    new, gone = F.when(text.isNotNull(), F.array_join("left", "\n")), F.when(text.isNotNull(), F.col("n") - F.size("left")).otherwise(0)
+    columns = [new.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in own]
+    return step.select(*columns, F.when(text.isNotNull(), F.col("n")).otherwise(0).alias("__lines"), gone.cast("long").alias("__dropped"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents: doc_id, n_lines, n_dropped, digest of the lines that stay; see dedup_lines for the cases."""
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def dedup_sql(table: str, prefix: str = "") -> str:
-    """DuckDB: common table expressions ending in {prefix}out (r, lines, dropped, kept text) by all deletion variants."""
-    return f"""
-{prefix}src as (select row_number() over () r, doc_id, text from {table}),
-{prefix}line as (select r, doc_id, unnest(range(len(ls))) n, unnest(ls) line from (select r, doc_id, string_split(text, chr(10)) ls from {prefix}src where text is not null)),
-{prefix}dist as (select line, min({{'last': doc_id is null, 'doc_id': doc_id, 'n': n}}) spot from {prefix}line where length(line) >= 30 group by line),
-{prefix}var as (select spot, i, left(line, i - 1) || substring(line, i + 1) v from (select spot, line, unnest(range(1, length(line) + 1)) i from {prefix}dist)),
+    """DuckDB: common table expressions ending in {prefix}out (r, lines, dropped, kept text) by all deletion variants.
+
+    Rows are ranked by their order first, so that a place is (rank, line number); only repeated rows share a rank.
+    """
+    return rf"""
+{prefix}src as (
+  select row_number() over () r, doc_id, text, dense_rank() over (order by doc_id is null, doc_id, cast('0x' || left(md5(text), 15) as bigint), text) row from {table}),
+{prefix}line as (select r, row, unnest(range(len(ls))) n, unnest(ls) line from (select r, row, string_split(text, chr(10)) ls from {prefix}src where text is not null)),
+{prefix}dist as (select line, min({{'row': row, 'n': n}}) spot from {prefix}line where regexp_matches(line, '[^\x20\x09-\x0D]') group by line),
+{prefix}long as (select * from {prefix}dist where length(line) >= 30),
+{prefix}var as (select spot, i, left(line, i - 1) || substring(line, i + 1) v from (select spot, line, unnest(range(1, length(line) + 1)) i from {prefix}long)),
 {prefix}near as (
   select spot from (select spot, min(spot) over (partition by v, i) first from {prefix}var) where first < spot
-  union select case when x.spot < y.spot then y.spot else x.spot end from {prefix}var x join {prefix}dist y on x.v = y.line),
+  union select case when x.spot < y.spot then y.spot else x.spot end from {prefix}var x join {prefix}long y on x.v = y.line),
 {prefix}stay as (select spot from {prefix}dist where spot not in (select spot from {prefix}near)),
 {prefix}out as (
   select r, count(*) n_lines, count(*) filter (not k) n_dropped, coalesce(string_agg(line, chr(10) order by n) filter (k), '') kept
-  from (select r, n, line, length(line) < 30 or {{'last': doc_id is null, 'doc_id': doc_id, 'n': n}} in (select spot from {prefix}stay) k from {prefix}line) group by r)"""
+  from (select r, n, line, not regexp_matches(line, '[^\x20\x09-\x0D]') or {{'row': row, 'n': n}} in (select spot from {prefix}stay) k from {prefix}line) group by r)"""
 
 
 OP9_SQL = f"""

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,17 +72,55 @@ def test_lines(spark):
     rows = [(2, f"{a}\nkeep"), (1, f"{a}!\nkeep"), (3, a.replace("line", "lime")), (4, a[:-2]), (5, None), (6, f"{a}\n{a}")]
     got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
     # an earlier line one edit away takes a line out, kept or not; two edits are too many
-    assert {k: r.text for k, r in got.items()} == {1: f"{a}!\nkeep", 2: "keep", 3: "", 4: a[:-2], 5: None, 6: ""}
+    assert {k: r.text for k, r in got.items()} == {1: f"{a}!\nkeep", 2: "", 3: "", 4: a[:-2], 5: None, 6: ""}
     assert got[6]["__dropped"] == 2 and got[5]["__lines"] == 0
 
 
-def test_short_lines_of_the_pipeline(spark):
+def test_short_lines(spark):
     a = "this is a line with more than thirty characters"
-    rows = [(1, f"All rights reserved.\n\n{a}\none"), (2, f"Read more\n\nAll rights reserved.\n{a}!\ntwo"), (3, "All rights reserved!\nRead more\n \nRead more\nthree"), (4, "Read more")]
+    rows = [(1, f"All rights reserved.\n\n{a}\none"), (2, f"Read more\n\nAll rights reserved.\n{a}!\ntwo"), (3, "All rights reserved!\nRead more\n \nRead more\nthree"), (4, "Read more"), (5, " " * 40 + "\n" + " " * 40)]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
-    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
-    # equal short lines go, those one edit away and blank ones stay
-    assert got == {1: rows[0][1], 2: "Read more\n\ntwo", 3: "All rights reserved!\n \nthree"}
+    # equal short lines go, those one edit away and those without a word stay
+    want = {1: rows[0][1], 2: "Read more\n\ntwo", 3: "All rights reserved!\n \nthree", 4: "", 5: rows[4][1]}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == want
+    # in the pipeline a document of which no word is left goes
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {k: v for k, v in want.items() if v}
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return len(b) - len(a) <= 1 and (a[at:] == b[at + 1 :] or a[at + 1 :] == b[at + 1 :])
+
+
+@pytest.mark.parametrize("max_rows", [1_000_000, 1])
+def test_lines_of_rows_that_share_an_id_or_have_none(spark, max_rows):
+    r = random.Random(5)
+    stems = ["".join(r.choices("abcd ", k=k)).strip() + "xyz" for k in (8, 31, 33, 36, 40)]
+
+    def line():
+        t = r.choice(stems)
+        i = r.randrange(len(t))
+        return r.choice((t, t[:i] + t[i + 1 :], t[:i] + "q" + t[i:], t[:i] + "Q" + t[i + 1 :], "", "  ", f"only {r.random()} here, and nowhere else at all"))
+
+    rows = [(r.choice((1, 2, 7, None)), "\n".join(line() for _ in range(r.randint(0, 5)))) for _ in range(60)] + [(7, None), (None, None)]
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "digest", "kept", "k_id", "__lines", "__kept", "left", "n")})
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "") for r in line_dedup.dedup_lines(docs, max_rows=max_rows).collect())
+    order = sorted({(k is None, k or 0, int(hashlib.md5(t.encode()).hexdigest()[:15], 16), t) for k, t in rows if t is not None})
+    seen, kept = [], {}
+    for last, k, _, t in order:
+        stay = []
+        for x in t.split("\n"):
+            if not x.strip():
+                stay.append(x)
+                continue
+            if not any(x == y or len(x) >= 30 and len(y) >= 30 and one_edit(x, y) for y in seen):
+                stay.append(x)
+            seen.append(x)
+        kept[last, k, t] = "\n".join(stay)
+    assert got == sorted((k is None, k or 0, t is None, "" if t is None else kept[k is None, k or 0, t]) for k, t in rows)
 
 
 def test_licenses(spark):
