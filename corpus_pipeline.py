@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines, short ones too, that an earlier one has; one of which no word is left goes."""
-    out = dedup_lines(docs, short=True).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    """Documents without lines that an earlier line equals or nearly equals; one of which no word is left goes."""
+    out = dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     bare = (F.col("__dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return rows_where(out, ~F.coalesce(bare, F.lit(False))).select(*docs.columns)
 
