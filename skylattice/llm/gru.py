@@ -84,19 +84,27 @@ class Model:
             yield at, codes[at : at + size], inputs[at : at + size], fresh[at : at + size]
 
     def forward(self, inputs, fresh, state, keep: bool):
-        """States after each step; with keep, also what the way back needs."""
+        """States after each step and the last; with keep, also what the way back needs, each of shape (steps, lanes, n)."""
         w, n = self.w, self.hidden
+        u, bu, held = w["u"], w["bu"], (~fresh).astype(F32)[:, :, None]
         out = np.empty((*inputs.shape, n), F32)
-        kept = []
+        kept = [np.empty_like(out) for _ in range(5)] if keep else None
         for t in range(len(inputs)):
-            state = np.where(fresh[t][:, None], F32(0), state)
-            gx, gu = w["x"][inputs[t]], state @ w["u"]
-            gate = 1 / (1 + np.exp(-(gx[:, : 2 * n] + gu[:, : 2 * n])))
+            state = state * held[t]
+            gx, gu = w["x"][inputs[t]], state @ u
+            gate = gx[:, : 2 * n] + gu[:, : 2 * n]
+            np.negative(gate, gate)
+            np.exp(gate, gate)
+            gate += 1
+            np.reciprocal(gate, gate)
             z, r = gate[:, :n], gate[:, n:]
-            inner = gu[:, 2 * n :] + w["bu"]
-            new = np.tanh(gx[:, 2 * n :] + r * inner)
+            inner = gu[:, 2 * n :] + bu
+            new = r * inner
+            new += gx[:, 2 * n :]
+            np.tanh(new, new)
             if keep:
-                kept.append((state, z, r, inner, new))
+                for a, x in zip(kept, (state, z, r, inner, new)):
+                    a[t] = x
             state = new + z * (state - new)
             out[t] = state
         return out, state, kept
@@ -163,19 +171,26 @@ class Model:
                 dh[rows] += d @ w["w"][k].T
         out = np.zeros_like(states)
         out[real] = dh
-        back = np.zeros_like(state)
-        gates = np.empty((*inputs.shape, 3 * n), F32)
+        before, z, r, inner, new = kept
+        by_z, by_new = (before - new) * z * (1 - z), (1 - z) * (1 - new * new)
+        by_r = inner * r * (1 - r)
+        back, ut, held = np.zeros_like(state), np.ascontiguousarray(w["u"].T), (~fresh).astype(F32)[:, :, None]
+        gates, du = np.empty((*inputs.shape, 3 * n), F32), np.empty((*inputs.shape, 3 * n), F32)
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, inner, new = kept[t]
             ds = out[t] + back
-            dn = ds * (1 - z) * (1 - new * new)
-            dz = ds * (before - new) * z * (1 - z)
-            dr = dn * inner * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            gates[t] = np.concatenate([dz, dr, dn], 1)
-            g["u"] += before.T @ du
-            g["bu"] += du[:, 2 * n :].sum(0)
-            back = np.where(fresh[t][:, None], F32(0), ds * z + du @ w["u"].T)
+            own = du[t]
+            np.multiply(ds, by_z[t], own[:, :n])
+            dn = ds * by_new[t]
+            np.multiply(dn, by_r[t], own[:, n : 2 * n])
+            np.multiply(dn, r[t], own[:, 2 * n :])
+            gates[t, :, 2 * n :] = dn
+            back = own @ ut
+            ds *= z[t]
+            back += ds
+            back *= held[t]
+        gates[:, :, : 2 * n] = du[:, :, : 2 * n]
+        g["u"] = before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+        g["bu"] = du[:, :, 2 * n :].sum((0, 1))
         at = inputs.ravel()
         order = np.argsort(at, kind="stable")
         rows, first = np.unique(at[order], return_index=True)
@@ -191,13 +206,22 @@ class Model:
         losses = []
         for i, (_, own, inputs, fresh) in enumerate(self.windows(codes, doc, size), 1):
             g, state, loss = self.gradients(inputs, fresh, own, state)
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
             scale = min(1.0, 1.0 / (norm + 1e-9))
             for k, x in g.items():
                 x *= F32(scale)
-                m[k] += F32(0.1) * (x - m[k])
-                v[k] += F32(0.01) * (x * x - v[k])
-                self.w[k] -= F32(rate) * (m[k] / F32(1 - 0.9**i)) / (np.sqrt(v[k] / F32(1 - 0.99**i)) + F32(1e-8))
+                m[k] *= F32(0.9)
+                m[k] += F32(0.1) * x
+                x *= x
+                x *= F32(0.01)
+                v[k] *= F32(0.99)
+                v[k] += x
+                step = np.sqrt(v[k])
+                step *= F32((1 - 0.99**i) ** -0.5)
+                step += F32(1e-8)
+                np.divide(m[k], step, step)
+                step *= F32(rate / (1 - 0.9**i))
+                self.w[k] -= step
             losses.append(loss)
         return losses
 

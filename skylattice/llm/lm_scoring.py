@@ -1,7 +1,7 @@
 """Scores of whole documents by a gated recurrent language model trained on the corpus.
 
 Word counts of all training documents are made by a shuffle of the distinct words of slices (a slice is a few megabytes
-of texts), and go back to the slices the same way, so that no task needs the vocabulary. There each text becomes a
+of texts, written once in a packed form), and go back to the slices the same way, so that no task needs the vocabulary. There each text becomes a
 sequence of codes: frequent words have codes of their own, others one of a bin of counts. The model predicts codes; a
 word within its bin has its share of the bin's count, and the bin of unseen words is one type, as in the base model.
 For training, counts leave out the occurrence itself, so that the model learns how likely unseen words are.
@@ -14,12 +14,13 @@ number is fixed, and a few sums come to the driver.
 from __future__ import annotations
 
 import gc
-import hashlib
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,9 +36,9 @@ def words_of(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def sliced(rows: DataFrame, kind: int) -> DataFrame:
-    """kind 0: (slice, place, word, n): distinct words of a slice, n occurrences in training documents.
-    kind 1: (slice, doc_ids, rests, counts, places): its documents, crc32 of their ids, and their words as places."""
+def sliced(rows: DataFrame) -> DataFrame:
+    """(slice, doc_ids, rests, counts, places, words, ns), one row a slice: its documents, crc32 of their ids, their words as
+    places in the list of its distinct words, and how often each of these occurs in training documents."""
     id_type = rows.schema["doc_id"].dataType
     arrow_id = to_arrow_type(id_type)
 
@@ -45,37 +46,44 @@ def sliced(rows: DataFrame, kind: int) -> DataFrame:
         gc.disable()
         for part in text_slices(batches, SLICE):
             places = Places()
-            digest, found, counts, train = hashlib.blake2b(digest_size=8), [], [], []
+            found, counts, train = [], [], []
             rests = part.column("rest").to_pylist()
             for text, rest in zip(part.column("text"), rests):
-                data = text.as_buffer().to_pybytes()
-                digest.update(b"%d " % len(data))
-                digest.update(data)
-                words = words_of(data)
+                words = words_of(text.as_buffer().to_pybytes())
                 found.append(np.array([places[w] for w in words], np.uint32))
                 counts.append(len(words))
                 if rest % 10:
                     train.append(found[-1])
-            ids = part.column("doc_id").to_pylist()
-            digest.update(repr(ids).encode())
-            key = int.from_bytes(digest.digest(), "little", signed=True)
             every = np.concatenate(found) if found else np.zeros(0, np.uint32)
+            # frequent words get small numbers, which pack well
             order = np.argsort(-np.bincount(every, minlength=len(places)), kind="stable")
             rank = np.empty(len(places), np.uint32)
             rank[order] = np.arange(len(places), dtype=np.uint32)
-            if kind == 0:
-                n = (np.bincount(np.concatenate(train), minlength=len(places)) if train else np.zeros(len(places), np.int64))[order]
-                words = list(places)
-                words = [words[i] for i in order.tolist()]
+            n = (np.bincount(np.concatenate(train), minlength=len(places)) if train else np.zeros(len(places), np.int64))[order]
+            words = list(places)
+            data = zstandard.compress(b"\n".join([words[i] for i in order.tolist()]), 3)  # no word holds a line end
+            ids = part.column("doc_id").to_pylist()
+            columns = ([uuid.uuid4().hex], [ids], [rests], [counts], [packed(rank[every])], [data], [packed(n)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    names = ["slice", "doc_ids", "rests", "counts", "places", "words", "ns"]
+    kinds = [pa.string(), pa.list_(arrow_id), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+    return rows.mapInArrow(run, f"slice string, doc_ids array<{id_type.simpleString()}>, rests array<long>, counts array<long>, places binary, words binary, ns binary")
+
+
+def words_in(slices: DataFrame) -> DataFrame:
+    """(slice, place, word, n) of the distinct words of slices."""
+
+    def run(batches):
+        for batch in batches:
+            for key, words, ns in zip(*(batch.column(c).to_pylist() for c in ("slice", "words", "ns"))):
+                n = unpacked(ns).astype(np.int64)
+                words = zstandard.decompress(words).split(b"\n") if len(n) else []
                 for at in range(0, len(words), 50_000):
                     some = words[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.binary()), pa.array(n[at : at + len(some)].astype(np.int64))], ["slice", "place", "word", "n"])
-            else:
-                # frequent words get small numbers, which pack well
-                data = packed(rank[every])
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids], pa.list_(arrow_id)), pa.array([rests], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["slice", "doc_ids", "rests", "counts", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(some)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.binary()), pa.array(n[at : at + len(some)])], ["slice", "place", "word", "n"])
 
-    return rows.mapInArrow(run, "slice long, place int, word binary, n long" if kind == 0 else f"slice long, doc_ids array<{id_type.simpleString()}>, rests array<long>, counts array<long>, places binary")
+    return slices.select("slice", "words", "ns").mapInArrow(run, "slice string, place int, word binary, n long")
 
 
 def answers(words: DataFrame, head) -> DataFrame:
@@ -83,14 +91,14 @@ def answers(words: DataFrame, head) -> DataFrame:
 
     def run(batches):
         table = head.value
-        held: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
+        held: dict[str, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
         n = 0
 
         def out():
             pack = lambda x, t: zlib.compress(np.array(x, t).tobytes(), 1)
             rows = [(k, packed(np.array(p)), pack(c, np.int64), pack(h, np.int16)) for k, (p, c, h) in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["slice", "places", "cs", "codes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.binary()))], ["slice", "places", "cs", "codes"])
 
         for batch in batches:
             for key, place, word, c in zip(*(batch.column(x).to_pylist() for x in ("slice", "place", "word", "c"))):
@@ -105,7 +113,7 @@ def answers(words: DataFrame, head) -> DataFrame:
         if held:
             yield out()
 
-    return words.select("slice", "place", "word", "c").mapInArrow(run, "slice long, places binary, cs binary, codes binary")
+    return words.select("slice", "place", "word", "c").mapInArrow(run, "slice string, places binary, cs binary, codes binary")
 
 
 def bins_of(c: np.ndarray) -> np.ndarray:
@@ -113,10 +121,10 @@ def bins_of(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.frexp(c.astype(float))[1], 0)
 
 
-def coded(packed: DataFrame, answered: DataFrame, totals: dict, share: int) -> DataFrame:
+def coded(slices: DataFrame, answered: DataFrame, totals: dict) -> DataFrame:
     """One row per document: doc_id, rest, n_tokens, n_known, base_score, tail (log10 of words within bins), codes and,
-    for one of `share` training documents, the codes to train on."""
-    id_type = packed.schema["doc_ids"].dataType.elementType
+    for training documents, the codes to train on."""
+    id_type = slices.schema["doc_ids"].dataType.elementType
     arrow_id = to_arrow_type(id_type)
     log_of = np.log10
 
@@ -145,12 +153,12 @@ def coded(packed: DataFrame, answered: DataFrame, totals: dict, share: int) -> D
                 out[4].append(float(base[own].sum() + log_of((totals["docs"] + 0.1) / whole)))
                 out[5].append(float(tail[own].sum()))
                 out[6].append(zlib.compress(np.append(to_score[own], end).tobytes(), 1))
-                out[7].append(zlib.compress(np.append(to_train[own], end).tobytes(), 1) if rest % 10 and rest // 10 % share == 0 else None)
+                out[7].append(zlib.compress(np.append(to_train[own], end).tobytes(), 1) if rest % 10 else None)
         kinds = (arrow_id, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["doc_id", "rest", "n_tokens", "n_known", "base_score", "tail", "codes", "train"])
 
     schema = f"doc_id {id_type.simpleString()}, rest long, n_tokens long, n_known long, base_score double, tail double, codes binary, train binary"
-    return packed.groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(join, schema)
+    return slices.select("slice", "doc_ids", "rests", "counts", "places").groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(join, schema)
 
 
 def dealt(rows: DataFrame, group_tokens: int, rounds: int) -> DataFrame:
@@ -185,18 +193,19 @@ def trained(rows: DataFrame, group_tokens: int, rounds: int) -> dict[str, np.nda
     return gru.unflat(weights, shapes)
 
 
-def score_documents(docs: DataFrame, share: int = 1, group_tokens: int = 4_000_000, rounds: int = 4) -> DataFrame:
+def score_documents(docs: DataFrame, group_tokens: int = 4_000_000, rounds: int = 4) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    Documents whose crc32(doc_id as text) mod 10 is not 0 are learnt from: all of them for counts, one in `share` (all
-    by default) for the weights. A null or empty text is the end token alone; a null doc_id is held out; repeated rows stay repeated
+    Documents whose crc32(doc_id as text) mod 10 is not 0 are learnt from, each for counts and weights. Texts are read
+    once, so that their order does not matter. A null or empty text is the end token alone; a null doc_id is held out; repeated rows stay repeated
     and count as often; an empty table gives an empty table; columns other than doc_id and text are not read.
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     rows = texts(docs).withColumn("rest", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)))
-    words = written(spark, sliced(rows, 0), "words")
+    slices = written(spark, sliced(rows), "slices")
+    words = words_in(slices)
     counts = written(spark, words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
-    n_docs = rows.filter("rest % 10 <> 0").count()
+    n_docs = slices.agg(F.coalesce(F.sum(F.size(F.filter("rests", lambda r: r % 10 != 0))), F.lit(0))).head()[0]
     top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # as many rows as the model has codes
     length = F.length(F.bin("c"))
     bins = Counter({r[0]: r[1] for r in counts.groupBy(length).agg(F.sum("c")).collect()})  # one row per bit length
@@ -206,7 +215,7 @@ def score_documents(docs: DataFrame, share: int = 1, group_tokens: int = 4_000_0
     totals = {"tokens": n_words + n_docs, "types": n_types + (n_docs > 0), "docs": n_docs, "bins": [max(1, bins[i]) for i in range(BINS + 24)]}
     head = sc.broadcast({bytes(r["word"]): i for i, r in enumerate(top)})
     asked = words.join(counts, "word", "left").select("slice", "place", "word", F.coalesce("c", F.lit(0)).alias("c"))
-    rows_coded = written(spark, coded(sliced(rows, 1), answers(asked, head), totals, share), "coded")
+    rows_coded = written(spark, coded(slices, answers(asked, head), totals), "coded")
     model = sc.broadcast(trained(rows_coded, group_tokens, rounds))
 
     def run(batches):
@@ -231,4 +240,5 @@ def score_documents(docs: DataFrame, share: int = 1, group_tokens: int = 4_000_0
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see score_documents for the cases."""
     return score_documents(read(spark, sf_dir, "documents"))

@@ -101,7 +101,7 @@ def test_bit_planes_match_brute_force():
 
 
 def test_language_model(docs, texts):
-    got = {r.doc_id: r for r in lm_scoring.score_documents(docs, share=2, rounds=1).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score_documents(docs, rounds=1).collect()}
     words = {k: [*t.encode().lower().split(), None] for k, t in texts.items()}
     held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in texts}
     c = collections.Counter(w for k, d in words.items() if not held[k] for w in d)
