@@ -7,8 +7,8 @@ to the slices that asked, meet the packed texts there, and are put together by p
 table, which has one row for each id of the vocabulary and is broadcast for that reason.
 
 A frequent word has one row for each slice, not for each occurrence, so no word is hot. What is shuffled are the
-distinct words of slices and the packed texts. Slices are the same whenever the texts are read again: their key is a
-digest of their rows, so that equal keys mean equal rows.
+distinct words of slices and the packed texts. A slice's key is a digest of its rows, so that equal keys mean equal rows;
+texts whose order can change between two reads are written before they are cut.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Places, packed, read, text_slices, texts, unpacked
+from .common import Places, packed, read, text_slices, texts, unpacked, written
 from .token_counts import Boundaries, character_classes, cut
 
 SLICE = 32 << 20
@@ -165,16 +165,18 @@ def gathered(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nd
     return values[shift + np.arange(total)]
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, digests: tuple[str, ...] = (), max_bytes: int = SLICE) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, digests: tuple[str, ...] = (), max_bytes: int = SLICE, scanned: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (array<int>), decoded (binary); those named in digests as x_sha256.
 
+    Texts are read twice and must come in the same order. scanned says that docs is a scan of files, where they do, in
+    a task that is run again too; other tables are written to the shared folder first.
     A null text is empty and has no ids; null doc_ids stay; repeated rows stay repeated; an empty table gives an empty
     table; columns other than doc_id and text are not read.
     """
     sc = docs.sparkSession.sparkContext
     table = ranks_of(ranks_path)
     ranks, classes = sc.broadcast(table), sc.broadcast(character_classes())
-    rows = texts(docs)
+    rows = texts(docs) if scanned else written(docs.sparkSession, texts(docs), "texts")
     id_type = rows.schema["doc_id"].dataType
     arrow_id = to_arrow_type(id_type)
     by_slice = word_ids(sliced_words(rows, classes, 0, max_bytes), ranks)
@@ -213,6 +215,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, digests: tuple[str, ...] = (
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of all documents; see encode_decode for the cases."""
     import public_tokenizers
 
-    return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=("ids", "decoded"))
+    return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=("ids", "decoded"), scanned=True)

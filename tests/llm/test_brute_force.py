@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skylattice.llm import bpe_codec, gru, lm_scoring, simhash, token_counts, toxicity
@@ -48,6 +49,17 @@ def test_bpe_equals_the_library_and_round_trips(docs, texts):
         assert list(got[k].ids) == lib.encode_ordinary(t) and bytes(got[k].decoded) == t.encode() and got[k].n_tokens == len(got[k].ids)
 
 
+def test_rows_in_another_order_on_each_read(docs, texts):
+    shuffled = docs.orderBy(F.rand())  # no seed is fixed across reads: each one sorts anew
+    shuffled = shuffled.mapInArrow(lambda batches: (b.take(np.random.permutation(b.num_rows)) for b in batches), docs.schema)
+    ranks = bpe_codec.ranks_of(P.path("byte_bpe_50k.tiktoken"))
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r.n_tokens for r in bpe_codec.encode_decode(shuffled, P.path("byte_bpe_50k.tiktoken"), ("ids", "decoded"), 40_000).collect()}
+    assert got == {k: len(lib.encode_ordinary(t)) for k, t in texts.items()}
+    base = {r.doc_id: r.base_score for r in lm_scoring.score_documents(docs, rounds=1).collect()}
+    assert {r.doc_id: r.base_score for r in lm_scoring.score_documents(shuffled, rounds=1).collect()} == pytest.approx(base)
+
+
 def test_simhash(docs, texts, spark):
     prints = {}
     for k, t in texts.items():
