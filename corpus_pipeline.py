@@ -39,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of the text that they decode to."""
     import public_tokenizers
 
-    return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=("decoded",))
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=("decoded",), scanned=True)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("leaks", leaks), ("tokens", tokens)]
