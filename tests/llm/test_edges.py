@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +134,60 @@ def test_licenses(spark):
     assert (got[3].n_base, got[3].first_word, got[3].last_word) == (2, 1, 4)
 
 
+#: Wording of licenses as it stands in files, none of it with the license's name, and the labels that must be found.
+TEXTS = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so"""),
+    ("bsd,bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that:
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+  derived from this software without specific prior written permission."""),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("zlib", "3. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("gpl,gpl-3.0+", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("apache,apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed"),
+    ("", "The committee may permit the public to read the program, and nothing in it is licensed to anyone in particular."),
+]
+
+
+def test_wording_of_licenses(spark):
+    got = by_id(license_scan.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(TEXTS)], "doc_id long, text string")))
+    assert {i: r.labels for i, r in got.items()} == {i: labels for i, (labels, _) in enumerate(TEXTS)}
+    assert all((got[i].score > 0.5) == (labels != "") for i, (labels, _) in enumerate(TEXTS))
+
+
+def test_detections_match_brute_force(spark):
+    rules = license_scan.rules()
+    assert len(rules) > 400 and all(any(g in r[2].replace("  ", " ") for g in license_scan.GATE) for r in rules)
+    r = random.Random(3)
+    parts = ["the mit license", "MIT License agreement", "licensed under the GNU General Public License version 2 or later", "all rights reserved", "BSD 2-clause", "word", "SPDX-License-Identifier: GPL-3.0-or-later", "cc-by 4.0", "apache software license 2.0", "as is, without warranty of any kind", *[t for _, t in TEXTS]]
+    texts = [", ".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(60)]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        norm = " " + "  ".join(words) + " "
+        found = []
+        for number, label, key, priority, sure, pattern, base in rules:
+            if key in norm:
+                found += [(norm[: m.start(1)].count("  "), norm[: m.start(1)].count("  ") + m.group(1).count("  ") + 1, priority, number, label, base) for m in re.finditer(pattern, norm)]
+        before = lambda a, b: (a[0], -a[1], a[2], a[3]) < (b[0], -b[1], b[2], b[3])
+        kept = [d for d in found if d[5] or not any(before(o, d) and o[1] >= d[1] and o[2] <= d[2] for o in found)]
+        assert got[i].labels == ",".join(sorted({d[4] for d in kept})) and got[i].n_base == sum(d[5] for d in found) and got[i].n_words == len(words)
+        assert sorted((d.start, d.end, d.rule) for d in got[i].detections or []) == sorted((d[0], d[1], d[3]) for d in kept)
+
+
+def test_many_detections_in_one_text(spark):
+    start = time.time()
+    (row,) = license_scan.license_scan(spark.createDataFrame([(1, "mit license " * 60_000)], "doc_id long, text string")).collect()
+    assert row.n_base == len(row.detections) == 60_000 and time.time() - start < 60
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "<\x1as>", "<\x1a\x1as> <s>", "[[INST]]", "", None, "plain \x1a"]
     rows = [(i % 2, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(None, 0, None, "x"), (5, 1, "assistant", "b"), (5, 1, "assistant", "a"), (5, None, "user", "a")]
