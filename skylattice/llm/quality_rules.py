@@ -2,23 +2,25 @@
 
 Every text is measured with DataFrame functions only. The sketch of a metric is its counts by bucket, a bucket holding
 values that agree in their seven leading bits (relative error below 1/64); two sketches merge by adding counts, so they
-are summed before the shuffle, and a language's or the corpus's sketch is the sum of its parts. Thresholds are the
-group's median plus or minus the larger of a slack and a multiple of the distance from median to lower decile, which
-holds with up to half of a group's rows spoilt. Groups too small for a sketch of their own take that of their
-language, or else of the corpus. Documents are then joined with the thresholds of their group.
+are summed before the shuffle, and a language's or the corpus's sketch is the sum of its parts. A threshold is the
+group's median plus or minus eight times the distance from the median to the quartile on that side, which holds with up
+to a quarter of a group's rows spoilt; a least distance stands in for a quartile that lies at the median. Groups too small
+for a sketch of their own take that of their language, or else of the corpus. Documents are then joined with the
+thresholds of their group. Repeated windows have no threshold: the base rule bounds them for all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, rows_where, written
+from .common import read, written
 
 WINDOW = 5
-#: metric: (slack above the median, slack below or None); shares in thousandths, mean word length in tenths.
-RULES = {"symbols": (200, None), "dup_lines": (400, None), "repeats": (200, None), "word_length": (40, 25)}
-SPREADS = 4
+#: metric: (least distance of the upper quartile, of the lower or None); shares in thousandths, mean word length in tenths.
+RULES = {"symbols": (8, None), "dup_lines": (45, None), "word_length": (3, 2)}
+SPREADS = 8
+QUARTILES = ("q25", "q50", "q75")
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -55,7 +57,6 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ((F.col("__n") < 10) | (100 * F.col("__r") > 20 * F.col("__n"))).alias("base_failed"),
         F.floor(1000 * F.col("__s") / n).alias("symbols"),
         F.floor(1000 * F.col("__d") / F.greatest(F.col("__nl"), F.lit(1))).alias("dup_lines"),
-        F.floor(1000 * F.col("__r") / n).alias("repeats"),
         F.floor(10 * F.col("__c") / n).alias("word_length"),
     )
     return step.select(*own, q.alias("__q"))
@@ -74,14 +75,12 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """by, metric, total, q10, q50 of the sketch merged to these groups."""
-    from pyspark.sql import Window
-
+    """by, metric, total, q25, q50, q75 of the sketch merged to these groups."""
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
     cum = merged.withColumn("total", F.sum("n").over(group)).withColumn("upto", F.sum("n").over(group.orderBy("bucket")))
-    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), F.col("bucket")))
-    return cum.groupBy(*by, "metric").agg(F.max("total").alias("total"), at(1).alias("q10"), at(5).alias("q50"))
+    at = lambda quarters: F.min(F.when(4 * F.col("upto") >= quarters * F.col("total"), F.col("bucket")))
+    return cum.groupBy(*by, "metric").agg(F.max("total").alias("total"), *[at(i).alias(q) for i, q in enumerate(QUARTILES, 1)])
 
 
 def thresholds(sketch: DataFrame, min_rows: int = 100) -> DataFrame:
@@ -91,10 +90,12 @@ def thresholds(sketch: DataFrame, min_rows: int = 100) -> DataFrame:
     a, b, c = named(own, "a"), named(by_lang, "b"), named(by_all, "c")
     j = a.join(b, (F.col("a_metric") == F.col("b_metric")) & F.col("a_lang").eqNullSafe(F.col("b_lang"))).join(c, F.col("a_metric") == F.col("c_metric"))
     pick = lambda q: F.when(F.col("a_total") >= min_rows, F.col(f"a_{q}")).when(F.col("b_total") >= min_rows, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
-    rows = j.select(F.col("a_lang").alias("lang"), F.col("a_source").alias("source"), F.col("a_metric").alias("metric"), pick("q10").alias("q10"), pick("q50").alias("q50"))
-    spread = SPREADS * (F.col("q50") - F.col("q10"))
-    of = lambda m, k, otherwise, sign: F.max(F.when(F.col("metric") == m, F.lit(otherwise) if RULES[m][k] is None else F.col("q50") + sign * F.greatest(F.lit(RULES[m][k]), spread)))
-    return rows.groupBy("lang", "source").agg(*[of(m, 0, 1 << 60, 1).alias(f"{m}_hi") for m in RULES], *[of(m, 1, -(1 << 60), -1).alias(f"{m}_lo") for m in RULES])
+    rows = j.select(F.col("a_lang").alias("lang"), F.col("a_source").alias("source"), F.col("a_metric").alias("metric"), *[pick(q).alias(q) for q in QUARTILES])
+    over = lambda least, a, b: SPREADS * F.greatest(F.lit(least), F.col(a) - F.col(b))
+    of = lambda m, limit: F.max(F.when(F.col("metric") == m, limit))
+    highs = [of(m, F.col("q50") + over(up, "q75", "q50")).alias(f"{m}_hi") for m, (up, _) in RULES.items()]
+    lows = [of(m, F.lit(-1) if down is None else F.col("q50") - over(down, "q50", "q25")).alias(f"{m}_lo") for m, (_, down) in RULES.items()]
+    return rows.groupBy("lang", "source").agg(*highs, *lows)
 
 
 def judged(rows: DataFrame, limits: DataFrame, max_groups: int = 100_000) -> DataFrame:
@@ -126,12 +127,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, that the rules keep; texts are measured where they lie and not moved."""
-    limits = written(docs.sparkSession, thresholds(sketches(measured(docs.select("lang", "source", "text")).drop("text"))), "limits")
-    return rows_where(judged(measured(docs), limits), F.col("__kept")).drop("__q", "__kept")
+    """The rows of docs, with their own columns, that the rules keep. Rows are written with their measures, which are taken once."""
+    rows = measured(docs.select(F.struct(*docs.columns).alias("row")), "row.text").select("row", "row.lang", "row.source", "__q")
+    rows = written(docs.sparkSession, rows, "measured")
+    limits = written(docs.sparkSession, thresholds(sketches(rows)), "limits")
+    return judged(rows, limits).filter("__kept").select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents; see quality_rules for the cases."""
     out = quality_rules(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -154,7 +158,7 @@ def measured_sql(table: str, prefix: str = "") -> str:
 {prefix}m as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
     1000 * n_symbols // greatest(n_words, 1) symbols, 1000 * n_dup_lines // greatest(n_lines, 1) dup_lines,
-    1000 * n_repeat_words // greatest(n_words, 1) repeats, 10 * word_chars // greatest(n_words, 1) word_length
+    10 * word_chars // greatest(n_words, 1) word_length
   from {prefix}c)"""
 
 
@@ -163,23 +167,21 @@ def kept_sql(prefix: str = "") -> str:
     def q(tag: str, by: str) -> str:
         over = f"partition by {by}metric"
         return f"""
-{prefix}{tag} as (select {by}metric, max(total) total, min(case when 10 * upto >= total then bucket end) q10, min(case when 10 * upto >= 5 * total then bucket end) q50
+{prefix}{tag} as (select {by}metric, max(total) total, min(case when 4 * upto >= total then bucket end) q25, min(case when 4 * upto >= 2 * total then bucket end) q50, min(case when 4 * upto >= 3 * total then bucket end) q75
   from (select *, sum(n) over ({over}) total, sum(n) over ({over} order by bucket) upto from (select {by}metric, bucket, sum(n) n from {prefix}sk group by all)) group by all)"""
 
-    slack = " ".join(f"when '{m}' then {hi}" for m, (hi, _) in RULES.items())
-    below = " ".join(f"when '{m}' then {lo}" for m, (_, lo) in RULES.items() if lo is not None)
+    least = lambda k: " ".join(f"when '{m}' then {r[k]}" for m, r in RULES.items() if r[k] is not None)
     union = " union all ".join(f"select lang, source, '{m}' metric, {m} x from {prefix}m where not base_failed" for m in RULES)
     within = " and ".join(f"m.{m} between {m}_lo and {m}_hi" for m in RULES)
     sides = ", ".join(f"max(case when metric = '{m}' then hi end) {m}_hi, max(case when metric = '{m}' then lo end) {m}_lo" for m in RULES)
+    picked = ", ".join(f"case when a.total >= 100 then a.{q} when b.total >= 100 then b.{q} else c.{q} end {q}" for q in QUARTILES)
     return f"""
 {prefix}sk as (select lang, source, metric, (x >> s) << s bucket, count(*) n from (select *, greatest(length(bin(x)) - 7, 0) s from ({union})) group by all),{q("qa", "lang, source, ")},{q("qb", "lang, ")},{q("qc", "")},
 {prefix}lim as (
-  select lang, source, metric, q50 + greatest(case metric {slack} end, {SPREADS} * (q50 - q10)) hi,
-    case metric {below} end is not null has_lo, q50 - greatest(coalesce(case metric {below} end, 0), {SPREADS} * (q50 - q10)) lo0,
-    case when has_lo then lo0 else -1 end lo
+  select lang, source, metric, q50 + {SPREADS} * greatest(case metric {least(0)} end, q75 - q50) hi,
+    case metric {least(1)} end least_below, case when least_below is null then -1 else q50 - {SPREADS} * greatest(least_below, q50 - q25) end lo
   from (select a.lang, a.source, a.metric,
-      case when a.total >= 100 then a.q10 when b.total >= 100 then b.q10 else c.q10 end q10,
-      case when a.total >= 100 then a.q50 when b.total >= 100 then b.q50 else c.q50 end q50
+      {picked}
     from {prefix}qa a join {prefix}qb b on a.metric = b.metric and a.lang is not distinct from b.lang join {prefix}qc c on a.metric = c.metric)),
 {prefix}sides as (select lang, source, {sides} from {prefix}lim group by all),
 {prefix}k as (

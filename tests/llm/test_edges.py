@@ -188,6 +188,30 @@ def test_many_detections_in_one_text(spark):
     assert row.n_base == len(row.detections) == 60_000 and time.time() - start < 60
 
 
+def test_thresholds_follow_their_group(spark):
+    r = random.Random(4)
+    text = lambda symbols: " ".join(r.choice("alpha beta gamma delta epsilon zeta".split()) + str(i) for i in range(100)) + " #" * symbols
+    # code holds 5 to 25 symbols in a hundred words, prose none but in some spoilt texts; a small source takes its language's limits
+    rows = [("en", "code", text(r.randint(5, 25))) for _ in range(200)] + [("en", "prose", text(0)) for _ in range(900)] + [("en", "prose", text(20)) for _ in range(60)]
+    rows += [("en", "small", text(20)), (None, None, text(0)), (None, None, text(60))]
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "doc_id long, lang string, source string, text string").withColumns({c: F.lit(1) for c in ("row", "__q", "__kept", "__lang")})
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs).collect() if r.kept}
+    assert kept == set(range(1100)) | {1161}
+    good = quality_rules.keep_good(docs)
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == kept
+    limits = quality_rules.thresholds(quality_rules.sketches(quality_rules.measured(docs.select("lang", "source", "text"))))
+    many = quality_rules.judged(quality_rules.measured(docs.select("doc_id", "lang", "source", "text")), limits, max_groups=1)
+    assert {r.doc_id for r in many.collect() if r["__kept"]} == kept
+
+
+def test_rules_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = by_id(quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")))
+    labels = [(r.quality, got[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if not got[r.doc_id].base_failed]
+    good, bad = [r.kept for q, r in labels if q == 1], [r.kept for q, r in labels if q == 0]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "<\x1as>", "<\x1a\x1as> <s>", "[[INST]]", "", None, "plain \x1a"]
     rows = [(i % 2, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(None, 0, None, "x"), (5, 1, "assistant", "b"), (5, 1, "assistant", "a"), (5, None, "user", "a")]
