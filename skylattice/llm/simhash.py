@@ -81,36 +81,42 @@ def shifted(plane: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def near(planes: np.ndarray, other: np.ndarray, alive: np.ndarray, block: int = 64) -> np.ndarray:
-    """Of the lanes set in alive, those where planes and other differ in at most RADIUS (3) bits.
+def near(planes: np.ndarray, other: np.ndarray, alive: np.ndarray, block: int = 64, radius: int = RADIUS) -> np.ndarray:
+    """Of the lanes set in alive, those where planes and other differ in at most `radius` bits.
 
-    Two counter bits hold distances to three and `over` what went beyond. Every eight planes, blocks of words in which
-    no lane is alive any more are dropped from the rest of the work.
+    Counter bits, started so that they overflow beyond the radius, hold distances and `over` what overflowed. Every eight
+    planes, blocks of words in which no lane is alive any more are dropped from the rest of the work.
     """
     words = planes.shape[1]
     at = np.flatnonzero(np.bitwise_or.reduceat(alive, np.arange(0, words, block)))
     lanes = (at[:, None] * block + np.arange(block)).ravel()
     lanes = lanes[lanes < words]
-    one, two = np.zeros(len(lanes), np.uint64), np.zeros(len(lanes), np.uint64)
+    size = radius.bit_length()
+    first = (1 << size) - 1 - radius
+    counters = [np.full(len(lanes), -(first >> i & 1), np.int64).view(np.uint64) for i in range(size)]
     over = ~alive[lanes]
     for b in range(64):
         carry = planes[b, lanes] ^ other[b, lanes]
-        one, carry = one ^ carry, one & carry
-        two, carry = two ^ carry, two & carry
+        for i, c in enumerate(counters):
+            counters[i], carry = c ^ carry, c & carry
         over |= carry
         if b % 8 == 7 and len(lanes):
             open_ = np.bitwise_or.reduceat(~over, np.arange(0, len(lanes), block)) != 0
             if not open_.all():
                 keep = np.repeat(open_, block)[: len(lanes)]
-                lanes, one, two, over = lanes[keep], one[keep], two[keep], over[keep]
+                lanes, over, counters = lanes[keep], over[keep], [c[keep] for c in counters]
     out = np.zeros(words, np.uint64)
     out[lanes] = ~over
     return out
 
 
-def linked(fps: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """For each fingerprint the place of the first one that it is linked to within its bucket (rows lie by bucket)."""
-    root = np.arange(len(fps))
+def linked(fps: np.ndarray, buckets: np.ndarray, radius: int = RADIUS, same=None, start: np.ndarray | None = None, found_links: list | None = None) -> np.ndarray:
+    """For each fingerprint the place of the first one that it is linked to within its bucket (rows lie by bucket).
+
+    same(i, j): whether two rows within the radius are linked indeed, else all are; start: places of rows that each row is
+    linked to from the outset, not after its own; found_links: takes the links that were made.
+    """
+    root = np.arange(len(fps)) if start is None else start.copy()
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -119,26 +125,34 @@ def linked(fps: np.ndarray, buckets: np.ndarray) -> np.ndarray:
         return i
 
     members = np.bincount(buckets)[buckets]
-    place, at, of = root.copy(), fps, buckets
+    place, at, of = np.arange(len(fps)), fps, buckets
     lag = 1
     while True:
-        # whole buckets are dropped as soon as the lag is beyond them, when that frees half of the lanes
+        # whole buckets are dropped as soon as the lag is beyond them or all in them are linked, when that frees half of the lanes
         keep = members > lag
+        if lag % 16 == 1 and keep.any():
+            edges = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            tops = root[place]
+            one = np.minimum.reduceat(tops, edges) == np.maximum.reduceat(tops, edges)
+            keep &= ~np.repeat(one, np.diff(np.append(edges, len(of))))
+            members = np.where(keep, members, 0)
         if not keep.any():
             break
         if lag == 1 or keep.sum() * 2 < len(keep):
             place, at, of, members = place[keep], at[keep], of[keep], members[keep]
             planes = planes_of(at)
-        alive = np.append(of[:-lag] == of[lag:], np.zeros(lag, bool))
+        alive = np.append(of[:-lag] == of[lag:], np.zeros(min(lag, len(of)), bool))
         open_ = alive.copy()
         open_[:-lag] &= root[place[:-lag]] != root[place[lag:]]
         bits = np.packbits(np.pad(open_, (0, -len(at) % 64)), bitorder="little").view("<u8")
         if bits.any():
-            found = np.unpackbits(near(planes, shifted(planes, lag), bits).view(np.uint8), bitorder="little")
+            found = np.unpackbits(near(planes, shifted(planes, lag), bits, radius=radius).view(np.uint8), bitorder="little")
             for i in np.flatnonzero(found):
                 a, b = top(place[i]), top(place[i + lag])
-                if a != b:
+                if a != b and (same is None or same(place[i], place[i + lag])):
                     root[max(a, b)] = min(a, b)
+                    if found_links is not None:
+                        found_links.append((place[i], place[i + lag]))
             if len(found):
                 while (up := root[root]).tolist() != root.tolist():
                     root[:] = up
@@ -233,16 +247,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, limit: int = 4096) -> DataFr
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 3, limit: int = 4096) -> DataFrame:
-    """The rows of docs, whole, that stand for their component: those of its smallest doc_id, repeated rows once.
-
-    Rows without a doc_id stay only if no row of their component has one.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), size, limit)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
-
-
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; see near_duplicates for the cases."""
     return near_duplicates(read(spark, sf_dir, "documents"))

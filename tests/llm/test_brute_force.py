@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skylattice.llm import bpe_codec, gru, lm_scoring, simhash, token_counts, toxicity
+from skylattice.llm import bpe_codec, gru, lm_scoring, near_texts, simhash, token_counts, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -102,14 +102,75 @@ def test_simhash(docs, texts, spark):
     assert classes(8) == classes(4096)
 
 
+def word_sets(texts, size=5):
+    out = {}
+    for k, t in texts.items():
+        words = (t or "").encode().lower().split()
+        out[k] = {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    return out
+
+
+def jaccard_classes(sets, similarity=0.8):
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or len(x & y) >= similarity * len(x | y) > 0:
+                p, q = sorted((top(a), top(b)))
+                root[q] = p
+    return {k: top(k) for k in sets}
+
+
+@pytest.mark.parametrize("limit", [4096, 6])
+def test_near_texts_against_jaccard(spark, docs, texts, limit):
+    r = random.Random(8)
+    word = lambda: r.choice(["w%d" % i for i in range(400)])
+    made = {}
+    for group in range(12):
+        stem = [word() for _ in range(r.randint(20, 90))]
+        for _ in range(r.choice((1, 3, 12, 40))):
+            copy = list(stem)
+            for _ in range(r.randint(0, 4)):
+                copy[r.randrange(len(copy))] = word()
+            made[100_000 + len(made)] = " ".join(copy)
+            stem = copy if r.random() < 0.3 else stem  # chains, whose ends are not alike
+    passage = " ".join(word() for _ in range(40))
+    for _ in range(30):  # texts that share a passage and are not near each other
+        made[100_000 + len(made)] = passage + " " + " ".join(word() for _ in range(r.randint(15, 60)))
+    whole = (texts | made) if limit > 100 else made
+    df = spark.createDataFrame([(k, t) for k, t in whole.items()], "doc_id long, text string")
+    want = jaccard_classes(word_sets(whole))
+    found = collections.defaultdict(list)
+    for row in near_texts.similar_texts(df, limit=limit).collect():
+        found[bytes(row["class"])].append(row.doc_id)
+    assert sorted(sorted(v) for v in found.values()) == sorted(sorted(k for k in want if want[k] == root) for root in set(want.values()))
+    assert {row.doc_id for row in near_texts.one_of_each(df, limit=limit).collect()} == set(want.values())
+
+
+def test_one_of_each_tells_rows_apart(spark):
+    a, b = "one two three four five six seven eight", "another text with words of its own and more"
+    rows = [(1, a, 1), (0, a, 2), (1, b, 3), (None, b, 4), (None, "alone here with nobody else at all", 5), (2, None, 6), (3, "", 7), (0, a, 2), (4, "x", 8), (5, "X", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    assert sorted(r.row for r in near_texts.one_of_each(df).collect()) == [2, 3, 5, 6, 8]
+    assert near_texts.one_of_each(df.limit(0)).collect() == [] and near_texts.one_of_each(df).columns == df.columns
+
+
 def test_bit_planes_match_brute_force():
     rng = np.random.default_rng(1)
     fps = np.unique(np.array([int(b) ^ sum(1 << int(i) for i in set(rng.integers(0, 64, rng.integers(0, 4)))) for b in rng.integers(0, 2**63, 30, dtype=np.uint64) for _ in range(12)], np.uint64))
     planes = simhash.planes_of(fps)
     for lag in (1, 5, 64, 70):
         alive = np.packbits(np.pad(np.arange(len(fps)) < len(fps) - lag, (0, -len(fps) % 64)), bitorder="little").view("<u8")
-        got = np.unpackbits(simhash.near(planes, simhash.shifted(planes, lag), alive, block=1).view(np.uint8), bitorder="little")[: len(fps) - lag]
-        assert (got == (np.bitwise_count(fps[:-lag] ^ fps[lag:]) <= 3)).all()
+        for radius in (3, 6, 24):
+            got = np.unpackbits(simhash.near(planes, simhash.shifted(planes, lag), alive, block=1, radius=radius).view(np.uint8), bitorder="little")[: len(fps) - lag]
+            assert (got == (np.bitwise_count(fps[:-lag] ^ fps[lag:]) <= radius)).all()
 
 
 def test_language_model(docs, texts):
