@@ -9,8 +9,8 @@ from skylattice.llm.bpe_codec import encode_decode
 from skylattice.llm.common import read, rows_where, written
 from skylattice.llm.decontaminate import without_leaks
 from skylattice.llm.line_dedup import dedup_lines
+from skylattice.llm.near_texts import one_of_each
 from skylattice.llm.quality_rules import keep_good
-from skylattice.llm.simhash import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
+    """One document, that with the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
     return one_of_each(docs)
 
 
