@@ -31,16 +31,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none, as in tests, one of our own."""
+    """The cluster's shared folder; where a local session names none, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skylattice-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and outlives executors."""
+    """Write a table to the shared folder and read it again: cuts lineage and outlives executors.
+
+    Results are lazy and may read it at any later time, so folders are left to whoever clears the shared folder.
+    """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -76,7 +81,7 @@ def rows_where(df: DataFrame, condition: Column) -> DataFrame:
 def text_slices(batches, max_bytes: int = 4 << 20):
     """Cut Arrow batches into runs of rows with about max_bytes of text each, so that memory does not follow the batch."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column("text")).to_pylist() if batch.num_rows else []
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist() if batch.num_rows else []
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > max_bytes:

@@ -4,8 +4,9 @@ Item texts are normalised to words and cut into windows of ten consecutive words
 none, is one window). The windows make one automaton, which a task builds once; each document is normalised the same
 way and scanned once. Matches are mapped back to words and from them to character offsets of the original text.
 
-The automaton is broadcast, so its size is checked: items are spread by size over as many automata as keep each
-within a stated number of characters, and a document is scanned once by each. Benchmarks of ordinary size need one.
+The items of the automaton are broadcast, so their size is checked: beyond a stated number of characters they are dealt to
+several automata, and the documents pass one after the other, written in between. At any time one part alone is at the
+driver and in a task, which builds its automaton once. Benchmarks of ordinary size need one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, read, text_slices, texts
+from .common import ALNUM_TABLE, read, text_slices, texts, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -83,7 +84,7 @@ def spans(data: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(chars(at[a][0]), chars(at[b][1])) for a, b in runs]
 
 
-_own: dict[tuple[str, int], Automaton] = {}  # of a worker
+_own: dict[str, Automaton] = {}  # of a worker, by pass
 
 
 def shards(benchmark: DataFrame, max_chars: int) -> list[DataFrame]:
@@ -91,33 +92,25 @@ def shards(benchmark: DataFrame, max_chars: int) -> list[DataFrame]:
     rows = benchmark.filter("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
     n = max(1, -(-total // max_chars))
-    return [rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    return [rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 
-def scanner(spark: SparkSession, benchmark: DataFrame, size: int, max_chars: int):
-    """A function for tasks: texts of a batch to (words, hit word numbers, items, text if hit) each."""
-    # each part is within max_chars (see shards), so it can be sent to every executor
-    parts = [spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in part.toLocalIterator()]) for part in shards(benchmark, max_chars)]
+def automaton_of(part: DataFrame, size: int):
+    """A function for tasks that gives the automaton of a part of the items (see shards for its size), built once a worker."""
+    items = part.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in part.toLocalIterator()])
     key = uuid.uuid4().hex
 
-    def scan(column) -> list[tuple[int, set[int], set[str], bytes]]:
-        data = [b"" if t.as_py() is None else t.as_buffer().to_pybytes() for t in column]
-        found = [(set(), set()) for _ in data]
-        counts = [0] * len(data)
-        for i, p in enumerate(parts):
-            if (one := _own.get((key, i))) is None:
-                _own.clear()  # one automaton at a time stays in memory
-                one = _own[key, i] = Automaton(p.value, size)
-            for j, text in enumerate(data):
-                words = words_of(text)
-                hit, owners = one.scan(words)
-                counts[j] = len(words)
-                if owners:
-                    found[j][0].update(hit.tolist())
-                    found[j][1].update(one.names[k] for k in owners)
-        return [(n, hit, items, text if hit else b"") for n, (hit, items), text in zip(counts, found, data)]
-
-    return scan
+    def get() -> Automaton:
+        if key not in _own:
+            _own.clear()
+            _own[key] = Automaton(items.value, size)
+        return _own[key]
+
+    return get
+
+
+def data_of(column: pa.Array) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_chars: int = 64 << 20) -> DataFrame:
@@ -125,46 +118,72 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_cha
 
     Null and empty texts have no words and no hits, null item texts no windows; an item of fewer than `size` words is
     one window; equal windows of several items report all of them; repeated rows stay repeated; with an empty
-    benchmark nothing is hit; columns other than the ids and texts are not read.
+    benchmark nothing is hit; columns other than the ids and texts are not read. max_chars: of items in an automaton.
     """
-    scan = scanner(docs.sparkSession, benchmark, size, max_chars)
+    *before, last = shards(benchmark, max_chars)
+    rows = texts(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    several = len(before) > 0
+    if several:
+        rows = rows.select("*", F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
+
+    def scanned(part: pa.RecordBatch, one: Automaton):
+        """Words, sorted numbers of hit words and sorted items of each row, with those of passes before."""
+        held = zip(part.column("hit").to_pylist(), part.column("items").to_pylist()) if several else [((), ())] * part.num_rows
+        for data, (hit0, items0) in zip(data_of(part.column("text")), held):
+            words = words_of(data)
+            hit, owners = one.scan(words)
+            yield data, len(words), np.union1d(hit, np.array(hit0, np.int64)) if len(hit0) else hit, sorted({*items0, *(one.names[k] for k in owners)})
+
+    def passed(get):
+        def run(batches):
+            for part in text_slices(batches):
+                found = list(scanned(part, get()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([x[2] for x in found], pa.list_(pa.int32())), pa.array([x[3] for x in found], pa.list_(pa.string()))], ["doc_id", "text", "hit", "items"])
+
+        return run
+
+    for shard in before:
+        rows = written(docs.sparkSession, rows.mapInArrow(passed(automaton_of(shard, size)), f"doc_id {kind}, text string, hit array<int>, items array<string>"), "scanned")
+    get = automaton_of(last, size)
 
     def run(batches):
         for part in text_slices(batches):
-            found = scan(part.column("text"))
-            items = [sorted(x[2]) for x in found]
-            at = [[{"start": a, "end": b} for a, b in spans(x[3], np.array(sorted(x[1])))] for x in found]
+            found = list(scanned(part, get()))
+            at = [[{"start": a, "end": b} for a, b in spans(x[0], x[2])] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([len(x[1]) for x in found], pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()),
-                    pa.array(items, pa.list_(pa.string())),
+                    pa.array([x[1] for x in found], pa.int64()),
+                    pa.array([len(x[2]) for x in found], pa.int64()),
+                    pa.array([len(x[3]) for x in found], pa.int64()),
+                    pa.array([x[3] for x in found], pa.list_(pa.string())),
                     pa.array(at, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 ["doc_id", "n_words", "n_hit", "n_items", "items", "spans"],
             )
 
-    rows = texts(docs)
-    kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_chars: int = 64 << 20) -> DataFrame:
     """The rows of docs, whole, in which no window occurs; rows are judged where they lie. Null texts stay."""
-    scan = scanner(docs.sparkSession, benchmark, size, max_chars)
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield part.filter(pa.array([not x[1] for x in scan(part.column("text"))], pa.bool_()))
+    def clean(get):
+        def run(batches):
+            for part in text_slices(batches):
+                yield part.filter(pa.array([not get().scan(words_of(data))[1] for data in data_of(part.column("text"))], pa.bool_()))
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    *before, last = shards(benchmark, max_chars)
+    for shard in before:
+        docs = written(docs.sparkSession, docs.mapInArrow(clean(automaton_of(shard, size)), docs.schema), "clean")
+    return docs.mapInArrow(clean(automaton_of(last, size)), docs.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hits and items of all documents; see decontaminate for the cases."""
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id", "n_words", "n_hit", "n_items",

@@ -65,6 +65,8 @@ def test_decontamination_spans(docs, bench):
     assert [text[s.start : s.end] for s in got[1].spans] == ["two three four five six seven eight nine ten eleven"]
     assert got[2].n_words == 0 and got[2].n_hit == 0 and got[None].n_hit == 0
     several = by_id(decontaminate.decontaminate(docs, bench, max_chars=30))  # more than one automaton
+    assert {k: r.spans for k, r in several.items()} == {k: r.spans for k, r in got.items()} and len(decontaminate.shards(bench, 30)) > 1
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench, max_chars=30).collect()} == {2, 3, 4, None}
     assert {k: (r.n_hit, r["items"]) for k, r in several.items()} == {k: (r.n_hit, r["items"]) for k, r in got.items()}
     assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {2, 3, 4, None}
 
