@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder (our own only where the session names none)."""
+    """df computed once and kept in the shared checkpoint folder (our own only where a local session names none)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skylattice-"))
     return df.checkpoint()
