@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +110,12 @@ def bin_of(feet: Column) -> Column:
     return out
 
 
+def cyclic_hour(hour: Column) -> tuple[Column, Column]:
+    """Sine and cosine of the hour of the day on its circle."""
+    turn = hour * (2 * math.pi / 24)
+    return F.sin(turn), F.cos(turn)
+
+
 def surrogate_key(*cols: str) -> Column:
     return F.md5(F.concat_ws("||", *[F.coalesce(F.col(c).cast("string"), F.lit("_dbt_null_")) for c in cols]))
 

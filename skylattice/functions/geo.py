@@ -66,6 +66,11 @@ def geohash5(lat: Column, lon: Column) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(*letters))
 
 
+def cell10(lat: Column, lon: Column) -> Column:
+    """Name of the 10-degree cell of a point; null without a position."""
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat_ws("_", F.floor(lat / 10).cast("string"), F.floor(lon / 10).cast("string")))
+
+
 def circular_mean(track: Column) -> Column:
     """Aggregate: mean direction in degrees."""
     return F.pmod(F.degrees(F.atan2(F.avg(F.sin(F.radians(track))), F.avg(F.cos(F.radians(track))))), F.lit(360.0))

@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.enrich import MODEL_BOXES, first_box
+from ..functions.geo import cell10
 from ..sources.shared import settled
+from .windows import knee
 
 DIMS = ["x0", "x1", "x2", "x3"]
 
 
-def route_features(silver: DataFrame) -> DataFrame:
-    """Cruise rows with position and track, their model region, and features scaled per region (population deviation)."""
+def route_features(silver: DataFrame, cells: bool = False) -> DataFrame:
+    """Cruise rows with position and track, their model region (or 10-degree cell) as `region`, and features scaled per region
+    by population deviation."""
     c = F.col
     rows = silver.filter("not on_ground and flight_phase = 'cruise'").dropna(subset=["latitude", "longitude", "true_track"])
-    rows = rows.withColumn("region", first_box(c("latitude"), c("longitude"), MODEL_BOXES, "other", "other"))
+    rows = rows.withColumn("region", cell10(c("latitude"), c("longitude")) if cells else first_box(c("latitude"), c("longitude"), MODEL_BOXES, "other", "other"))
     raw = {"x0": c("latitude"), "x1": c("longitude"), "x2": F.sin(F.radians("true_track")), "x3": F.cos(F.radians("true_track"))}
     rows = rows.withColumns(raw)
     stats = rows.groupBy(c("region").alias("__g")).agg(*[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("m", F.avg), ("s", F.stddev_pop))])
@@ -80,14 +83,24 @@ def connected(edges: DataFrame) -> DataFrame:
     return names if names is not None else edges.toDF("node", "root")
 
 
-def dbscan(points: DataFrame, group: str, eps: float, min_samples: int = 8) -> DataFrame:
+def knee_eps(points: DataFrame, group: str, k: int = 8, widen: float = 1e-9) -> DataFrame:
+    """group and eps: the knee of its k-th nearest distances, for groups of at least twice k points."""
+    sizes = points.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * k)
+    found = knee(k_distances(points.join(sizes.select(group), group, "left_semi"), group, k), [group], "k_distance")
+    return settled(found.select(group, F.greatest(F.col("knee") * (1 + widen), F.lit(1e-6)).alias("eps")))
+
+
+def dbscan(points: DataFrame, group: str, eps: float | DataFrame, min_samples: int = 8) -> DataFrame:
     """event_id, group, is_core, label: -1 for noise, else the smallest event of the cluster's core points.
 
     A point is core if at least min_samples points, itself included, are within eps; groups of fewer than twice as many
-    points are all noise. A border point belongs to the cluster with the smallest label among its core neighbours.
+    points, and those without an eps, are all noise. eps: one for all groups, or (group, eps). A border point belongs to the cluster with the smallest label among its core neighbours.
     """
     sizes = points.groupBy(group).agg(F.count("*").alias("__n"))
-    fit = settled(points.join(sizes.filter(F.col("__n") >= 2 * min_samples).select(group), group, "left_semi"))
+    fit = points.join(sizes.filter(F.col("__n") >= 2 * min_samples).select(group), group, "left_semi")
+    if isinstance(eps, DataFrame):
+        fit, eps = fit.join(eps.select(group, "eps"), group), F.col("eps")
+    fit = settled(fit)
     near = settled(neighbours(fit, fit, group, eps).select(F.col("a.event_id").alias("a"), "b"))
     core = settled(near.groupBy("a").count().filter(F.col("count") >= min_samples).select(F.col("a").alias("core")))
     of_core = near.join(core, F.col("b") == F.col("core")).select("a", "b")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import angle_between, bearing_deg, haversine_km
-
-
-def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """df to be broadcast if it is counted to be small, else as it is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+from ..functions.geo import EARTH_KM, angle_between, haversine_km
+from ..sources.shared import settled
 
 
 def with_airline(states: DataFrame, airlines: DataFrame) -> DataFrame:
@@ -30,34 +30,87 @@ def with_registration_country(rows: DataFrame, registrations: DataFrame) -> Data
     return out.select(*rows.columns, F.coalesce(*found, F.lit("Unknown")).alias("country"))
 
 
-def nearest(points: DataFrame, places: DataFrame, lat: str, lon: str, keep: list[str], max_km: float | None = None, prefix: str = "nearest_") -> DataFrame:
+PLACES = 10_000  # rows of places that may go along with each task as one array
+
+
+def on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """The point as a vector of length one, whose squared distances to others order like those on the sphere."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
+def nearest(points: DataFrame, places: DataFrame, lat: str, lon: str, keep: list[str], max_km: float | None = None, prefix: str = "nearest_", max_places: int = PLACES) -> DataFrame:
     """points with the columns `keep` of the nearest place and its distance; ties by the first of keep, null beyond max_km.
 
-    places has a small fixed or counted number of rows: it goes along as one array per task, in which the least distance
-    is found row by row, so that points are neither multiplied nor shuffled.
+    places are counted: up to max_places go along as one array per task, in which the least distance is found row by row,
+    so that points are neither multiplied nor shuffled; the trigonometry of places and of the row is done once. More
+    places are met on cells.
+    """
+    placed = places.select(*keep, F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon"), F.array(*on_sphere(F.col(lat), F.col(lon))).alias("p_v"))
+    if placed.limit(max_places + 1).count() > max_places:
+        near = nearest_by_cells(points, placed, keep, max_km)
+    else:
+        rows = placed.agg(F.collect_list(F.struct(*placed.columns)).alias("p_all"))
+        here = points.select(F.struct(*points.columns).alias("row"), F.array(*on_sphere(F.col("latitude"), F.col("longitude"))).alias("v"))
+        far = lambda p: sum(F.pow(p["p_v"][i] - F.col("v")[i], F.lit(2.0)) for i in range(3))
+        best = F.array_min(F.transform("p_all", lambda p: F.struct(F.round(far(p), 15).alias("d"), *[p[k].alias(k) for k in keep], p["p_lat"].alias("p_lat"), p["p_lon"].alias("p_lon"))))
+        near = here.join(F.broadcast(rows)).select("row", F.when(F.col("row.latitude").isNotNull() & F.col("row.longitude").isNotNull(), best).alias("near"))
+    km = haversine_km(F.col("row.latitude"), F.col("row.longitude"), F.col("near.p_lat"), F.col("near.p_lon"))
+    near = near.select("row", "near", km.alias("km"))
+    ok = F.lit(True) if max_km is None else F.col("km") <= max_km
+    return near.select("row.*", *[F.when(ok, F.col(f"near.{k}")).alias(prefix + k) for k in keep], F.when(ok, F.col("km")).alias(prefix + "km"))
+
+
+def nearest_by_cells(points: DataFrame, placed: DataFrame, keep: list[str], max_km: float | None, start_km: float = 50.0) -> DataFrame:
+    """(row, near) like nearest, for any number of places, by equi-joins on cells of the sphere's space.
+
+    Within a radius a place lies in the cell of a point or in one next to it; places are dealt to these 27. The radius
+    grows fourfold for points that have found none, up to max_km or half of the globe.
     """
-    rows = places.agg(F.collect_list(F.struct(*keep, F.col(lat).alias("__lat"), F.col(lon).alias("__lon"))).alias("__places"))
-    here = (F.col("latitude"), F.col("longitude"))
-    best = F.array_min(F.transform("__places", lambda p: F.struct(haversine_km(*here, p["__lat"], p["__lon"]).alias("d"), *[p[k].alias(k) for k in keep])))
-    near = F.when(here[0].isNotNull() & here[1].isNotNull(), best)
-    if max_km is not None:
-        near = F.when(near["d"] <= max_km, near)
-    out = points.join(F.broadcast(rows)).withColumn("__near", near)
-    return out.select(*points.columns, *[F.col(f"__near.{k}").alias(prefix + k) for k in keep], F.col("__near.d").alias(prefix + "km"))
+    todo = settled(points.select(F.struct(*points.columns).alias("row"), F.monotonically_increasing_id().alias("id"), F.array(*on_sphere(F.col("latitude"), F.col("longitude"))).alias("v")))
+    done = todo.filter("v[0] is null or v[1] is null").select("row", F.lit(None).cast(placed.select(F.struct(F.lit(0.0).alias("d"), *keep, "p_lat", "p_lon").alias("s")).schema["s"].dataType).alias("near"))
+    todo = todo.filter("v[0] is not null and v[1] is not null")
+    most, km = min(max_km or 20_100.0, 20_100.0), start_km
+    while True:
+        km = min(km, most)
+        width = 2 * math.sin(min(km / EARTH_KM, math.pi) / 2)
+        at = lambda v, s: F.xxhash64(*[(F.floor(v[i] / width) + s[i]).cast("long") for i in range(3)])
+        dealt = placed.select("*", F.explode(F.array_distinct(F.array(*[at(F.col("p_v"), s) for s in product((-1, 0, 1), repeat=3)]))).alias("cell"))
+        far = sum(F.pow(F.col("p_v")[i] - F.col("v")[i], F.lit(2.0)) for i in range(3))
+        met = todo.withColumn("at", at(F.col("v"), (0, 0, 0))).join(dealt, F.col("at") == F.col("cell")).withColumn("d", F.round(far, 15)).filter(F.col("d") <= width * width + 1e-12)
+        best = settled(met.groupBy("id").agg(F.min(F.struct("d", *keep, "p_lat", "p_lon")).alias("near")))
+        done = done.unionByName(todo.join(best, "id").select("row", "near"))
+        todo = settled(todo.join(best.select("id"), "id", "left_anti"))
+        if km >= most or todo.isEmpty():
+            return done.unionByName(todo.select("row", F.lit(None).cast(done.schema["near"].dataType).alias("near")))
+        km *= 4
 
 
 def heading_destination(states: DataFrame, airports: DataFrame, min_km: float = 100, max_km: float = 3000, max_diff: float = 60) -> DataFrame:
-    """states with the airport ahead that fits the track best (predicted_iata), its distance and the bearing difference."""
-    rows = airports.agg(F.collect_list(F.struct("iata", "airport_lat", "airport_lon")).alias("__places"))
-    here = (F.col("latitude"), F.col("longitude"))
+    """states with the airport ahead that fits the track best (predicted_iata), its distance and the bearing difference.
+
+    airports are counted: they go along with each task as one array. Sines and cosines of airports and of the row are
+    taken once; an airport costs one angle.
+    """
+    if airports.limit(PLACES + 1).count() > PLACES:
+        raise ValueError(f"more than {PLACES} airports")
+    sides = lambda lat, lon: [F.sin(F.radians(lat)), F.cos(F.radians(lat)), F.sin(F.radians(lon)), F.cos(F.radians(lon))]
+    rows = airports.agg(F.collect_list(F.struct("iata", "airport_lat", "airport_lon", F.array(*sides(F.col("airport_lat"), F.col("airport_lon"))).alias("s"))).alias("p_all"))
+    here = states.select(F.struct(*states.columns).alias("row"), F.array(*sides(F.col("latitude"), F.col("longitude"))).alias("s"), "true_track", F.coalesce("departure_iata", F.lit("")).alias("dep"))
+    # squared chords of the least and greatest distance, a little wider; the distance itself decides among what is left
+    chord = lambda km, by: (2 * math.sin(km / EARTH_KM / 2)) ** 2 * (1 + by)
 
     def seen(p: Column) -> Column:
-        to = (p["airport_lat"], p["airport_lon"])
-        return F.struct(angle_between(bearing_deg(*here, *to), F.col("true_track")).alias("diff"), p["iata"].alias("iata"), haversine_km(*here, *to).alias("km"))
+        (s1, c1, sl1, cl1), (s2, c2, sl2, cl2) = ([x[i] for i in range(4)] for x in (F.col("s"), p["s"]))
+        sin_turn, cos_turn = sl2 * cl1 - cl2 * sl1, cl2 * cl1 + sl2 * sl1
+        bearing = F.degrees(F.atan2(sin_turn * c2, c1 * s2 - s1 * c2 * cos_turn))
+        return F.struct(angle_between(bearing, F.col("true_track")).alias("diff"), p["iata"].alias("iata"), (2 - 2 * (s1 * s2 + c1 * c2 * cos_turn)).alias("d"), p["airport_lat"].alias("lat"), p["airport_lon"].alias("lon"))
 
-    fits = lambda p: p["km"].between(min_km, max_km) & (p["diff"] <= max_diff) & (p["iata"] != F.coalesce("departure_iata", F.lit("")))
-    out = states.join(F.broadcast(rows)).withColumn("__best", F.array_min(F.filter(F.transform("__places", seen), fits)))
-    return out.select(*states.columns, F.col("__best.iata").alias("predicted_iata"), F.col("__best.km").alias("predicted_km"), F.col("__best.diff").alias("bearing_diff"))
+    km = lambda p: haversine_km(F.col("row.latitude"), F.col("row.longitude"), p["lat"], p["lon"])
+    near = F.filter(F.transform("p_all", seen), lambda p: p["d"].between(chord(min_km, -1e-6), chord(max_km, 1e-6)) & (p["diff"] <= max_diff) & (p["iata"] != F.col("dep")))
+    best = F.array_min(F.filter(near, lambda p: km(p).between(min_km, max_km)))
+    out = here.join(F.broadcast(rows)).select("row", best.alias("best"))
+    return out.select("row.*", F.col("best.iata").alias("predicted_iata"), km(F.col("best")).alias("predicted_km"), F.col("best.diff").alias("bearing_diff"))
 
 
 def eta_minutes(km: Column, speed_kmh: Column) -> Column:
@@ -91,8 +144,23 @@ def keep_last(states: DataFrame) -> DataFrame:
     return states.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def merged_feeds(feeds: list[DataFrame], key: str = "icao24") -> DataFrame:
-    """The feeds together; for a key in several, the row of the later feed."""
+def fetched(*readers) -> list[DataFrame]:
+    """The feeds of readers (functions without arguments) that could be read, in order; one that fails is passed over."""
+    out = []
+    for reader in readers:
+        try:
+            feed = reader()
+            feed.schema  # a missing path shows here
+            out.append(feed)
+        except AnalysisException:
+            continue
+    return out
+
+
+def merged_feeds(feeds: list[DataFrame], key: str = "icao24", allow_empty: bool = True) -> DataFrame:
+    """The feeds together; for a key in several, the row of the later feed. Without allow_empty, no row at all is an error."""
+    if not feeds or not allow_empty and all(f.isEmpty() for f in feeds):
+        raise ValueError("no feed has a row")
     rows = None
     for i, feed in enumerate(feeds):
         feed = feed.withColumn("__feed", F.lit(i))

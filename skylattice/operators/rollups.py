@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.enrich import band, bin_of
 from ..functions.geo import circular_mean
+from .ranks import percentiles
 
 
 def measures(approximate: bool = False, rsd: float = 0.02) -> list[Column]:
@@ -72,20 +73,20 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 def corridor_summary(points: DataFrame) -> DataFrame:
     """One row per corridor_id: centre, heading, altitude mean, deviation and percentiles, members, region."""
-    q = F.percentile("altitude_ft", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return points.groupBy("corridor_id").agg(
+    q = percentiles(points, ["corridor_id"], "altitude_ft", [0.1, 0.5, 0.9]).select(F.col("corridor_id").alias("q_id"), *[F.col("percentiles")[i].alias(f"altitude_{n}_ft") for i, n in enumerate(("p10", "p50", "p90"))])
+    rows = points.groupBy("corridor_id").agg(
         F.round(F.avg("latitude"), 5).alias("centroid_lat"), F.round(F.avg("longitude"), 5).alias("centroid_lon"),
         F.round(circular_mean(F.col("true_track")), 1).alias("modal_heading_deg"),
         F.avg("altitude_ft").alias("altitude_mean_ft"),
         F.when(F.stddev_samp("altitude_ft") == 0, 1.0).otherwise(F.stddev_samp("altitude_ft")).alias("altitude_std_ft"),
-        q.getItem(0).alias("altitude_p10_ft"), q.getItem(1).alias("altitude_p50_ft"), q.getItem(2).alias("altitude_p90_ft"),
         F.count("*").alias("member_count"), F.min("region").alias("region"),
     )
+    return rows.join(q, F.col("corridor_id").eqNullSafe(F.col("q_id")), "left").drop("q_id")
 
 
 def score_percentiles(scores: DataFrame, threshold: float, at=(0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """pct, value and the share flagged at the threshold; one row per percentile."""
-    one = scores.agg(F.percentile("anomaly_score", F.array(*map(F.lit, at))).alias("v"), F.avg((F.col("anomaly_score") > threshold).cast("int")).alias("flagged"))
+    one = percentiles(scores, [], "anomaly_score", list(at)).join(scores.agg(F.avg((F.col("anomaly_score") > threshold).cast("int")).alias("flagged"))).withColumnRenamed("percentiles", "v")  # one row each
     return one.select(F.posexplode("v").alias("i", "value"), "flagged").select(F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("pct"), "value", "flagged")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import signed_turn
 from ..sources.shared import settled
+from .ranks import percentiles, ranked, same
 
 
 def last_history(states: DataFrame, n: int = 5) -> DataFrame:
@@ -50,19 +51,29 @@ def lags(daily: DataFrame, key: list[str], day: str, value: str, at=(1, 2, 3, 7)
 
 def knee(distances: DataFrame, key: list[str], value: str) -> DataFrame:
     """For each key the value farthest from the chord of its sorted values; of equals the first."""
-    w = Window.partitionBy(*key)
-    rows = distances.select(*key, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"))
-    rows = rows.select("*", F.min("v").over(w).alias("lo"), F.max("v").over(w).alias("hi"), (F.count("*").over(w) - 1).alias("n"))
+    ends = distances.groupBy(*[F.col(k).alias(f"end_{k}") for k in key]).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    rows = ranked(distances.select(*key, F.col(value).alias("v")), key, "v").withColumns({"i": F.col("rank_i"), "n": F.col("rank_n") - 1})
+    rows = rows.join(ends, same(key, [f"end_{k}" for k in key]))
     far = F.abs((F.col("hi") - F.col("lo")) * F.col("i") - F.col("n") * (F.col("v") - F.col("lo")))
     return rows.groupBy(*key).agg(F.max_by("v", F.struct(F.round(far, 9), -F.col("i"))).alias("knee"))
 
 
+def along_heading(heading: Column) -> Column:
+    """How far a position lies in the direction of a heading (degrees), for the order of a line's points."""
+    return F.col("latitude") * F.cos(F.radians(heading)) + F.col("longitude") * F.sin(F.radians(heading))
+
+
+def parsed_polyline(json: Column) -> Column:
+    """The array of [lat, lon] of a polyline's JSON; null if it is none."""
+    return F.from_json(json, "array<array<double>>")
+
+
 def polyline(points: DataFrame, key: str, order: Column, n: int = 10) -> DataFrame:
     """n points of each line at even ranks in the given order, rounded to 4 digits, as an array of [lat, lon] and as JSON."""
-    w = Window.partitionBy(key).orderBy(order, "event_id")
-    rows = points.select(key, "latitude", "longitude", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("m"))
+    rows = ranked(points.select(key, "latitude", "longitude", "event_id", order.alias("o")), [key], "o", "event_id")
+    rows = rows.select(key, "latitude", "longitude", F.col("rank_i").alias("i"), F.col("rank_n").alias("m"))
     steps = F.array(*[F.lit(k) for k in range(n)])
-    wanted = F.transform(steps, lambda k: F.floor(k * (F.col("m") - 1) / (n - 1)).cast("int"))
+    wanted = F.transform(steps, lambda k: F.floor(k * (F.col("m") - 1) / (n - 1)))
     some = rows.filter(F.array_contains(wanted, F.col("i")))
     pair = F.array(F.round("latitude", 4), F.round("longitude", 4))
     line = F.transform(F.sort_array(F.collect_list(F.struct("i", pair.alias("p")))), lambda x: x["p"])
@@ -86,7 +97,10 @@ def time_split(rows: DataFrame, order: list[str], part: float = 0.8) -> DataFram
 
 def error_table(pairs: DataFrame, group: str, model: str, baseline: str, labels: list[str]) -> DataFrame:
     """n, median and p90 of two errors, by group (listed ones only) and OVERALL (all rows)."""
-    q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 3)
-    out = pairs.rollup(group).agg(F.count("*").alias("n"), q(model, 0.5).alias("model_median"), q(model, 0.9).alias("model_p90"), q(baseline, 0.5).alias("baseline_median"), q(baseline, 0.9).alias("baseline_p90"), F.grouping(group).alias("__g"))
-    out = out.filter((F.col("__g") == 1) | F.col(group).isin(labels))
-    return out.withColumn(group, F.when(F.col("__g") == 1, "OVERALL").otherwise(F.col(group))).drop("__g")
+    both = F.explode(F.array(F.lit("OVERALL"), F.when(F.col(group).isin(labels), F.col(group))))
+    rows = pairs.select(both.alias(group), F.col(model).alias("m"), F.col(baseline).alias("b")).filter(F.col(group).isNotNull())
+    out = rows.groupBy(group).agg(F.count("*").alias("n"))
+    for c, name in (("m", "model"), ("b", "baseline")):
+        q = percentiles(rows, [group], c, [0.5, 0.9])
+        out = out.join(q.select(F.col(group).alias("q_g"), *[F.round(F.col("percentiles")[i], 3).alias(f"{name}_{n}") for i, n in enumerate(("median", "p90"))]), F.col(group) == F.col("q_g"), "left").drop("q_g")
+    return out

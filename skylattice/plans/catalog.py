@@ -162,17 +162,18 @@ def mart_anomaly_summary(spark, sf_dir):
     return rounded(marts.anomaly_summary(events, rollups.traffic_by_country(rows)), "avg_anomaly_score")
 
 
-CUTS = "a as (select c_nationkey k, count(*) n, sum(cast(c_acctbal as decimal(18, 2))) v from customer where c_custkey % 10 < 5 group by 1), b as (select c_nationkey k, count(*) n, sum(cast(c_acctbal as decimal(18, 2))) v from customer where c_custkey % 10 < 6 and c_nationkey % 4 <> 0 group by 1)"
+CUTS = "a as (select o_custkey k, count(*) n, sum(cast(o_totalprice as decimal(18, 2))) v from orders where cast(o_orderdate as date) < date '1997-01-01' group by 1), b as (select o_custkey k, count(*) n, sum(cast(o_totalprice as decimal(18, 2))) v from orders group by 1)"
 
 
 @query(f"""with {CUTS}, m as (select a.k, a.n, cast(a.v as double) v, b.k bk, a.n is not distinct from b.n and a.v is not distinct from b.v same from a left join b on a.k = b.k)
 select k, n, v, 'day1' valid_from, case when bk is not null and not same then 'day2' end valid_to from m
 union all select b.k, b.n, cast(b.v as double), 'day2', null from b left join a on a.k = b.k where a.k is null or a.n is distinct from b.n or a.v is distinct from b.v""")
 def scd2_snapshot(spark, sf_dir):
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    at = lambda cond: customer.filter(cond).groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("v"))
-    first = marts.snapshot(None, at("c_custkey % 10 < 5"), "k", ["n", "v"], "day1")
-    return marts.snapshot(first, at("c_custkey % 10 < 6 and c_nationkey % 4 <> 0"), "k", ["n", "v"], "day2")
+    """Orders of each customer as they stood at the end of 1996, then all of them: whole tables at two times."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    at = lambda rows: rows.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
+    first = marts.snapshot(None, at(orders.filter(F.to_date("o_orderdate") < F.lit("1997-01-01").cast("date"))), "k", ["n", "v"], "day1")
+    return marts.snapshot(first, at(orders), "k", ["n", "v"], "day2")
 
 
 @query("""select 'not_null:orders.o_custkey' "check", count(*) filter (o_custkey is null) failing_rows, case when count(*) filter (o_custkey is null) = 0 then 'pass' else 'fail' end status from orders
@@ -251,11 +252,18 @@ def flights_with_anomalies(spark, sf_dir):
     return rows.join(rows.filter(F.size("data_quality_flags") >= 3).select("icao24"), "icao24", "left_semi").select("event_id", "icao24")
 
 
-@query("select count(*) orphans from lineitem where l_suppkey not in (select s_suppkey from supplier where s_suppkey % 10 <> 0)")
+RELATIONS = [("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("documents", "doc_id", "labels", "doc_id"), ("customer", "c_custkey", "orders", "o_custkey")]
+
+
+@query(" union all ".join(f"select '{a}.{x}' relation, count(*) orphans from {a} where {x} not in (select {y} from {b})" for a, x, b, y in RELATIONS))
 def referential_orphans(spark, sf_dir):
-    parent = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey % 10 <> 0")
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.join(parent, F.col("l_suppkey") == F.col("s_suppkey"), "left_anti").agg(F.count("*").alias("orphans"))
+    """Rows without a partner along key relations, those that hold and those that need not."""
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    out = None
+    for a, x, b, y in RELATIONS:
+        rows = read(a).select(F.col(x).alias("k")).join(read(b).select(F.col(y).alias("p")), F.col("k") == F.col("p"), "left_anti").agg(F.lit(f"{a}.{x}").alias("relation"), F.count("*").alias("orphans"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # -- windows
@@ -279,13 +287,13 @@ def lag_features(spark, sf_dir):
     return out.select("event_id", "dt", *[(F.round(c, 6) + 0.0).alias(c) for c in ("turn_rate", "acceleration", "climb_trend")])
 
 
-DAILY = "daily as (select o_orderpriority series, cast(o_orderdate as date) d, count(*) n from orders where o_orderkey % 97 <> 0 group by all)"
+DAILY = "daily as (select o_orderpriority series, cast(o_orderdate as date) d, count(*) n from orders group by all)"
 RUN = f"""{DAILY}, r0 as (select *, case when date_diff('day', lag(d) over (partition by series order by d), d) <> 1 then 1 else 0 end new from daily), r1 as (select *, sum(new) over (partition by series order by d) run from r0),
 r2 as (select series, run, count(*) m from r1 group by all), r3 as (select series, run, row_number() over (partition by series order by m desc, run) rn from r2), best as (select r1.series, d, n from r1 join r3 on r1.series = r3.series and r1.run = r3.run and rn = 1)"""
 
 
 def daily_orders(spark, sf_dir) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 97 <> 0")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("n"))
 
 
@@ -517,12 +525,17 @@ def daily_forecast(spark, sf_dir):
     return forecast.forecast(daily, "series", "d", "n")
 
 
+def trajectory_pairs(spark, sf_dir) -> DataFrame:
+    rows = forecast.with_phase(windows.lag_features(silver(spark, sf_dir)))
+    left = rows.select("event_id", "icao24", "last_contact", "eval_phase", "true_track", *forecast.MOTION, F.col("time_position").alias("t"), (F.col("time_position") + HOUR12).alias("target"))
+    right = rows.select("icao24", F.col("time_position").alias("t2"), F.col("latitude").alias("future_latitude"), F.col("longitude").alias("future_longitude"))
+    return joins.asof_nearest(left, right, "icao24", "target", "t2", 7200).filter("t2 <> t").withColumn("seconds", F.col("t2") - F.col("t"))
+
+
 @query()
 def trajectory_errors(spark, sf_dir):
-    """Held-out errors of the learned trajectory and of dead reckoning, by phase."""
-    rows = windows.lag_features(silver(spark, sf_dir))
-    left = rows.select("event_id", "icao24", "last_contact", "flight_phase", "true_track", *forecast.MOTION, F.col("time_position").alias("t"), (F.col("time_position") + HOUR12).alias("target"))
-    right = rows.select("icao24", F.col("time_position").alias("t2"), F.col("latitude").alias("future_latitude"), F.col("longitude").alias("future_longitude"))
-    pairs = joins.asof_nearest(left, right, "icao24", "target", "t2", 7200).filter("t2 <> t").withColumn("seconds", F.col("t2") - F.col("t"))
-    out = forecast.trajectory(pairs, trees=5, min_pairs=10)
-    return windows.error_table(out, "flight_phase", "model_km", "baseline_km", ["cruise", "climb", "descent"])
+    """Held-out errors of the learned trajectory and of dead reckoning, by phase; no row if there are under 2,000 pairs."""
+    out = forecast.trajectory(trajectory_pairs(spark, sf_dir))
+    if out is None:
+        return spark.createDataFrame([], "eval_phase string, n long, model_median double, model_p90 double, baseline_median double, baseline_p90 double")
+    return windows.error_table(out, "eval_phase", "model_km", "baseline_km", ["cruise", "climb", "descent", "turning"])
