@@ -6,7 +6,7 @@ import math
 from itertools import product
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, angle_between, haversine_km
@@ -56,7 +56,7 @@ def nearest(points: DataFrame, places: DataFrame, lat: str, lon: str, keep: list
         best = F.array_min(F.transform("p_all", lambda p: F.struct(F.round(far(p), 15).alias("d"), *[p[k].alias(k) for k in keep], p["p_lat"].alias("p_lat"), p["p_lon"].alias("p_lon"))))
         near = here.join(F.broadcast(rows)).select("row", F.when(F.col("row.latitude").isNotNull() & F.col("row.longitude").isNotNull(), best).alias("near"))
     km = haversine_km(F.col("row.latitude"), F.col("row.longitude"), F.col("near.p_lat"), F.col("near.p_lon"))
-    near = near.select("row", "near", km.alias("km"))
+    near = near.select("row", "near", F.when(F.col("near").isNotNull(), km).alias("km"))
     ok = F.lit(True) if max_km is None else F.col("km") <= max_km
     return near.select("row.*", *[F.when(ok, F.col(f"near.{k}")).alias(prefix + k) for k in keep], F.when(ok, F.col("km")).alias(prefix + "km"))
 
@@ -110,7 +110,7 @@ def heading_destination(states: DataFrame, airports: DataFrame, min_km: float =
     near = F.filter(F.transform("p_all", seen), lambda p: p["d"].between(chord(min_km, -1e-6), chord(max_km, 1e-6)) & (p["diff"] <= max_diff) & (p["iata"] != F.col("dep")))
     best = F.array_min(F.filter(near, lambda p: km(p).between(min_km, max_km)))
     out = here.join(F.broadcast(rows)).select("row", best.alias("best"))
-    return out.select("row.*", F.col("best.iata").alias("predicted_iata"), km(F.col("best")).alias("predicted_km"), F.col("best.diff").alias("bearing_diff"))
+    return out.select("row.*", F.col("best.iata").alias("predicted_iata"), F.when(F.col("best").isNotNull(), km(F.col("best"))).alias("predicted_km"), F.col("best.diff").alias("bearing_diff"))
 
 
 def eta_minutes(km: Column, speed_kmh: Column) -> Column:
@@ -138,6 +138,17 @@ def latest_states(states: DataFrame) -> DataFrame:
     return states.groupBy(F.col("icao24").alias("__k")).agg(best.alias("r")).select("r.*")
 
 
+def in_box(rows: DataFrame, south: float, north: float, west: float, east: float, limit: int | None = None) -> DataFrame:
+    """Rows with a position within the box, edges included; with limit (1 to 5,000) the first by aircraft."""
+    out = rows.filter(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))
+    return out if limit is None else out.orderBy("icao24").limit(max(1, min(5000, limit)))
+
+
+def asked(spark: SparkSession, text: str, tables: dict[str, DataFrame], values: dict) -> DataFrame:
+    """A query over named tables ({name} in its text) whose values (:name) are bound and never pasted into it."""
+    return spark.sql(text, args=values, **tables)
+
+
 def keep_last(states: DataFrame) -> DataFrame:
     """One row per (aircraft, time of position), nulls alike: the latest ingest, then the latest event."""
     w = Window.partitionBy("icao24", "time_position").orderBy(F.desc("ingest_ts"), F.desc("event_id"))

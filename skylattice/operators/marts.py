@@ -12,6 +12,17 @@ def staged_hours(hours: DataFrame) -> DataFrame:
     return hours.filter("hour_bucket is not null").select("hour_bucket", F.to_date("hour_bucket").alias("traffic_date"), F.col("flight_count").cast("long").alias("flight_count"), "avg_altitude_ft", "avg_speed_kmh")
 
 
+def staged(rows: DataFrame, key: str) -> DataFrame:
+    """A rollup as its staging view: the key trimmed and not null, measures of fixed types."""
+    kinds = {"flight_count": "long", "avg_altitude_ft": "double", "avg_speed_kmh": "double"}
+    return rows.filter(F.col(key).isNotNull()).select(F.trim(key).alias(key), *[F.col(c).cast(t).alias(c) for c, t in kinds.items() if c in rows.columns])
+
+
+def staged_events(events: DataFrame) -> DataFrame:
+    """Anomaly events as their staging view: names trimmed, an aircraft and a time, a score of fixed type."""
+    return events.filter("icao24 is not null and ingest_ts is not null").select(F.trim("icao24").alias("icao24"), F.trim("origin_country").alias("origin_country"), F.trim("anomaly_type").alias("anomaly_type"), F.col("anomaly_score").cast("double").alias("anomaly_score"), F.col("ingest_ts").cast("timestamp_ntz").alias("ingest_ts"))
+
+
 def dim_airline(activity: DataFrame) -> DataFrame:
     names = activity.select(F.trim("airline").alias("airline_name")).filter("airline_name is not null").distinct()
     return names.select(surrogate_key("airline_name").alias("airline_key"), "airline_name", (F.col("airline_name") == "Unknown/Other").alias("is_unclassified"))
@@ -85,6 +96,22 @@ def run_checks(tables: dict[str, DataFrame], rules: list[tuple]) -> DataFrame:
     return out
 
 
+def sink_status(progress: list[dict], now, no_data_s: int = 1800, delay_s: int = 900) -> list[tuple[str, str]]:
+    """(query, status) from the last progress of streaming queries: no_data, delayed or ok at `now` (a datetime).
+
+    no_data: no batch with rows for no_data_s; delayed: the last batch is older than delay_s though rows are waiting.
+    """
+    from datetime import datetime
+
+    last: dict[str, tuple[datetime | None, datetime, int]] = {}
+    for p in progress:
+        at = datetime.fromisoformat(p["timestamp"].replace("Z", "+00:00")).replace(tzinfo=None)
+        with_rows = last.get(p["name"], (None,))[0]
+        last[p["name"]] = (at if p["numInputRows"] else with_rows, at, p.get("waiting", 0))
+    age = lambda t: (now - t).total_seconds()
+    return sorted((n, "no_data" if rows is None or age(rows) > no_data_s else "delayed" if waiting and age(at) > delay_s else "ok") for n, (rows, at, waiting) in last.items())
+
+
 def freshness(table: DataFrame, ts: str, now, warn_s: int = 6 * 3600, error_s: int = 24 * 3600) -> DataFrame:
     """age_s of the newest row at `now` and its status."""
     age = F.timestamp_diff("SECOND", F.max(ts), F.lit(now).cast("timestamp_ntz"))

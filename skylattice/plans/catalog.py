@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import enrich, geo
 from ..operators import anomaly, cluster, forecast, joins, legs, marts, rollups, windows
 from ..sources import dims, feeds, schemas
+from ..sources.shared import settled
 from ..sources.states import silver, states
 from . import sql
 
@@ -316,11 +317,11 @@ def time_ordered_split(spark, sf_dir):
 
 
 def corridor_table(spark, sf_dir) -> DataFrame:
-    """One corridor per country, of its cruise rows."""
+    """One corridor per country, of its cruise rows; computed once, as it is counted before it is used."""
     cruise = silver(spark, sf_dir).filter("not on_ground and flight_phase = 'cruise'").dropna(subset=["latitude", "longitude", "true_track"])
     cruise = cruise.withColumn("region", enrich.first_box(F.col("latitude"), F.col("longitude"), enrich.MODEL_BOXES, "other", "other"))
     rows = rollups.corridor_summary(cruise.withColumn("corridor_id", F.col("origin_country")))
-    return rows.withColumnRenamed("corridor_id", "origin_country").withColumn("corridor_id", (F.dense_rank().over(Window.orderBy("origin_country")) - 1).cast("long"))  # a row per country
+    return settled(rows.withColumnRenamed("corridor_id", "origin_country").withColumn("corridor_id", (F.dense_rank().over(Window.orderBy("origin_country")) - 1).cast("long")))  # a row per country
 
 
 def cruise_points(spark, sf_dir) -> DataFrame:

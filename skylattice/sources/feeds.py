@@ -64,6 +64,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
+def read_daily(spark: SparkSession, path: str, day: str, value: str) -> DataFrame:
+    """d and n of a CSV with a day and a count, whatever other columns it has: whole rows, one a day, in order."""
+    rows = spark.read.option("header", True).csv(path).select(F.col(day).alias("d"), F.col(value).alias("n"))
+    rows = rows.select(F.col("d").try_cast("date").alias("d"), F.col("n").try_cast("double").alias("n")).dropna()
+    return rows.groupBy("d").agg(F.min("n").alias("n")).orderBy("d")
+
+
 def as_bronze(states: DataFrame, ts: str = "ingest_ts") -> DataFrame:
     """The envelope of the raw log around rows that did not come by a broker."""
     cols = [c for c in states.columns if c not in ("file_date", "file_hour")]

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from ..operators.joins import keep_last
 
@@ -14,6 +15,36 @@ def append_partitioned(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("append").partitionBy(*by).parquet(path)
 
 
+def overwrite(df: DataFrame, path: str) -> None:
+    """Replace all of a table on files."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def fixed(df: DataFrame, schema: str) -> DataFrame:
+    """df with just the columns of a schema, in its order and types; a column that it lacks is null."""
+    return df.to(_parse_datatype_string(schema))
+
+
+def split_valid(batch: DataFrame, good_path: str, bad_path: str) -> None:
+    """A batch of raw messages: valid ones as (key, value) to one place, others as (raw, error, source) to the other."""
+    from ..streaming.jobs import rejected, valid
+
+    valid(batch).write.mode("append").parquet(good_path)
+    rejected(batch).write.mode("append").parquet(bad_path)
+
+
+def register_run(spark: SparkSession, name: str, path: str, schema: str, run_ts: str) -> None:
+    """Make a run's partition known to the catalog; the table is created with the first, one that is known stays."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _parse_datatype_string(schema))
+    spark.sql(f"create table if not exists {name} ({columns}, run_ts string) using parquet partitioned by (run_ts) location '{path}'")
+    spark.sql(f"alter table {name} add if not exists partition (run_ts = '{run_ts}') location '{path}/run_ts={run_ts}'")
+
+
+def retained(table: DataFrame, day: str, today: str, days: int = 30) -> DataFrame:
+    """Rows of the partitions (by a day column) that are kept at `today`; written to a new place, it is the retention job."""
+    return table.filter(F.to_date(day) > F.date_sub(F.lit(today).cast("date"), days))
+
+
 def replace_table(df: DataFrame, name: str) -> None:
     """Replace a table's rows and keep the table, so that views on it live on."""
     if df.sparkSession.catalog.tableExists(name):
@@ -58,9 +89,10 @@ class Upsert:
         self.fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
         self.at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
 
-    def pointer(self) -> dict:
+    def pointer(self, batch: int | None = None) -> dict:
+        """The newest pointer, or the newest up to a batch."""
         names = [s.getPath().getName() for s in self.fs.listStatus(self.at(""))] if self.fs.exists(self.at("")) else []
-        versions = sorted(n for n in names if n.startswith("pointer-"))
+        versions = sorted(n for n in names if n.startswith("pointer-") and (batch is None or n <= f"pointer-{batch:020d}"))
         if not versions:
             return {"batch": -1, "buckets": {}}
         stream = self.fs.open(self.at(versions[-1]))
@@ -69,10 +101,25 @@ class Upsert:
         finally:
             stream.close()
 
-    def read(self) -> DataFrame | None:
-        folders = [f"{self.path}/{v}" for v in sorted(set(self.pointer()["buckets"].values()))]
+    def read(self, batch: int | None = None) -> DataFrame | None:
+        """The table, now or as it was after a batch."""
+        folders = [f"{self.path}/{v}" for v in sorted(set(self.pointer(batch)["buckets"].values()))]
         return self.spark.read.parquet(*folders) if folders else None
 
+    def clear(self, before: int) -> None:
+        """Remove what no pointer from batch `before` on needs; older versions can't be read after it."""
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.at(""))]
+        oldest = self.pointer(before)
+        kept = [oldest, *(self.pointer(int(n[8:])) for n in names if n.startswith("pointer-") and int(n[8:]) > before)]
+        needed = {v for p in kept for v in p["buckets"].values()}
+        for n in names:
+            if n.startswith("pointer-") and int(n[8:]) < oldest["batch"]:
+                self.fs.delete(self.at(n), False)
+            elif n.startswith("v="):
+                for s in self.fs.listStatus(self.at(n)):
+                    if s.isDirectory() and f"{n}/{s.getPath().getName()}" not in needed:
+                        self.fs.delete(s.getPath(), True)
+
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         held = self.pointer()
         if batch_id <= held["batch"] or batch.isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.enrich import enriched, errors
+from ..functions.geo import EARTH_KM
 from ..sources.feeds import parsed
 from ..sources.schemas import BRONZE
-from ..sources.sinks import Upsert
+from ..operators.joins import heading_destination, nearest
+from ..sources.sinks import Upsert, split_valid
 
 
 def source(spark: SparkSession, path: str, kind: str = "parquet", servers: str | None = None, topic: str | None = None) -> DataFrame:
@@ -41,6 +44,17 @@ def clean(raw: DataFrame) -> DataFrame:
     return enriched(good).withColumnRenamed("kafka_offset", "event_id")
 
 
+def valid(raw: DataFrame) -> DataFrame:
+    """key (the aircraft) and value (the message) of messages that parse and are valid."""
+    good, _ = parsed(raw.withColumn("value", F.col("raw_payload")))
+    return good.filter(F.size(errors()) == 0).select(F.col("icao24").alias("key"), "value")
+
+
+def dead_letters(raw: DataFrame, good_path: str, bad_path: str, checkpoint: str, once: bool = False):
+    """Valid messages to one sink and others, with the reason, to another."""
+    return writer(raw, checkpoint, once).foreachBatch(lambda df, i: split_valid(df, good_path, bad_path)).start()
+
+
 def rejected(raw: DataFrame) -> DataFrame:
     """Messages that do not parse or are not valid, with the reason."""
     good, bad = parsed(raw)
@@ -63,6 +77,71 @@ LIVE = "icao24 string, last_contact long, latitude double, longitude double, on_
 LEGS = "icao24 string, departure_time long, arrival_time long, from_lat double, from_lon double, to_lat double, to_lon double, duration_min double"
 
 
+FLIGHTS = "icao24 string, kind string, t long, departure_iata string, departure_time long, arrival_iata string, duration_min double, distance_km double, avg_speed_kmh double, predicted_iata string, eta_minutes double"
+
+
+def with_airports(states: DataFrame, airports: DataFrame, radius_km: float = 50.0) -> DataFrame:
+    """states with the airport that they are at and the two that lie best ahead; no state is needed for either."""
+    rows = nearest(states, airports, "airport_lat", "airport_lon", ["iata", "airport_lat", "airport_lon"], radius_km, prefix="at_")
+    for n, without in ((1, F.lit(None).cast("string")), (2, F.col("ahead_iata_1"))):
+        rows = heading_destination(rows.withColumn("departure_iata", without), airports)
+        rows = rows.withColumnsRenamed({"predicted_iata": f"ahead_iata_{n}", "predicted_km": f"ahead_km_{n}"}).drop("departure_iata", "bearing_diff")
+    return rows
+
+
+class Flights(StatefulProcessor):
+    """Legs between airports, from rows of with_airports.
+
+    A take-off within an airport's radius sets the departure; while airborne, rows of kind `flying` tell it with the
+    predicted destination (never the departure) and the minutes to it; a landing within an airport's radius gives a row
+    of kind `route` and clears it. Rows that are older than what is known are passed over.
+    """
+
+    def __init__(self, ttl_ms: int = 900_000):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t long, ground boolean, iata string, dep long, lat double, lon double", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["last_contact", "event_id"]).itertuples(index=False):
+            t, ground = int(r.last_contact), bool(r.on_ground)
+            if state is not None and t < state[0]:
+                continue
+            iata, dep, lat, lon = state[2:] if state is not None else (None, None, None, None)
+            at = None if pd.isna(r.at_iata) else r.at_iata
+            if ground:
+                if state is not None and not state[1] and iata is not None and at is not None:
+                    minutes = max((t - dep) / 60, 0.01)
+                    km = km_between(lat, lon, float(r.latitude), float(r.longitude))
+                    out.append((key[0], "route", t, iata, dep, at, round(minutes, 1), round(km, 1), round(km / (minutes / 60), 1), None, None))
+                iata = dep = lat = lon = None
+            else:
+                if state is not None and state[1]:
+                    iata, dep, lat, lon = (at, t, float(r.at_airport_lat), float(r.at_airport_lon)) if at is not None else (None, None, None, None)
+                if iata is not None:
+                    n = 2 if r.ahead_iata_1 == iata else 1
+                    ahead, km = getattr(r, f"ahead_iata_{n}"), getattr(r, f"ahead_km_{n}")
+                    known = not pd.isna(ahead)
+                    eta = round(float(km) / float(r.speed_kmh) * 60, 1) if known and not pd.isna(r.speed_kmh) and r.speed_kmh > 5 else None
+                    out.append((key[0], "flying", t, iata, dep, None, None, None, None, ahead if known else None, eta))
+            state = (t, ground, iata, dep, lat, lon)
+        if state is not None:
+            self.last.update(state)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FLIGHTS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def km_between(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    a, b, c, d = map(math.radians, (lat1, lon1, lat2, lon2))
+    x = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+    return 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, x)))
+
+
 class Live(StatefulProcessor):
     """Latest state and last five positions of an aircraft; both go after `ttl_ms` without news."""
 
