@@ -1,11 +1,12 @@
 """Every registered query against its SQL at the smallest size."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
-from skylattice.plans import catalog
+from skylattice.plans import catalog, reports  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,8 +20,9 @@ def plain(v):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
-        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"):
+        path = f"{SF}/{t}.parquet"
+        con.sql(f"create view {t} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return con
 
 
