@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 PARTS = 64
 
 
@@ -36,7 +38,8 @@ def ranked(df: DataFrame, keys: list[str], value: str, *ties: str) -> DataFrame:
 
 def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
     """keys and an array of the exact percentiles of value, between two values linear; equal values are counted first."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("pct_v")).agg(F.count("*").alias("pct_c"))
+    # read several times below, while what it is made of may be dear
+    counts = settled(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("pct_v")).agg(F.count("*").alias("pct_c")))
     rows = ranked(counts, keys, "pct_v")
     # ranks of distinct values become ranks of rows by the same parts: sums of counts before
     named = [f"pct_k{i}" for i in range(len(keys))]
