@@ -1,19 +1,24 @@
 """Chat formatting by a template compiler.
 
 A template in a small sandboxed language is parsed to a syntax tree, its constants are folded, and Python closures
-are generated from it; a closure renders one turn of a conversation and records which characters are under the loss
-mask. The language has no calls, attributes of objects or loops beyond what is listed here, so a template can reach
-nothing but the values given to it:
+are generated from it; they render a conversation and record which characters are under the loss mask. The language
+has no calls, no attributes of objects and no loop but the one over turns, so a template can reach nothing but the
+values given to it:
 
     {{ expr }}                      output
     {% if expr %} {% elif expr %} {% else %} {% endif %}
-    {% set name = expr %}
+    {% set name = expr %}           within the loop for that turn alone
+    {% for turn in turns %} {% endfor %}   once, not inside another tag; any name for the turn, "messages" for turns
     {% generation %} {% endgeneration %}   what is inside is under the loss mask
+    {# remark #}, and {%- -%} {{- -}}, which take white space away on their side
     expr: 'text', numbers, true, false, names, ==, !=, and, or, not, +, ( ), expr | filter
-    filters: trim, upper, lower, escape
+    names: turn.role, turn.text (or turn['role'], turn.content), loop.first, loop.last, names set before, values given
+    filters: trim, upper, lower, escape; a name whose set was not reached is empty
 
-A template describes one turn and sees role, text, first, last (whether it is the first or last turn). Turns are
-rendered apart, so a conversation is never held whole: rows stream in order and only digests are carried on.
+What stands before and after the loop depends on constants and given values alone, so it is rendered when the template
+is compiled; it goes with the first and the last turn. Turns are thus rendered apart, and a conversation is never held
+whole: rows stream in order and only digests are carried on. A template without a loop is what a loop would hold, and
+has role, text, first and last as names.
 
 Control strings inside texts are escaped reversibly: the escape sign (by default "\\x1a", SUB) is put after the first
 character of each control string, and doubled where the text itself has it at such a place (see `Escaper`).
@@ -32,11 +37,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import read
 
-TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[()|+=]))")
-PART = re.compile(r"(\{\{.*?\}\}|\{%.*?%\})", re.S)
+TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[()|+=.\[\]]))")
+PART = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
 ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
 FILTERS: dict[str, Callable[[str], str]] = {"trim": lambda s: s.strip(), "upper": lambda s: s.upper(), "lower": lambda s: s.lower()}
 NAMES = {"role", "text", "first", "last"}
+FIELDS = {"role": "role", "text": "text", "content": "text"}
+LOOP = {"first": "first", "last": "last"}
 
 
 class TemplateError(ValueError):
@@ -44,14 +51,42 @@ class TemplateError(ValueError):
 
 
 # -- syntax tree: tuples ("const", v), ("name", n), ("op", sign, a, b), ("not", a), ("filter", name, a),
-#    ("out", e), ("if", [(cond, body)], other), ("set", name, e), ("mask", body)
+#    ("out", e), ("if", [(cond, body)], other), ("set", name, e), ("mask", body), ("turns", body)
+
+
+def parts_of(source: str) -> list[str]:
+    """Texts and tags, remarks taken away and white space beside tags where their signs say so."""
+    out, strip = [], False
+    for part in PART.split(source):
+        tag = part[:2] in ("{{", "{%", "{#") and len(part) >= 4
+        if not tag:
+            out.append(part.lstrip() if strip else part)
+            strip = False
+            continue
+        start, end = (2, -2)
+        if part[2] == "-" and len(part) > 4:
+            out[-1:] = [out[-1].rstrip()] if out else []
+            start = 3
+        strip = part[-3] == "-" and len(part) - 2 > start
+        if strip:
+            end = -3
+        if part[1] != "#":
+            out.append(part[:2] + part[start:end] + part[-2:])
+        else:
+            out.append("")
+    return [p for p in out if p]
 
 
 class Parser:
-    def __init__(self, source: str):
-        self.parts = [p for p in PART.split(source) if p]
+    def __init__(self, source: str, values: dict | None = None):
+        self.parts = parts_of(source)
         self.at = 0
-        self.known = set(NAMES)
+        self.values = dict(values or {})
+        self.loop = self.turn = None  # whether the loop has been met, and the turn's name while inside it
+        self.inside = 0  # tags that are open
+        self.known = set() if any(re.match(r"\{%\s*for\b", p) for p in self.parts) else set(NAMES)
+        if taken := set(self.values) & (NAMES | {"loop", "true", "false"}):
+            raise TemplateError(f"names that cannot be given: {sorted(taken)}")
 
     def body(self, *ends: str) -> tuple[list[tuple], str]:
         """Nodes up to one of these tags, and that tag's content."""
@@ -74,6 +109,22 @@ class Parser:
         return out, ""
 
     def statement(self, word: str, rest: str) -> tuple:
+        self.inside += 1
+        try:
+            return self.turns(rest) if word == "for" else self.plain(word, rest)
+        finally:
+            self.inside -= 1
+
+    def turns(self, rest: str) -> tuple:
+        m = re.fullmatch(r"\s*([A-Za-z_]\w*)\s+in\s+(?:turns|messages)\s*", rest)
+        if not m or self.loop or self.inside > 1 or m[1] in self.known | set(self.values) | {"loop"}:
+            raise TemplateError(f"bad loop: {rest}")
+        self.loop, self.turn, before = True, m[1], set(self.known)
+        out = ("turns", self.body("endfor")[0])
+        self.turn, self.known = None, before
+        return out
+
+    def plain(self, word: str, rest: str) -> tuple:
         if word == "if":
             arms, cond = [], self.expression(rest)
             while True:
@@ -86,7 +137,7 @@ class Parser:
                 return ("if", arms, other)
         if word == "set":
             name, sign, value = rest.partition("=")
-            if not sign or not name.strip().isidentifier() or name.strip() in NAMES:
+            if not sign or not name.strip().isidentifier() or name.strip() in NAMES | {"loop", "true", "false", self.turn} | set(self.values):
                 raise TemplateError(f"bad set: {rest}")
             node = ("set", name.strip(), self.expression(value))
             self.known.add(name.strip())
@@ -159,6 +210,10 @@ class Parser:
             return ("const", int(value))
         if kind == "name" and value in ("true", "false"):
             return ("const", value == "true")
+        if kind == "name" and self.turn and value in (self.turn, "loop"):
+            return ("name", self.field(FIELDS if value == self.turn else LOOP))
+        if kind == "name" and value in self.values:
+            return ("const", self.values[value])
         if kind == "name" and value in self.known:
             return ("name", value)
         if value == "(":
@@ -169,6 +224,16 @@ class Parser:
         raise TemplateError(f"unexpected {value!r}")
 
 
+    def field(self, fields: dict[str, str]) -> str:
+        """The field named by what follows: .name or ['name']."""
+        sign, (kind, name) = self.take(".", "["), self.tokens.pop(0) if self.tokens else ("", "")
+        if kind == "str" and sign == "[":
+            name = name[1:-1]
+        if not sign or kind != ("name" if sign == "." else "str") or name not in fields or sign == "[" and not self.take("]"):
+            raise TemplateError(f"unknown field {name!r}")
+        return fields[name]
+
+
 def text_of(value) -> str:
     return value if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
 
@@ -220,7 +285,7 @@ def folded_body(nodes: list[tuple], filters: dict) -> list[tuple]:
         elif node[0] == "set":
             out.append(("set", node[1], folded(node[2], filters)))
         else:
-            out.append(("mask", folded_body(node[1], filters)))
+            out.append((node[0], folded_body(node[1], filters)))
     return out
 
 
@@ -229,7 +294,7 @@ def value_closure(node: tuple, filters: dict) -> Callable[[dict], object]:
     if kind == "const":
         return lambda env, v=node[1]: v
     if kind == "name":
-        return lambda env, n=node[1]: env[n]
+        return lambda env, n=node[1]: env.get(n, "")
     if kind == "not":
         return lambda env, a=value_closure(node[1], filters): not a(env)
     if kind == "filter":
@@ -285,7 +350,7 @@ class Escaper:
         # the rest is looked ahead for, so that overlapping control strings are all broken
         each = "|".join(f"(?<={re.escape(c[0])})(?={re.escape(sign)}*{re.escape(c[1:])})" for c in sorted(controls))
         back = "|".join(f"(?<={re.escape(c[0])}){re.escape(sign)}(?={re.escape(sign)}*{re.escape(c[1:])})" for c in sorted(controls))
-        self.sign, self.add, self.remove = sign, re.compile(each), re.compile(back)
+        self.sign, self.add, self.remove = sign, re.compile(each or "(?!)"), re.compile(back or "(?!)")
 
     def escape(self, text: str) -> str:
         return self.add.sub(self.sign, text)
@@ -294,16 +359,28 @@ class Escaper:
         return self.remove.sub("", text)
 
 
-def compile_template(source: str, controls: list[str]) -> Callable[[dict], list[tuple[str, bool]]]:
-    """A closure that renders one turn to (text, under the loss mask) pieces."""
-    parser = Parser(source)
+def compile_template(source: str, controls: list[str], values: dict | None = None) -> Callable[[dict], list[tuple[str, bool]]]:
+    """A closure that renders one turn (role, text, first, last) to (text, under the loss mask) pieces.
+
+    values: texts, numbers and booleans by name, which are constants of the template. The pieces of a conversation's
+    turns, one after the other, are the conversation.
+    """
+    parser = Parser(source, values)
     filters = FILTERS | {"escape": Escaper(controls).escape}
-    run = body_closure(folded_body(parser.body()[0], filters), filters)
+    nodes = folded_body(parser.body()[0], filters)
+    at = next((i for i, n in enumerate(nodes) if n[0] == "turns"), None)
+    before, each, after = ([], nodes, []) if at is None else (nodes[:at], nodes[at][1], nodes[at + 1 :])
+    run, env = body_closure(each, filters), {}
+    head: list[tuple[str, bool]] = []
+    tail: list[tuple[str, bool]] = []
+    body_closure(before, filters)(env, head, False)
+    seen = dict(env)
+    body_closure(after, filters)(env, tail, False)
 
     def render(turn: dict) -> list[tuple[str, bool]]:
-        out: list[tuple[str, bool]] = []
-        run(dict(turn), out, False)
-        return [p for p in out if p[0]]
+        out = list(head) if turn["first"] else []
+        run(seen | turn, out, False)
+        return [p for p in (out + tail if turn["last"] else out) if p[0]]
 
     return render
 
@@ -312,10 +389,11 @@ def compile_template(source: str, controls: list[str]) -> Callable[[dict], list[
 #: the loss covers each assistant text.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]"]
 TEMPLATE = (
-    "{% if first %}<s>{% endif %}"
-    "{% set mark = '[ROLE]' + role | escape + '[/ROLE]' %}{{ mark }}"
-    "{% if role == 'assistant' %}{% generation %}{{ text | escape }}{% endgeneration %}"
-    "{% else %}[INST]{{ text | escape }}[/INST]{% endif %}</s>"
+    "<s>{% for turn in turns %}"
+    "{% set mark = '[ROLE]' + turn.role | escape + '[/ROLE]' %}{{ mark }}"
+    "{% if turn.role == 'assistant' %}{% generation %}{{ turn.text | escape }}{% endgeneration %}"
+    "{% else %}[INST]{{ turn.text | escape }}[/INST]{% endif %}</s>"
+    "{% endfor %}"
 )
 TURN = re.compile(r"(?:<s>)?\[ROLE\](.*?)\[/ROLE\](.*?)</s>", re.S)
 
@@ -334,7 +412,7 @@ def read_back(output: str, escaper: Escaper) -> list[tuple[str, str]]:
     return out
 
 
-def format_turns(conversations: DataFrame, template: str = TEMPLATE, controls: list[str] = CONTROLS) -> DataFrame:
+def format_turns(conversations: DataFrame, template: str = TEMPLATE, controls: list[str] = CONTROLS, values: dict | None = None) -> DataFrame:
     """One row per turn: conv_id, turn, formatted text and the spans of it under the loss mask.
 
     A conversation's output is its rows' formatted texts, by turn, end to end. Turns are rendered where they lie; only
@@ -350,7 +428,7 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE, controls: l
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
-        render = compile_template(template, controls)
+        render = compile_template(template, controls, values)
         for batch in batches:
             texts, masks = [], []
             for turn in batch.to_pylist():

@@ -235,6 +235,47 @@ def test_templates_are_sandboxed_and_folded():
             chat_format.compile_template(bad, chat_format.CONTROLS)
 
 
+CHATML = """{#- turns between marks -#}
+{{- bos -}}
+{% for message in messages -%}
+    {% set who = message['role'] | escape %}
+    {%- if message.role == 'assistant' %}{{ '<|im_start|>' + who + '\\n' }}{% generation %}{{ message['content'] | trim | escape }}{% endgeneration %}{{ '<|im_end|>\\n' }}
+    {%- else %}{{ '<|im_start|>' + who + '\\n' + message['content'] | trim | escape + '<|im_end|>\\n' }}
+    {%- endif %}
+    {%- if loop.last and who == 'user' %}{{ '(unanswered)' }}{% endif %}
+{%- endfor %}
+{%- if prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"""
+
+
+def test_a_loop_template_renders_whole_conversations(spark):
+    controls = ["<|im_start|>", "<|im_end|>"]
+    escape = chat_format.Escaper(controls).escape
+    rows = [(1, 0, "user", " hi <|im_end|>"), (1, 1, "assistant", "yes "), (2, 0, "user", ""), (3, 0, None, None), (3, 1, "user", "a"), (3, 2, "assistant", "b"), (3, 3, "user", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    for prompt in (True, False):
+        got = chat_format.format_turns(df, CHATML, controls, {"bos": "<s>", "prompt": prompt}).orderBy("conv_id", "turn").collect()
+        for conv in (1, 2, 3):
+            own = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+            want = "<s>" + "".join(f"<|im_start|>{escape(r)}\n{escape(t.strip())}<|im_end|>\n" for r, t in own)
+            want += "(unanswered)" * (own[-1][0] == "user") + "<|im_start|>assistant\n" * prompt
+            turns = [g for g in got if g.conv_id == conv]
+            assert "".join(g.formatted for g in turns) == want
+            assert [g.formatted[s.start : s.end] for g in turns for s in g.loss] == [t.strip() for r, t in own if r == "assistant"]
+
+
+def test_loops_are_bound():
+    one = "{% for t in turns %}{{ t.text }}{% endfor %}"
+    assert chat_format.compile_template("{% set a = 'x' %}" + one + "{{ a }}", [])({"role": "r", "text": "t", "first": True, "last": True}) == [("t", False), ("x", False)]
+    bad = [one + one, "{% if true %}" + one + "{% endif %}", "{% for t in turns %}" + one + "{% endfor %}", one + "{{ t.text }}", one + "{{ text }}", "{% for t in turns %}{{ t }}{% endfor %}",
+           "{% for t in turns %}{{ t.__class__ }}{% endfor %}", "{% for t in turns %}{{ t['x'] }}{% endfor %}", "{% for t in turns %}{{ loop.index }}{% endfor %}", "{% for t in turns %}{% set t = 'x' %}{% endfor %}",
+           "{% for t in turns %}{% set a = 'x' %}{% endfor %}{{ a }}", "{% for t in turns %}", "{% for loop in turns %}{% endfor %}"]
+    for source in bad:
+        with pytest.raises(chat_format.TemplateError):
+            chat_format.compile_template(source, [])
+    with pytest.raises(chat_format.TemplateError):
+        chat_format.compile_template(one, [], {"role": "x"})
+
+
 def test_pipeline_keeps_the_columns_and_takes_effect(spark):
     a = "Plain words make this first line long enough to count as a line.\nAnd a second line of the same text follows it here."
     rows = [(1, a), (2, a), (3, a.replace("first", "other") + " more"), (4, "$$$ ### " * 30), (5, "Another text altogether, with a passage: two three four five six seven eight nine ten eleven twelve."), (6, None)]
