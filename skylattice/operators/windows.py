@@ -18,19 +18,33 @@ def last_history(states: DataFrame, n: int = 5) -> DataFrame:
     return some.groupBy("icao24").agg(track.alias("track"), F.count("*").alias("n"))
 
 
-def lag_features(states: DataFrame) -> DataFrame:
+def with_carried(rows: DataFrame, key: list[str], time: str, order: list[str], fields: list[str], width: int = 86_400) -> DataFrame:
+    """rows with __part, their stretch of `width` of time, and one more row (__own false) for each part but a key's first.
+
+    That row has `fields` of the key's last row before the part. Windows over key and __part, ordered by __own first, see
+    it where a window over the key would see the row itself, and a key with many rows is spread over its parts. What is
+    ordered over a whole key is one row a part. order begins with time, so that equal times share a part.
+    """
+    rows = rows.withColumns({"__part": F.floor(F.col(time) / width), "__own": F.lit(True)})
+    ends = rows.groupBy(*key, "__part").agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("__last"))
+    carried = ends.withColumn("__last", F.lag("__last").over(Window.partitionBy(*key).orderBy("__part"))).filter("__last is not null")
+    return rows.unionByName(carried.select(*key, "__part", "__last.*", F.lit(False).alias("__own")), allowMissingColumns=True)
+
+
+def lag_features(states: DataFrame, width: int = 86_400) -> DataFrame:
     """Complete airborne rows with turn rate, acceleration and climb trend against the aircraft's row before."""
     fields = ["latitude", "longitude", "velocity", "true_track", "vertical_rate", "baro_altitude"]
     rows = states.filter(~F.col("on_ground")).dropna(subset=[*fields, "time_position"])
-    w = Window.partitionBy("icao24").orderBy("time_position", "event_id")
     sin, cos = F.sin(F.radians("true_track")), F.cos(F.radians("true_track"))
     rows = rows.withColumns({"track_sin": sin, "track_cos": cos})
+    rows = with_carried(rows, ["icao24"], "time_position", ["time_position", "event_id"], ["time_position", "track_sin", "track_cos", "velocity", "vertical_rate"], width)
+    w = Window.partitionBy("icao24", "__part").orderBy("__own", "time_position", "event_id")
     before = lambda c: F.lag(c).over(w)
     rows = rows.withColumns({"__t": before("time_position"), "__s": before("track_sin"), "__c": before("track_cos"), "__v": before("velocity"), "__r": before("vertical_rate")})
     dt = F.greatest(F.col("time_position") - F.col("__t"), F.lit(1))
     turn = signed_turn(F.col("track_sin"), F.col("track_cos"), F.col("__s"), F.col("__c"))
-    out = rows.filter(F.col("__t").isNotNull()).withColumns({"dt": dt, "turn_rate": turn / dt, "acceleration": (F.col("velocity") - F.col("__v")) / dt, "climb_trend": (F.col("vertical_rate") - F.col("__r")) / dt})
-    return out.drop("__t", "__s", "__c", "__v", "__r")
+    out = rows.filter(F.col("__own") & F.col("__t").isNotNull()).withColumns({"dt": dt, "turn_rate": turn / dt, "acceleration": (F.col("velocity") - F.col("__v")) / dt, "climb_trend": (F.col("vertical_rate") - F.col("__r")) / dt})
+    return out.drop("__t", "__s", "__c", "__v", "__r", "__part", "__own")
 
 
 def longest_run(daily: DataFrame, key: list[str], day: str) -> DataFrame:

@@ -184,3 +184,17 @@ def test_flights_between_airports(spark, tmp_path):
     route = got[-1]
     assert route.duration_min == 60.0 and 600 < route.distance_km < 700 and route.avg_speed_kmh == pytest.approx(route.distance_km, abs=0.1)
     assert all(r.predicted_iata not in (None, "FRA") and r.eta_minutes > 0 for r in got[:2])
+
+
+def test_lags_over_parts_equal_lags_over_keys(spark):
+    rows = [(i, k, t, v) for i, (k, t, v) in enumerate([("a", 10, 1.0), ("a", 99, 2.0), ("a", 99, 4.0), ("a", 100, 5.0), ("a", 950, 7.0), ("a", -5, 0.5), ("b", 300, 1.0), (None, 20, 3.0), (None, 520, 8.0), ("c", 205, 2.0), ("c", 202, 1.0)])]
+    df = spark.createDataFrame([(i, k, t, v, False) for i, k, t, v in rows], "event_id long, icao24 string, time_position long, velocity double, on_ground boolean")
+    df = df.withColumns({c: F.lit(1.0) for c in ("latitude", "longitude", "true_track", "vertical_rate", "baro_altitude")})
+    want = {}
+    for key in {r[1] for r in rows}:
+        own = sorted((t, i, v) for i, k, t, v in rows if k == key)
+        want |= {b[1]: (b[2] - a[2]) / max(1, b[0] - a[0]) for a, b in zip(own, own[1:])}
+    for width in (1, 100, 86_400):
+        got = windows.lag_features(df, width)
+        assert got.columns[: len(df.columns)] == df.columns and {r.event_id: r.acceleration for r in got.collect()} == want
+    assert windows.lag_features(df.limit(0)).collect() == []
