@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from skylattice.functions import enrich, geo
-from skylattice.operators import cluster, forecast, joins, marts, ranks, reports, windows
+from skylattice.operators import cluster, forecast, joins, legs, marts, ranks, reports, windows
 from skylattice.sources import dims, feeds, sinks
 from skylattice.streaming import jobs
 from tests.test_operators import bronze_rows, leg_rows
@@ -198,3 +198,29 @@ def test_lags_over_parts_equal_lags_over_keys(spark):
         got = windows.lag_features(df, width)
         assert got.columns[: len(df.columns)] == df.columns and {r.event_id: r.acceleration for r in got.collect()} == want
     assert windows.lag_features(df.limit(0)).collect() == []
+
+
+def test_legs_over_parts_equal_a_walk_over_rows(spark):
+    rng = np.random.default_rng(3)
+    places = [(r.iata, r.airport_lat, r.airport_lon) for r in dims.airports(spark).collect()[:5]]
+    rows = []
+    for i in range(400):
+        _, lat, lon = places[int(rng.integers(5))]
+        away = float(rng.choice([0.0, 5.0]))
+        rows.append((i, [None, "a", "b"][int(rng.integers(3))], int(rng.integers(0, 1000)), bool(rng.random() < 0.4), None if rng.random() < 0.1 else lat + away, lon))
+    df = spark.createDataFrame(rows, "event_id long, icao24 string, last_contact long, on_ground boolean, latitude double, longitude double")
+    want = {}
+    for key in (None, "a", "b"):
+        before, departure, flying = None, (None, None), False
+        for i, _, t, ground, lat, lon in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+            if before and not ground:
+                near = [iata for iata, la, lo in places if lat == la and lon == lo]
+                departure, flying = ((near[0], t) if near else (None, None)), True
+            want[i] = (before, departure if flying else (None, None))
+            if ground:
+                flying = False
+            before = ground
+    few = dims.airports(spark).filter(F.col("iata").isin([p[0] for p in places]))
+    for width in (1, 90, 86_400):
+        got = {r.event_id: (r.was_on_ground, (r.dep_iata, r.dep_time)) for r in legs.with_departures(df, few, width=width).collect()}
+        assert got == want
