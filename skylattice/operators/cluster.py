@@ -13,6 +13,7 @@ from ..sources.shared import settled
 from .windows import knee
 
 DIMS = ["x0", "x1", "x2", "x3"]
+LAST_LEVEL = 30  # of halving cells; then points are compared
 
 
 def route_features(silver: DataFrame, cells: bool = False) -> DataFrame:
@@ -51,18 +52,20 @@ def k_distances(points: DataFrame, group: str, k: int = 8, start: float = 0.1) -
     """event_id, group and the distance to the k-th nearest point, the point itself being the first.
 
     Found within a radius that doubles for the points that have fewer than k neighbours yet; points of groups with fewer
-    than k points are left out.
+    than k points are left out. The first radius is `start`, in groups of over 10,000 points less by the cube root of
+    their size (routes fill three of the four dimensions), so that a point meets as many others in a large group.
     """
     sizes = points.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-    points = settled(points.join(sizes.select(group), group, "left_semi"))
-    todo, done, radius = points, None, start
+    first = F.lit(start) * F.least(F.lit(1.0), F.pow(10_000 / F.col("n"), 1 / 3))
+    points = settled(points.join(sizes.select(group, first.alias("__first")), group))
+    todo, done, times = points, None, 1.0
     while not todo.isEmpty():
-        near = neighbours(todo, points, group, radius).select(F.col("a.event_id").alias("event_id"), F.col(f"a.{group}").alias(group), "d")
+        near = neighbours(todo, points, group, F.col("__first") * times).select(F.col("a.event_id").alias("event_id"), F.col(f"a.{group}").alias(group), "d")
         rank = F.row_number().over(Window.partitionBy("event_id").orderBy("d"))
         found = settled(near.withColumn("rank", rank).filter(F.col("rank") == k).select("event_id", group, F.col("d").alias("k_distance")))
         done = found if done is None else done.unionByName(found)
         todo = settled(todo.join(found.select("event_id"), "event_id", "left_anti"))
-        radius *= 2
+        times *= 2
     return done if done is not None else points.select("event_id", group, F.lit(0.0).alias("k_distance"))
 
 
@@ -90,23 +93,85 @@ def knee_eps(points: DataFrame, group: str, k: int = 8, widen: float = 1e-9) ->
     return settled(found.select(group, F.greatest(F.col("knee") * (1 + widen), F.lit(1e-6)).alias("eps")))
 
 
+def places(level: int) -> Column:
+    """A point's cell of width r / 2 ** (level + 1); from the last level on, the point itself."""
+    return F.array(*[F.floor(F.col(d) * 2.0 ** (level + 1) / F.col("r")) if level < LAST_LEVEL else F.col(d) for d in DIMS])
+
+
+def boxes(points: DataFrame, *keys: str | Column) -> DataFrame:
+    """keys, n, home (the smallest event), low and high (the bounds) of groups of points with one r."""
+    bounds = [F.array(*[f(d) for d in DIMS]) for f in (F.min, F.max)]
+    return points.groupBy(*keys).agg(F.count("*").alias("n"), F.min("event_id").alias("home"), bounds[0].alias("low"), bounds[1].alias("high"))
+
+
+def between(far: bool) -> Column:
+    """The largest or smallest distance that points of boxes a and b can have."""
+
+    def side(i):
+        up, down = F.col("a.high")[i] - F.col("b.low")[i], F.col("b.high")[i] - F.col("a.low")[i]
+        return F.greatest(up, down) if far else F.greatest(F.lit(0.0), -up, -down)
+
+    return F.sqrt(sum(F.pow(side(i), 2) for i in range(len(DIMS))))
+
+
+def touching(dense: DataFrame, cells: DataFrame, group: str) -> DataFrame:
+    """(a, b): edges that connect the dense cells which points at most r apart connect, cells named by their smallest event.
+
+    dense: points with their cell's name as `cell`; cells: the cells with their bounds. Bounds of two cells often tell
+    whether they touch; the others are halved, unless other cells connect them, until bounds tell. No pairs of points are
+    formed but of those that lie at almost r from each other.
+    """
+    parent = lambda *shift: F.xxhash64(F.col(group), *[F.shiftright(F.col("place")[i], 1) + s for i, s in enumerate(shift)])
+    around = F.explode(F.array_distinct(F.array(*[parent(*s) for s in product((-1, 0, 1), repeat=len(DIMS))])))
+    box = F.struct(group, "r", F.col("home").alias("cell"), F.col("place").alias("box"), "low", "high")
+    a, b = cells.select(box.alias("a"), around.alias("k")), cells.select(box.alias("b"), parent(0, 0, 0, 0).alias("other"))
+    open_, edges, level = a.join(b, (F.col("k") == F.col("other")) & (F.col("a.cell") < F.col("b.cell"))).filter(F.col(f"a.{group}") == F.col(f"b.{group}")), None, 0
+    while True:
+        seen = settled(open_.filter(between(False) <= F.col("a.r")).select("a", "b", (between(True) <= F.col("a.r")).alias("sure")))
+        sure = seen.filter("sure").select(F.col("a.cell").alias("a"), F.col("b.cell").alias("b")).distinct()
+        edges = settled(sure if edges is None else edges.unionByName(sure).distinct())
+        open_ = seen.filter("not sure").select("a", "b")
+        if open_.isEmpty():
+            return edges
+        for side in "ab":
+            root = connected(edges).select(F.col("node").alias(f"{side}_node"), F.col("root").alias(f"{side}_root"))
+            open_ = open_.join(root, F.col(f"{side}.cell") == F.col(f"{side}_node"), "left").drop(f"{side}_node")
+        open_ = settled(open_.filter(F.coalesce("a_root", "a.cell") != F.coalesce("b_root", "b.cell")).select("a", "b"))
+        level += 1
+        finer = boxes(dense.withColumns({"whole": places(level - 1), "place": places(level)}), group, "r", "cell", "whole", "place")
+        half = F.struct(group, "r", "cell", F.col("place").alias("box"), "low", "high")
+        for side in "ab":
+            halves = finer.select(F.col("cell").alias(f"{side}_cell"), F.col("whole").alias(f"{side}_whole"), half.alias(f"{side}_half"))
+            open_ = open_.join(halves, (F.col(f"{side}.cell") == F.col(f"{side}_cell")) & (F.col(f"{side}.box") == F.col(f"{side}_whole")))
+        open_ = open_.select(F.col("a_half").alias("a"), F.col("b_half").alias("b"))
+
+
 def dbscan(points: DataFrame, group: str, eps: float | DataFrame, min_samples: int = 8) -> DataFrame:
     """event_id, group, is_core, label: -1 for noise, else the smallest event of the cluster's core points.
 
     A point is core if at least min_samples points, itself included, are within eps; groups of fewer than twice as many
     points, and those without an eps, are all noise. eps: one for all groups, or (group, eps). A border point belongs to the cluster with the smallest label among its core neighbours.
+
+    Points of a cell half as wide as eps are all neighbours, so a cell with min_samples of them is dense: its points are
+    core, and stand as one node. Only points of other cells, of which there are few in any place, meet their neighbours.
     """
     sizes = points.groupBy(group).agg(F.count("*").alias("__n"))
     fit = points.join(sizes.filter(F.col("__n") >= 2 * min_samples).select(group), group, "left_semi")
-    if isinstance(eps, DataFrame):
-        fit, eps = fit.join(eps.select(group, "eps"), group), F.col("eps")
-    fit = settled(fit)
-    near = settled(neighbours(fit, fit, group, eps).select(F.col("a.event_id").alias("a"), "b"))
-    core = settled(near.groupBy("a").count().filter(F.col("count") >= min_samples).select(F.col("a").alias("core")))
-    of_core = near.join(core, F.col("b") == F.col("core")).select("a", "b")
-    roots = connected(of_core.join(core, F.col("a") == F.col("core")).select("a", "b"))
-    cores = core.join(roots, F.col("core") == F.col("node"), "left").select("core", F.coalesce("root", "core").alias("root"))
-    border = of_core.join(cores, F.col("b") == F.col("core")).groupBy("a").agg(F.min("root").alias("near_root"))
+    fit = fit.join(eps.select(group, F.col("eps").alias("r")), group) if isinstance(eps, DataFrame) else fit.withColumn("r", F.lit(float(eps)))
+    fit = settled(fit.select("event_id", group, "r", *DIMS, places(0).alias("place")))
+    across = F.sqrt(sum(F.pow(F.col("high")[i] - F.col("low")[i], 2) for i in range(len(DIMS))))
+    cells = settled(boxes(fit, group, "r", "place").filter((F.col("n") >= min_samples) & (across <= F.col("r"))))
+    named = settled(fit.join(cells.select(group, "place", F.col("home").alias("cell")), [group, "place"], "left"))
+    dense, loose = named.filter("cell is not null"), named.filter("cell is null")
+    near = settled(neighbours(loose, named, group, F.col("r")).select(F.col("a.event_id").alias("a"), "b"))
+    few = near.groupBy("a").count().filter(F.col("count") >= min_samples)
+    core = settled(dense.select(F.col("event_id").alias("core"), F.col("cell").alias("own")).unionByName(few.select(F.col("a").alias("core"), F.col("a").alias("own"))))
+    of_core = settled(near.join(core, F.col("b") == F.col("core")).select("a", F.col("own").alias("b")))
+    links = of_core.join(few.select("a"), "a", "left_semi")
+    roots = connected(links.unionByName(touching(dense, cells, group)))
+    cores = settled(core.join(roots, F.col("own") == F.col("node"), "left").select("core", "own", F.coalesce("root", "own").alias("root")))
+    of_root = cores.groupBy("own").agg(F.min("root").alias("root"))
+    border = of_core.join(of_root, F.col("b") == F.col("own")).groupBy("a").agg(F.min("root").alias("near_root"))
     out = points.select("event_id", group).join(cores, F.col("event_id") == F.col("core"), "left").join(border, F.col("event_id") == F.col("a"), "left")
     return out.select("event_id", group, F.col("core").isNotNull().alias("is_core"), F.coalesce("root", "near_root", F.lit(-1)).alias("label"))
 

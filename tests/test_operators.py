@@ -75,6 +75,39 @@ def test_dbscan_and_knee(spark):
     assert windows.knee(curve, ["g"], "v").head().knee == pytest.approx(0.3)
 
 
+def brute_dbscan(pts, eps, least):
+    """(core, label) by all pairs: labels are smallest core points, border points take the smallest of their cores' labels."""
+    near = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(2)) <= eps
+    core = near.sum(1) >= least
+    label = np.where(core, np.arange(len(pts)), len(pts))
+    while True:
+        least_near = np.where(near & core[None] & core[:, None], label[None], len(pts)).min(1)
+        new = np.where(core, np.minimum(label, least_near), label)
+        if (new == label).all():
+            break
+        label = new
+    border = np.where(near & core[None], label[None], len(pts)).min(1)
+    label = np.where(core, label, border)
+    return core, np.where(label == len(pts), -1, label)
+
+
+def test_dbscan_equals_all_pairs_where_cells_are_dense(spark):
+    rng = np.random.default_rng(11)
+    flat = lambda x, y, n, spread: np.hstack([rng.normal((x, y), spread, (n, 2)), np.zeros((n, 2))])
+    same = lambda x, n: np.tile([x, 50.0, 0.0, 0.0], (n, 1))
+    pts = np.vstack([
+        flat(0, 0, 300, 0.3), flat(3, 0, 60, 0.8), rng.uniform(-4, 8, (80, 4)) * [1, 1, 0.05, 0.05],  # dense, thin and stray
+        same(0.0, 40), same(0.5, 40), same(1.125, 40), same(1.625, 3),  # copies at eps, beyond it, and a border of copies
+        flat(20, 20, 150, 0.02), flat(20.55, 20, 150, 0.02), flat(30, 20, 150, 0.02), flat(30.7, 20, 150, 0.02),  # close by each other
+    ])
+    pts = pts[rng.permutation(len(pts))]
+    core, label = brute_dbscan(pts, 0.5, 8)
+    assert 5 < len(set(label)) and (label == -1).any() and (~core & (label >= 0)).any()
+    df = spark.createDataFrame([(i, "g", *map(float, p)) for i, p in enumerate(pts)], "event_id long, g string, x0 double, x1 double, x2 double, x3 double")
+    got = {r.event_id: (r.is_core, r.label) for r in cluster.dbscan(df, "g", 0.5).collect()}
+    assert got == {i: (bool(c), int(v)) for i, (c, v) in enumerate(zip(core, label))}
+
+
 def test_snapshot_closes_changed_rows_only(spark):
     first = marts.snapshot(None, spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, n long"), "k", ["n"], "1")
     second = marts.snapshot(first, spark.createDataFrame([("a", 1), ("b", 5), ("d", 4)], "k string, n long"), "k", ["n"], "2")
