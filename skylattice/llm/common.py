@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,3 +91,24 @@ def text_slices(batches, max_bytes: int = 4 << 20):
             total += n
         if sizes:
             yield batch.slice(start)
+
+
+def runs(batches, *keys: str):
+    """Tables of rows that lie side by side with equal keys (never null), across Arrow batches; one run is held at a time."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        n = table.num_rows
+        new = np.zeros(n - 1, bool)
+        for key in keys:
+            column = table.column(key)
+            new |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy()
+        starts = np.append(0, np.flatnonzero(new) + 1).tolist()
+        for start, end in zip(starts, starts[1:]):
+            yield table.slice(start, end - start)
+        held = table.slice(starts[-1])
+    if held is not None:
+        yield held

@@ -8,6 +8,7 @@ from .decontaminate import OP3_SQL, op3_decontaminate
 from .license_scan import OP7_SQL, op7_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .lm_scoring import op6_lm_score
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash import op8_simhash_near_duplicates
 from .token_counts import op1_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_decontaminate": OP3_SQL, "op7_license_scan": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_decontaminate": OP3_SQL, "op7_license_scan": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
