@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.enrich import MODEL_BOXES, first_box
 from ..functions.geo import cell10
 from ..sources.shared import settled
+from .components import components
 from .windows import knee
 
 DIMS = ["x0", "x1", "x2", "x3"]
@@ -69,23 +70,6 @@ def k_distances(points: DataFrame, group: str, k: int = 8, start: float = 0.1) -
     return done if done is not None else points.select("event_id", group, F.lit(0.0).alias("k_distance"))
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) by contraction of nodes to their smallest neighbour until no edge is left."""
-    edges = settled(edges.filter("a <> b").select("a", "b").distinct())
-    names = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "node"))
-        if names is None:
-            names = to.withColumnRenamed("to", "root")
-        else:
-            names = names.join(to.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        names = settled(names)
-        x, y = to.toDF("a", "x"), to.toDF("b", "y")
-        edges = settled(edges.join(x, "a").join(y, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    return names if names is not None else edges.toDF("node", "root")
-
-
 def knee_eps(points: DataFrame, group: str, k: int = 8, widen: float = 1e-9) -> DataFrame:
     """group and eps: the knee of its k-th nearest distances, for groups of at least twice k points."""
     sizes = points.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * k)
@@ -134,7 +118,7 @@ def touching(dense: DataFrame, cells: DataFrame, group: str) -> DataFrame:
         if open_.isEmpty():
             return edges
         for side in "ab":
-            root = connected(edges).select(F.col("node").alias(f"{side}_node"), F.col("root").alias(f"{side}_root"))
+            root = components(edges).select(F.col("node").alias(f"{side}_node"), F.col("root").alias(f"{side}_root"))
             open_ = open_.join(root, F.col(f"{side}.cell") == F.col(f"{side}_node"), "left").drop(f"{side}_node")
         open_ = settled(open_.filter(F.coalesce("a_root", "a.cell") != F.coalesce("b_root", "b.cell")).select("a", "b"))
         level += 1
@@ -168,7 +152,7 @@ def dbscan(points: DataFrame, group: str, eps: float | DataFrame, min_samples: i
     core = settled(dense.select(F.col("event_id").alias("core"), F.col("cell").alias("own")).unionByName(few.select(F.col("a").alias("core"), F.col("a").alias("own"))))
     of_core = settled(near.join(core, F.col("b") == F.col("core")).select("a", F.col("own").alias("b")))
     links = of_core.join(few.select("a"), "a", "left_semi")
-    roots = connected(links.unionByName(touching(dense, cells, group)))
+    roots = components(links.unionByName(touching(dense, cells, group)))
     cores = settled(core.join(roots, F.col("own") == F.col("node"), "left").select("core", "own", F.coalesce("root", "own").alias("root")))
     of_root = cores.groupBy("own").agg(F.min("root").alias("root"))
     border = of_core.join(of_root, F.col("b") == F.col("own")).groupBy("a").agg(F.min("root").alias("near_root"))
@@ -177,10 +161,18 @@ def dbscan(points: DataFrame, group: str, eps: float | DataFrame, min_samples: i
 
 
 def numbered(labels: DataFrame, group: str) -> DataFrame:
-    """label replaced by corridor_id: 0, 1, ... by group name, then label; -1 stays. Ranks are taken over clusters only."""
-    ids = labels.filter("label >= 0").select(group, "label").distinct()
-    ids = ids.withColumn("corridor_id", F.row_number().over(Window.orderBy(group, "label")) - 1)
-    return labels.join(ids, [group, "label"], "left").withColumn("corridor_id", F.coalesce("corridor_id", F.lit(-1)).cast("long")).drop("label")
+    """label replaced by corridor_id: 0, 1, ... by group name, then label; -1 stays.
+
+    Clusters are ranked within their group; only groups, a row each, are added up in order.
+    """
+    ids = settled(labels.filter("label >= 0").select(group, "label").distinct())
+    before = ids.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    before = before.select("__g", (F.sum("__n").over(Window.orderBy("__g")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("label")) - 1
+    ids = ids.withColumn("__rank", rank).join(before, F.col(group).eqNullSafe(F.col("__g"))).select(F.col(group).alias("__g"), F.col("label").alias("__l"), (F.col("__before") + F.col("__rank")).alias("corridor_id"))
+    on = F.col(group).eqNullSafe(F.col("__g")) & (F.col("label") == F.col("__l"))
+    kept = [c for c in labels.columns if c != "label"]
+    return labels.join(ids, on, "left").select(*kept, F.coalesce("corridor_id", F.lit(-1)).cast("long").alias("corridor_id"))
 
 
 def silhouette(points: DataFrame, labels: DataFrame, group: str) -> DataFrame:
