@@ -11,10 +11,12 @@ Counting: documents are packed into slices of some megabytes, once. A slice send
 parts of the hash range, which count all and send back a level for each, in the order they came; a hot token is one
 number a slice. (Tokens that agree in 48 bits count together; that changes the order, for all alike, and no result.)
 
-Members of a component are not compared again, and a bucket gives a spanning forest, so links grow with members, not pairs.
-First every group goes to the largest of its buckets, which links most of what there is; then buckets that still hold several
-components are worked. A bucket of more than `limit` members, or too many bytes, is worked in parts, whose classes meet
-through one member each; if several classes stay, what is outside the largest goes to all parts.
+Groups that buckets connect are a family. A family of up to `limit` members is one unit, to which each set is sent once;
+there the buckets are an index in memory. In a larger family every group goes to the largest of its buckets first, which
+links most of what there is; then buckets that still hold several components are worked. Members of a component are
+not compared again, and a unit gives a spanning forest, so links grow with members, not pairs. A bucket over the limit
+is worked in parts, whose classes meet through one member each; if several classes stay, what is outside the largest goes
+to all parts.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.components import components
 from .common import read, runs, text_slices, texts, written
-from .components import components
 
 SLICE = 16 << 20
 PART_TOKENS = 4 << 20
@@ -69,8 +71,8 @@ def token_set(data: bytes, size: int, known: WordHashes) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def packed_slices(docs: DataFrame, size: int, max_bytes: int) -> DataFrame:
-    """(slice, doc_ids, sizes, data, n): documents of a slice, their texts compressed as one, and its number of distinct tokens."""
+def packed_slices(docs: DataFrame, max_bytes: int) -> DataFrame:
+    """(slice, doc_ids, sizes, data, bytes): documents of a slice, their texts compressed as one, and how long these are."""
     rows = texts(docs)
     id_type = rows.schema["doc_id"].dataType
     arrow_id = to_arrow_type(id_type)
@@ -78,12 +80,12 @@ def packed_slices(docs: DataFrame, size: int, max_bytes: int) -> DataFrame:
     def run(batches):
         for part in text_slices(batches, max_bytes):
             data = [t.as_buffer().to_pybytes() for t in part.column("text")]
-            n = len(slice_sets(data, size)[2])
-            columns = ([uuid.uuid4().hex], [part.column("doc_id").to_pylist()], [[len(d) for d in data]], [zstandard.compress(b"".join(data), 1)], [n])
+            sizes = [len(d) for d in data]
+            columns = ([uuid.uuid4().hex], [part.column("doc_id").to_pylist()], [sizes], [zstandard.compress(b"".join(data), 1)], [sum(sizes)])
             kinds = (pa.string(), pa.list_(arrow_id), pa.list_(pa.int64()), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["slice", "doc_ids", "sizes", "data", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["slice", "doc_ids", "sizes", "data", "bytes"])
 
-    return rows.mapInArrow(run, f"slice string, doc_ids array<{id_type.simpleString()}>, sizes array<long>, data binary, n long")
+    return rows.mapInArrow(run, f"slice string, doc_ids array<{id_type.simpleString()}>, sizes array<long>, data binary, bytes long")
 
 
 def slice_sets(data: list[bytes], size: int) -> tuple[list[np.ndarray], list[bytes], np.ndarray, np.ndarray]:
@@ -223,10 +225,11 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def unit_links(gid, key, root, n, unique, place, shared, percent: int, within: bool) -> list[tuple[int, int]]:
+def unit_links(gid, key, root, n, unique, prefix, lengths, shared, percent: int) -> list[tuple[int, int]]:
     """Links of a unit's members, a forest over what their roots leave open; arguments are arrays by member, sorted by gid.
 
-    within: whether members of one group are compared, else only those of different groups.
+    prefix: the prefixes of all, end to end, with their lengths. Members of one group are compared, and those of groups
+    that share a token of their prefixes, unless sizes or the token's places leave too few common tokens.
     """
     _, roots = np.unique(root, return_inverse=True)
     first = np.full(roots.max() + 1, len(roots))
@@ -236,16 +239,29 @@ def unit_links(gid, key, root, n, unique, place, shared, percent: int, within: b
     maps = np.array([bitmap(s) for s in sets])
     new = np.append(True, gid[1:] != gid[:-1])
     group = np.cumsum(new) - 1
-    g_n, g_place, g_unique = n[new], place[new], unique[new]
+    g_n, g_unique, g_length = n[new], unique[new], lengths[new]
+    # one index of the groups' prefixes: tokens, sorted, with their group and place
+    tokens = prefix[np.repeat(new, lengths)]
+    starts = np.cumsum(g_length) - g_length
+    of_group = np.repeat(np.arange(len(g_n)), g_length)
+    places = np.arange(len(tokens)) - np.repeat(starts - g_unique, g_length)
+    order = np.lexsort((of_group, tokens))
+    by_token, by_group, by_place = tokens[order], of_group[order], places[order]
     found, good, of = [], None, -1
     for i in range(len(n) - 1):
         if of != group[i]:
-            # one look at all later groups for all members of this one: sizes, and what the token's places leave
+            # one look at all later groups for all members of this one
             of = group[i]
+            own = slice(starts[of], starts[of] + g_length[of])
+            low, high = np.searchsorted(by_token, tokens[own], "left"), np.searchsorted(by_token, tokens[own], "right")
+            at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+            place, other, other_place = np.repeat(places[own], high - low), by_group[at], by_place[at]
             need = -(-percent * (g_n[of] + g_n) // (100 + percent))
-            most = np.minimum(g_place[of], g_place) + 1 + np.minimum(g_n[of] - g_place[of], g_n - g_place) - 1
-            most = np.minimum(most, np.minimum(g_n[of] - g_unique[of], g_n - g_unique))
-            good = (most >= need) & (np.arange(len(g_n)) >= of + (not within))
+            most = np.minimum(place, other_place) + 1 + np.minimum(g_n[of] - place, g_n[other] - other_place) - 1
+            most = np.minimum(most, np.minimum(g_n[of] - g_unique[of], g_n[other] - g_unique[other]))
+            good = np.zeros(len(g_n), bool)
+            good[other[(most >= need[other]) & (other > of)]] = True
+            good[of] = True
             apart = g_n[of] + g_n - 2 * need - g_unique[of] - g_unique  # of tokens that others have
         some = np.flatnonzero(good[group[i + 1 :]]) + i + 1
         if len(some):
@@ -261,19 +277,21 @@ def unit_links(gid, key, root, n, unique, place, shared, percent: int, within: b
     return found
 
 
-def links(members: DataFrame, percent: int, within: bool = False) -> DataFrame:
-    """Verified links (a, b) of keys within units, from members (unit, gid, key, root, n, unique, place, shared)."""
-    names = ["unit", "gid", "key", "root", "n", "unique", "place", "shared"]
-    dealt = members.select(*names).repartition("unit").sortWithinPartitions("unit", "gid", "key")
+def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) of keys within units, from members (unit, key, root) and their sets."""
+    rows = members.select("unit", "key", "root").join(sets, "key")
+    names = ["unit", "gid", "key", "root", "n", "unique", "prefix", "shared"]
+    dealt = rows.select(*names).repartition("unit").sortWithinPartitions("unit", "gid", "key")
 
     def run(batches):
         for unit in runs(batches, "unit"):
             if unit.num_rows < 2:
                 continue
-            columns = [unit.column(c).to_numpy() for c in names[1:]]
-            found = unit_links(*columns, percent, within)
+            gid, key, root, n, unique, shared = (unit.column(c).to_numpy() for c in names if c not in ("unit", "prefix"))
+            prefix = unit.column("prefix").combine_chunks()
+            found = unit_links(gid, key, root, n, unique, prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy(), shared, percent)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([columns[1][i] for i in side], pa.binary()) for side in zip(*found)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in side], pa.binary()) for side in zip(*found)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a binary, b binary")
 
@@ -283,56 +301,62 @@ def named(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(names.select(F.col("node").alias("key"), F.col("root").alias("__root")), "key", "left").withColumn("root", F.coalesce("__root", "key")).drop("__root")
 
 
-def worked(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int, limit: int, max_bytes: int, within: bool) -> DataFrame:
-    """All links so far and those of buckets (bucket, key, gid, n, unique, place), whole whatever a bucket's size."""
+def worked(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int, limit: int, max_bytes: int) -> DataFrame:
+    """All links so far and those of buckets (bucket, key, bytes), whole whatever a bucket's size."""
     spark = buckets.sparkSession
-    names = components(found)
-    carried = sets.select("key", "shared")
-    size = buckets.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"))
+    size = buckets.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
     parts = F.ceil(F.greatest(2 * F.col("m") / limit, 2 * F.col("bytes") / max_bytes))
     hot = (F.col("m") > limit) | ((F.col("bytes") > max_bytes) & (F.col("m") > 2))
-    size = size.withColumn("parts", F.when(hot, parts).otherwise(1).cast("long")).select("bucket", "parts")
-    rows = written(spark, named(buckets.join(size, "bucket"), names).withColumn("part", F.pmod(F.xxhash64("key", "bucket"), "parts")), "dealt")
-    first = rows.withColumn("unit", F.xxhash64("bucket", "part"))
-    found = written(spark, found.unionByName(links(first.join(carried, "key"), percent, within)), "links")
+    size = size.select("bucket", F.when(hot, parts).otherwise(1).cast("long").alias("parts"))
+    rows = named(buckets.select("bucket", "key").join(size, "bucket"), components(found)).withColumn("part", F.pmod(F.xxhash64("key", "bucket"), "parts"))
+    rows = written(spark, rows, "dealt")
+    found = written(spark, found.unionByName(links(rows.withColumn("unit", F.xxhash64("bucket", "part")), sets, percent)), "links")
     rows = rows.filter("parts > 1").drop("root")
     if rows.isEmpty():
         return found
     # one member of each class meets those of the other parts
-    of_class = named(rows, components(found)).groupBy("bucket", "root").agg(F.min_by(F.struct("key", "gid", "n", "unique", "place"), "key").alias("l"))
-    leaders = of_class.select(F.xxhash64("bucket").alias("unit"), "root", "l.*")
-    found = written(spark, found.unionByName(links(leaders.join(carried, "key"), percent, within)), "links")
+    leaders = named(rows, components(found)).groupBy("bucket", "root").agg(F.min("key").alias("key")).withColumn("unit", F.xxhash64("bucket"))
+    found = written(spark, found.unionByName(links(leaders, sets, percent)), "links")
     # what is still outside a bucket's largest class meets all its parts
     rows = named(rows, components(found))
     by_class = rows.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("k")).filter("k > 1")
     to = F.when(F.col("root") == F.col("largest"), F.array("part")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     rest = rows.join(by_class, "bucket").withColumn("to", F.explode(to)).withColumn("unit", F.xxhash64("bucket", "to"))
-    return written(spark, found.unionByName(links(rest.join(carried, "key"), percent, within)), "links")
+    return written(spark, found.unionByName(links(rest, sets, percent)), "links")
 
 
 def joined(sets: DataFrame, percent: int, limit: int, max_bytes: int) -> DataFrame:
     """Links (a, b) of keys whose components are those of the similarity, from distinct sets."""
     spark = sets.sparkSession
-    groups = sets.groupBy("gid").agg(*[F.first(c).alias(c) for c in ("n", "unique", "prefix")], F.count("*").alias("m"))
+    bytes_of = (8 * (F.col("n") - F.col("unique") + F.size("prefix"))).cast("long")
+    groups = sets.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.first(bytes_of).alias("bytes"), F.count("*").alias("m"))
     groups = written(spark, groups, "groups")
-    members = sets.select("gid", "key")
-    none = spark.createDataFrame([], "a binary, b binary")
-    # members of one group
-    alike = groups.filter("m > 1").select("gid", "n", "unique", F.lit(0).cast("long").alias("place"), F.xxhash64("gid", "n").alias("bucket"))
-    found = worked(alike.join(members, "gid"), sets, none, percent, limit, max_bytes, True)
-    # members of different groups that share a token
-    index = groups.select("gid", "n", "unique", F.posexplode("prefix").alias("i", "bucket")).withColumn("place", F.col("unique") + F.col("i")).drop("i")
-    index = written(spark, index, "index")
-    sizes = index.groupBy("bucket").agg(F.count("*").alias("k"), F.sum(F.xxhash64("gid").cast("decimal(20,0)")).alias("mark"))
+    index = groups.select("gid", F.explode("prefix").alias("bucket"))
+    sizes = index.groupBy("bucket").agg(F.count("*").alias("k"), F.min("gid").alias("first"), F.sum(F.xxhash64("gid").cast("decimal(20,0)")).alias("mark"))
     # of buckets with the same groups one is enough
-    shared = written(spark, sizes.filter("k > 1").groupBy("k", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "k"), "shared")
+    shared = sizes.filter("k > 1").groupBy("k", "mark").agg(F.min(F.struct("bucket", "first")).alias("b")).select("b.*", "k")
     index = written(spark, index.join(shared, "bucket"), "index")
-    largest = index.groupBy("gid").agg(F.max_by(F.struct("bucket", "n", "unique", "place"), F.struct("k", "bucket")).alias("x")).select("gid", "x.*")
-    found = worked(largest.join(members, "gid"), sets, found, percent, limit, max_bytes, False)
-    # buckets that still hold several components
-    rows = written(spark, named(index.drop("k").join(members, "gid"), components(found)), "places")
+    # families: what buckets connect, similar or not
+    names = components(index.select(F.col("first").alias("a"), F.col("gid").alias("b")))
+    family = groups.select("gid", "bytes", "m").join(names.withColumnRenamed("node", "gid"), "gid", "left").filter("root is not null or m > 1").withColumn("family", F.coalesce("root", "gid"))
+    weight = family.groupBy("family").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("bytes")).alias("weight"))
+    small = (F.col("all") <= limit) & ((F.col("weight") <= max_bytes) | (F.col("all") == 2))
+    family = written(spark, family.join(weight.select("family", small.alias("small")), "family").select("gid", "bytes", "m", "family", "small"), "families")
+    keys = sets.select("gid", "key")
+    whole = family.filter("small").join(keys, "gid").select(F.xxhash64("family").alias("unit"), "key", F.col("key").alias("root"))
+    found = written(spark, links(whole, sets, percent), "links")
+    large = family.filter("not small")
+    if large.isEmpty():
+        return found
+    # a group's largest bucket first: it links most of what there is; a group of several is a bucket too
+    own = large.filter("m > 1").select("gid", "bytes", F.xxhash64("gid").alias("bucket"), F.lit(0).cast("long").alias("k"))
+    rows = written(spark, index.join(large.select("gid", "bytes"), "gid").select("gid", "bytes", "bucket", "k").unionByName(own), "buckets")
+    largest = rows.groupBy("gid").agg(F.max_by(F.struct("bucket", "bytes"), F.struct("k", "bucket")).alias("x")).select("gid", "x.*")
+    found = worked(largest.join(keys, "gid"), sets, found, percent, limit, max_bytes)
+    # then those that still hold several components
+    rows = written(spark, named(rows.join(keys, "gid"), components(found)), "places")
     open_ = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    return worked(rows.drop("root").join(open_, "bucket"), sets, found, percent, limit, max_bytes, False)
+    return worked(rows.drop("root").join(open_, "bucket"), sets, found, percent, limit, max_bytes)
 
 
 def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, limit: int = 4096, slice_bytes: int = SLICE, part_tokens: int = PART_TOKENS, unit_bytes: int = 64 << 20) -> DataFrame:
@@ -345,9 +369,9 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, limit:
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType
-    slices = written(spark, packed_slices(docs, size, slice_bytes), "slices")
-    total = slices.agg(F.sum("n")).first()[0] or 0
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-total // part_tokens))
+    slices = written(spark, packed_slices(docs, slice_bytes), "slices")
+    total = slices.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-total // (5 * part_tokens)))  # a token is a word's, of five bytes or more
     rows = written(spark, prefixed(slices, answered(asked(slices, size, parts)), size, percent, id_type), "prefixed")
     with_prefix = rows.filter("gid is not null").groupBy("key").agg(F.first(F.struct("gid", "n", "unique", "prefix", "shared")).alias("s"))
     sets = written(spark, with_prefix.select("key", "s.*"), "sets")

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import text_slices, written
-from .components import components
 from .simhash import fingerprint, linked, shingle_hashes
 
 BANDS = 12

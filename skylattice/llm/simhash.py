@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import read, text_slices, texts, written
-from .components import components
 
 RADIUS = 3
 SEED = 42
