@@ -100,12 +100,12 @@ def runs(batches, *keys: str):
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        table = table if held is None else pa.concat_tables([held, table])  # without copies
         n = table.num_rows
         new = np.zeros(n - 1, bool)
         for key in keys:
-            column = table.column(key)
-            new |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy()
+            column = table.column(key).combine_chunks()
+            new |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         starts = np.append(0, np.flatnonzero(new) + 1).tolist()
         for start, end in zip(starts, starts[1:]):
             yield table.slice(start, end - start)

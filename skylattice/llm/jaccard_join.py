@@ -34,8 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..operators.components import components
 from .common import read, runs, text_slices, texts, written
 
-SLICE = 16 << 20
-PART_TOKENS = 4 << 20
+SLICE = 8 << 20
+PART_TOKENS = 2 << 20
 BITMAP = 1024
 _rng = np.random.default_rng(12)
 FACTORS = _rng.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,7 +45,7 @@ class WordHashes(dict):
     """XXH64 of words, remembered; emptied when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 17:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -252,15 +252,18 @@ def unit_links(gid, key, root, n, unique, prefix, lengths, shared, percent: int)
         if of != group[i]:
             # one look at all later groups for all members of this one
             of = group[i]
-            own = slice(starts[of], starts[of] + g_length[of])
-            low, high = np.searchsorted(by_token, tokens[own], "left"), np.searchsorted(by_token, tokens[own], "right")
-            at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
-            place, other, other_place = np.repeat(places[own], high - low), by_group[at], by_place[at]
             need = -(-percent * (g_n[of] + g_n) // (100 + percent))
-            most = np.minimum(place, other_place) + 1 + np.minimum(g_n[of] - place, g_n[other] - other_place) - 1
-            most = np.minimum(most, np.minimum(g_n[of] - g_unique[of], g_n[other] - g_unique[other]))
             good = np.zeros(len(g_n), bool)
-            good[other[(most >= need[other]) & (other > of)]] = True
+            end = starts[of] + g_length[of]
+            low = np.searchsorted(by_token, tokens[starts[of] : end], "left")
+            size = np.searchsorted(by_token, tokens[starts[of] : end], "right") - low
+            # some tokens at a time, so that memory follows the unit
+            for some in np.split(np.arange(len(low)), np.flatnonzero(np.diff(np.cumsum(size) >> 18)) + 1):
+                at = np.repeat(low[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
+                place, other, other_place = np.repeat(places[starts[of] + some], size[some]), by_group[at], by_place[at]
+                most = np.minimum(place, other_place) + np.minimum(g_n[of] - place, g_n[other] - other_place)
+                most = np.minimum(most, np.minimum(g_n[of] - g_unique[of], g_n[other] - g_unique[other]))
+                good[other[(most >= need[other]) & (other > of)]] = True
             good[of] = True
             apart = g_n[of] + g_n - 2 * need - g_unique[of] - g_unique  # of tokens that others have
         some = np.flatnonzero(good[group[i + 1 :]]) + i + 1
@@ -359,7 +362,7 @@ def joined(sets: DataFrame, percent: int, limit: int, max_bytes: int) -> DataFra
     return worked(rows.drop("root").join(open_, "bucket"), sets, found, percent, limit, max_bytes)
 
 
-def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, limit: int = 4096, slice_bytes: int = SLICE, part_tokens: int = PART_TOKENS, unit_bytes: int = 64 << 20) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, limit: int = 4096, slice_bytes: int = SLICE, part_tokens: int = PART_TOKENS, unit_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
     A set is the distinct n-grams of lower-cased (A-Z) words, or a shorter text's words as one; null texts and texts without
