@@ -2,11 +2,14 @@
 
 Every text is measured with DataFrame functions only. The sketch of a metric is its counts by bucket, a bucket holding
 values that agree in their seven leading bits (relative error below 1/64); two sketches merge by adding counts, so they
-are summed before the shuffle, and a language's or the corpus's sketch is the sum of its parts. A threshold is the
-group's median plus or minus eight times the distance from the median to the quartile on that side, which holds with up
-to a quarter of a group's rows spoilt; a least distance stands in for a quartile that lies at the median. Groups too small
-for a sketch of their own take that of their language, or else of the corpus. Documents are then joined with the
-thresholds of their group. Repeated windows have no threshold: the base rule bounds them for all.
+are summed before the shuffle, and a language's or the corpus's sketch is the sum of its parts. A limit is the group's
+median plus or minus six times the distance to the quartile on that side, and known to a bucket; up to a quarter of a
+group's rows can be spoilt without moving it. No distance or limit is given beforehand: a group whose quartile is zero,
+as for symbols in prose, takes no share above zero. What is within chance in a short text does not count: one or two symbols
+or repeated lines, and a mean word length whose distance from the median shrinks to the limit when multiplied by the
+root of the text's words over the group's median of them. Groups too small for a sketch of their own take that of their
+language, or else of the corpus. Documents are then joined with the limits of their group. Repeated windows have no
+limit here: the base rule bounds them for all.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from pyspark.sql import functions as F
 from .common import read, written
 
 WINDOW = 5
-#: metric: (least distance of the upper quartile, of the lower or None); shares in thousandths, mean word length in tenths.
-RULES = {"symbols": (8, None), "dup_lines": (45, None), "word_length": (3, 2)}
-SPREADS = 8
+#: metric: its count; shares in thousandths, mean word length in tenths.
+SHARES = {"symbols": "n_symbols", "dup_lines": "n_dup_lines"}
+METRICS = (*SHARES, "word_length", "n_words")
+SPREADS, LEAST = 6, 3
 QUARTILES = ("q25", "q50", "q75")
+LIMITS = (*(f"{m}_hi" for m in SHARES), "mid", "up", "down", "typical")
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -68,9 +73,15 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
+def bucket_end(value: Column) -> Column:
+    """The largest value of the bucket that starts at value."""
+    shift = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+    return value + F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, metric, bucket, n over rows (lang, source, __q) that pass the base rules."""
-    each = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(f"__q.{m}")).alias("bucket")) for m in RULES])
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(f"__q.{m}")).alias("bucket")) for m in METRICS])
     return rows.select("lang", "source", F.explode(F.when(~F.col("__q.base_failed"), each)).alias("e")).groupBy("lang", "source", "e.metric", "e.bucket").agg(F.count("*").alias("n"))
 
 
@@ -84,18 +95,19 @@ def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, min_rows: int = 100) -> DataFrame:
-    """lang, source and a map of (lo, hi) by metric for each group that has a sketch."""
+    """lang, source and LIMITS of each group that has a sketch: highest shares; median and greatest distances up and down
+    of the word length; median number of words."""
     own, by_lang, by_all = quantiles(sketch, "lang", "source"), quantiles(sketch, "lang"), quantiles(sketch)
     named = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
     a, b, c = named(own, "a"), named(by_lang, "b"), named(by_all, "c")
     j = a.join(b, (F.col("a_metric") == F.col("b_metric")) & F.col("a_lang").eqNullSafe(F.col("b_lang"))).join(c, F.col("a_metric") == F.col("c_metric"))
     pick = lambda q: F.when(F.col("a_total") >= min_rows, F.col(f"a_{q}")).when(F.col("b_total") >= min_rows, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
     rows = j.select(F.col("a_lang").alias("lang"), F.col("a_source").alias("source"), F.col("a_metric").alias("metric"), *[pick(q).alias(q) for q in QUARTILES])
-    over = lambda least, a, b: SPREADS * F.greatest(F.lit(least), F.col(a) - F.col(b))
     of = lambda m, limit: F.max(F.when(F.col("metric") == m, limit))
-    highs = [of(m, F.col("q50") + over(up, "q75", "q50")).alias(f"{m}_hi") for m, (up, _) in RULES.items()]
-    lows = [of(m, F.lit(-1) if down is None else F.col("q50") - over(down, "q50", "q25")).alias(f"{m}_lo") for m, (_, down) in RULES.items()]
-    return rows.groupBy("lang", "source").agg(*highs, *lows)
+    far = lambda a, b: SPREADS * F.greatest(F.lit(1), F.col(a) - F.col(b))  # noqa: E731  (one is what a word length is known to)
+    shares = [of(m, bucket_end(F.col("q50") + SPREADS * (F.col("q75") - F.col("q50")))).alias(f"{m}_hi") for m in SHARES]
+    length = [of("word_length", x).alias(c) for c, x in (("mid", F.col("q50")), ("up", far("q75", "q50")), ("down", far("q50", "q25")))]
+    return rows.groupBy("lang", "source").agg(*shares, *length, of("n_words", F.col("q50")).alias("typical"))
 
 
 def judged(rows: DataFrame, limits: DataFrame, max_groups: int = 100_000) -> DataFrame:
@@ -105,12 +117,15 @@ def judged(rows: DataFrame, limits: DataFrame, max_groups: int = 100_000) -> Dat
     """
     small = limits.limit(max_groups + 1).count() <= max_groups
     own = rows.columns
-    right = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(f"{m}_{e}").alias(f"__{m}_{e}") for m in RULES for e in ("lo", "hi")])
+    right = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in LIMITS])
     right = F.broadcast(right) if small else right
     on = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     within = F.lit(True)
-    for m in RULES:
-        within &= F.col(f"__q.{m}").between(F.col(f"__{m}_lo"), F.col(f"__{m}_hi"))
+    for m, count in SHARES.items():
+        within &= (F.col(f"__q.{m}") <= F.col(f"__{m}_hi")) | (F.col(f"__q.{count}") < LEAST)
+    off, n, typical = F.col("__q.word_length") - F.col("__mid"), F.col("__q.n_words"), F.col("__typical")
+    most = F.when(off > 0, F.col("__up")).otherwise(F.col("__down"))
+    within &= (F.abs(off) <= most) | ((n < typical) & (off * off * n <= most * most * typical))
     return rows.join(right, on, "left").select(*own, (~F.col("__q.base_failed") & F.coalesce(within, F.lit(False))).alias("__kept"))
 
 
@@ -170,23 +185,25 @@ def kept_sql(prefix: str = "") -> str:
 {prefix}{tag} as (select {by}metric, max(total) total, min(case when 4 * upto >= total then bucket end) q25, min(case when 4 * upto >= 2 * total then bucket end) q50, min(case when 4 * upto >= 3 * total then bucket end) q75
   from (select *, sum(n) over ({over}) total, sum(n) over ({over} order by bucket) upto from (select {by}metric, bucket, sum(n) n from {prefix}sk group by all)) group by all)"""
 
-    least = lambda k: " ".join(f"when '{m}' then {r[k]}" for m, r in RULES.items() if r[k] is not None)
-    union = " union all ".join(f"select lang, source, '{m}' metric, {m} x from {prefix}m where not base_failed" for m in RULES)
-    within = " and ".join(f"m.{m} between {m}_lo and {m}_hi" for m in RULES)
-    sides = ", ".join(f"max(case when metric = '{m}' then hi end) {m}_hi, max(case when metric = '{m}' then lo end) {m}_lo" for m in RULES)
+    union = " union all ".join(f"select lang, source, '{m}' metric, {m} x from {prefix}m where not base_failed" for m in METRICS)
+    within = " and ".join(f"(m.{m} <= {m}_hi or {count} < {LEAST})" for m, count in SHARES.items())
+    highs = ", ".join(f"max(case when metric = '{m}' then hi + (1 << greatest(length(bin(hi)) - 7, 0)) - 1 end) {m}_hi" for m in SHARES)
     picked = ", ".join(f"case when a.total >= 100 then a.{q} when b.total >= 100 then b.{q} else c.{q} end {q}" for q in QUARTILES)
     return f"""
 {prefix}sk as (select lang, source, metric, (x >> s) << s bucket, count(*) n from (select *, greatest(length(bin(x)) - 7, 0) s from ({union})) group by all),{q("qa", "lang, source, ")},{q("qb", "lang, ")},{q("qc", "")},
 {prefix}lim as (
-  select lang, source, metric, q50 + {SPREADS} * greatest(case metric {least(0)} end, q75 - q50) hi,
-    case metric {least(1)} end least_below, case when least_below is null then -1 else q50 - {SPREADS} * greatest(least_below, q50 - q25) end lo
+  select *, q50 + {SPREADS} * (q75 - q50) hi, {SPREADS} * greatest(1, q75 - q50) far_up, {SPREADS} * greatest(1, q50 - q25) far_down
   from (select a.lang, a.source, a.metric,
       {picked}
     from {prefix}qa a join {prefix}qb b on a.metric = b.metric and a.lang is not distinct from b.lang join {prefix}qc c on a.metric = c.metric)),
-{prefix}sides as (select lang, source, {sides} from {prefix}lim group by all),
+{prefix}sides as (
+  select lang, source, {highs}, max(case when metric = 'word_length' then q50 end) mid, max(case when metric = 'word_length' then far_up end) up,
+    max(case when metric = 'word_length' then far_down end) down, max(case when metric = 'n_words' then q50 end) typical
+  from {prefix}lim group by all),
 {prefix}k as (
-  select m.* exclude (r), not base_failed and coalesce({within}, false) kept
-  from {prefix}m m left join {prefix}sides l on m.lang is not distinct from l.lang and m.source is not distinct from l.source)"""
+  select m.* exclude (r), not base_failed and coalesce({within} and (abs(word_length - mid) <= most or n_words < typical and (word_length - mid) * (word_length - mid) * n_words <= most * most * typical), false) kept
+  from (select m.*, l.* exclude (lang, source), case when word_length > mid then up else down end most
+    from {prefix}m m left join {prefix}sides l on m.lang is not distinct from l.lang and m.source is not distinct from l.source) m)"""
 
 
 OP2_SQL = f"""

@@ -288,3 +288,21 @@ def test_pipeline_keeps_the_columns_and_takes_effect(spark):
     assert set(got) == {1, 3, 5} and got[1].text == a and "second" not in got[3].text.split("\n")[0]
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} >= {1, 5} - {2}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "leaks", "tokens"]
+
+
+def test_every_limit_differs_between_groups_that_differ(spark):
+    r = random.Random(9)
+
+    def text(symbols, repeats, letters):
+        lines = [" ".join("x" * r.randint(letters - 2, letters + 2) + str(r.randrange(9)) for _ in range(12)) for _ in range(20)]
+        for i in range(repeats + bool(repeats)):
+            lines.insert(2 * i, "again")  # a line of one word, so that no window of five repeats
+        return "\n".join(lines) + " #" * symbols
+
+    kinds = {"prose": (0, 0, 5), "code": (40, 4, 9), "forum": (12, 8, 4)}
+    rows = [("en", s, text(r.randint(0, top), r.randint(0, most), n)) for s, (top, most, n) in kinds.items() for _ in range(150)]
+    limits = quality_rules.thresholds(quality_rules.sketches(quality_rules.measured(spark.createDataFrame(rows, "lang string, source string, text string"))))
+    got = {x.source: x for x in limits.collect()}
+    for column in ("symbols_hi", "dup_lines_hi", "mid"):
+        assert len({got[s][column] for s in kinds}) == 3, column
+    assert got["prose"].symbols_hi == got["prose"].dup_lines_hi == 0
