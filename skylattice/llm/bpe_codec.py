@@ -14,7 +14,6 @@ texts whose order can change between two reads are written before they are cut.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 from collections import defaultdict
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Places, packed, read, text_slices, texts, unpacked, written
+from .common import Places, packed, read, text_slices, texts, unpacked, without_collection, written
 from .token_counts import Boundaries, character_classes, cut
 
 SLICE = 32 << 20
@@ -71,7 +70,6 @@ def sliced_words(rows: DataFrame, classes, kind: int, max_bytes: int) -> DataFra
 
     def run(batches):
         find = Boundaries(classes.value)
-        gc.disable()  # nothing here makes cycles, and there are many words
         for part in text_slices(batches, max_bytes):
             places, found, counts = Places(), [], np.zeros(part.num_rows, np.uint32)
             digest = hashlib.blake2b(digest_size=8)
@@ -116,7 +114,7 @@ def sliced_words(rows: DataFrame, classes, kind: int, max_bytes: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids], pa.list_(arrow_id)), pa.array([counts.tobytes()], pa.binary()), pa.array([packed(rank[found])], pa.binary())], ["slice", "doc_ids", "counts", "places"])
 
     out = "slice long, place int, word binary" if kind == 0 else f"slice long, doc_ids array<{id_type.simpleString()}>, counts binary, places binary"
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(without_collection(run), out)
 
 
 def word_ids(words: DataFrame, ranks) -> DataFrame:
@@ -128,7 +126,6 @@ def word_ids(words: DataFrame, ranks) -> DataFrame:
 
     def run(batches):
         table = ranks.value
-        gc.disable()
         last, ids = None, b""
         held: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
         n = 0
@@ -155,7 +152,7 @@ def word_ids(words: DataFrame, ranks) -> DataFrame:
         if held:
             yield out()
 
-    return dealt.mapInArrow(run, "slice long, n long, places binary, sizes binary, ids binary")
+    return dealt.mapInArrow(without_collection(run), "slice long, n long, places binary, sizes binary, ids binary")
 
 
 def gathered(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +54,28 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def uncollected():
+    """No garbage collection meanwhile: for work that makes many objects and no cycles, in workers that are used again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def without_collection(run):
+    """A task's function over batches, without garbage collection until it ends."""
+
+    def all_of(batches):
+        with uncollected():
+            yield from run(batches)
+
+    return all_of
+
+
 class Places(dict):
     """Words (or their bytes) and their places, by first occurrence."""
 
@@ -61,13 +85,15 @@ class Places(dict):
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**24, byte by byte of all: the high ones are mostly zero."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 3)
+    """Numbers below 2**32, byte by byte of all: the high ones are mostly zero."""
+    if len(numbers) and not 0 <= int(numbers.min()) <= int(numbers.max()) < 1 << 32:
+        raise OverflowError("a number does not fit four bytes")
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    low, mid, high = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(3, -1).astype(np.uint32)
-    return low | mid << 8 | high << 16
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def rows_where(df: DataFrame, condition: Column) -> DataFrame:

@@ -38,13 +38,13 @@ def windows_of(words: list[bytes], size: int) -> set[bytes]:
 class Automaton:
     """Windows and the items that hold them."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
         holders: dict[bytes, list[int]] = defaultdict(list)
-        self.names = sorted({name for name, _ in items})
+        self.names = sorted({name for name, _ in items if name is not None})
         number = {name: i for i, name in enumerate(self.names)}
         for name, data in items:
             for window in windows_of(words_of(data), size):
-                holders[window].append(number[name])
+                holders[window] += [number[name]] if name is not None else []
         self.find = ahocorasick.Automaton()
         for window, owners in holders.items():
             # one character a byte, so that places are byte offsets
@@ -117,7 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_cha
     """One row per document: doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), spans of original offsets.
 
     Null and empty texts have no words and no hits, null item texts no windows; an item of fewer than `size` words is
-    one window; equal windows of several items report all of them; repeated rows stay repeated; with an empty
+    one window; equal windows of several items report all of them; an item without an id hits, but is not among the items reported; repeated rows stay repeated; with an empty
     benchmark nothing is hit; columns other than the ids and texts are not read. max_chars: of items in an automaton.
     """
     *before, last = shards(benchmark, max_chars)
@@ -205,7 +205,7 @@ placed as (
   select r, n, i, ws[i : i + n - 1] win from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) i from d, sizes)),
 found as (select r, i, n, item_id from placed join windows using (win)),
 hit as (select r, count(*) n_hit from (select distinct r, unnest(range(i, i + n)) k from found) group by r),
-owned as (select r, count(*) n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids from (select distinct r, item_id from found) group by r)
+owned as (select r, count(item_id) n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids from (select distinct r, item_id from found) group by r)
 select doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
   sha256(coalesce(ids, '')) items_sha256, n_hit is not null contaminated
 from d left join hit using (r) left join owned using (r)

@@ -1,7 +1,6 @@
 """Line deduplication within one edit by a deletion-neighbourhood join, with DataFrame functions only.
 
-A line with a word goes if an earlier one is equal to it or, for lines of at least `min_chars` characters, one edit away: a
-character put in, taken out or changed. Rows are ordered by doc_id, then by a digest of their texts, so that rows that
+A line with a word goes if an earlier one is equal to it or one edit away: a character put in, taken out or changed. Rows are ordered by doc_id, then by a digest of their texts, so that rows that
 share a doc_id, or have none, are told apart. Equal lines meet first, by hashes that are aggregated before the shuffle, so that what follows sees
 each distinct line once, at its earliest place.
 
@@ -116,11 +115,11 @@ def near_earlier(docs: DataFrame, distinct: DataFrame, max_rows: int) -> DataFra
     return pairs.join(a, "at").join(b, "other").filter(F.levenshtein("a", "b", 1).between(0, 1)).select("at").distinct()
 
 
-def kept_lines(docs: DataFrame, min_chars: int, max_rows: int) -> DataFrame:
+def kept_lines(docs: DataFrame, exact_chars: int, max_rows: int) -> DataFrame:
     """k_id, k_digest and kept (sorted numbers of the lines that stay of those that may go), one row a distinct document."""
     spark = docs.sparkSession
     # without keys a line meets only its equals
-    few = F.when(F.length("line") >= min_chars, few_keys(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
+    few = F.when(F.length("line") > exact_chars, few_keys(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
     each = lines(docs).select(place().alias("at"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.length("line").alias("c"), few.alias("keys"))
     # equal lines have equal keys, so any of them will do
     distinct = written(spark, each.groupBy("h", "g", "c").agg(F.min("at").alias("at"), F.first("keys").alias("keys")).select("at", "keys"), "distinct")
@@ -129,11 +128,11 @@ def kept_lines(docs: DataFrame, min_chars: int, max_rows: int) -> DataFrame:
     return stay.groupBy(F.col("at.doc_id").alias("k_id"), F.col("at.digest").alias("k_digest")).agg(F.sort_array(F.collect_list("at.n")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 30, max_rows: int = 1_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, exact_chars: int = 0, max_rows: int = 1_000_000) -> DataFrame:
     """docs with text (lines that stay, in order) and, added, __lines and __dropped (counts of lines).
 
-    Lines are what "\\n" separates. One without a word always stays; one that equals an earlier line goes, as does one of
-    at least min_chars characters that is one edit away from an earlier one as long. A null text stays null and has no
+    Lines are what "\\n" separates. One without a word always stays; one that equals an earlier line goes, as does one
+    that is one edit away from an earlier one; the edit bound is zero for lines of up to exact_chars characters, by default for none. A null text stays null and has no
     lines; an empty one has one, empty. Rows are ordered by doc_id, null last, then by a digest of the text; rows that
     repeat both lie at the same place, so neither is earlier and both keep the same lines. An empty table gives an
     empty table. Of docs, only doc_id and text need to be there; other columns go through, but columns named __lines
@@ -141,7 +140,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 30, max_rows: int = 1_000_000)
     texts are shuffled to them.
     """
     own = [c for c in docs.columns if c not in ("__lines", "__dropped")]
-    stay = kept_lines(docs.select("doc_id", "text", digest(F.col("text")).alias("digest")), min_chars, max_rows)
+    stay = kept_lines(docs.select("doc_id", "text", digest(F.col("text")).alias("digest")), exact_chars, max_rows)
     # docs' own columns lie in a struct, so that their names can't clash
     rows = docs.select(F.struct(*own).alias("row"), digest(F.col("text")).alias("digest"))
     joined = rows.join(stay.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")), "left")
@@ -174,11 +173,10 @@ def dedup_sql(table: str, prefix: str = "") -> str:
   select row_number() over () r, doc_id, text, dense_rank() over (order by doc_id is null, doc_id, cast('0x' || left(md5(text), 15) as bigint), text) row from {table}),
 {prefix}line as (select r, row, unnest(range(len(ls))) n, unnest(ls) line from (select r, row, string_split(text, chr(10)) ls from {prefix}src where text is not null)),
 {prefix}dist as (select line, min({{'row': row, 'n': n}}) spot from {prefix}line where regexp_matches(line, '[^\x20\x09-\x0D]') group by line),
-{prefix}long as (select * from {prefix}dist where length(line) >= 30),
-{prefix}var as (select spot, i, left(line, i - 1) || substring(line, i + 1) v from (select spot, line, unnest(range(1, length(line) + 1)) i from {prefix}long)),
+{prefix}var as (select spot, i, left(line, i - 1) || substring(line, i + 1) v from (select spot, line, unnest(range(1, length(line) + 1)) i from {prefix}dist)),
 {prefix}near as (
   select spot from (select spot, min(spot) over (partition by v, i) first from {prefix}var) where first < spot
-  union select case when x.spot < y.spot then y.spot else x.spot end from {prefix}var x join {prefix}long y on x.v = y.line),
+  union select case when x.spot < y.spot then y.spot else x.spot end from {prefix}var x join {prefix}dist y on x.v = y.line),
 {prefix}stay as (select spot from {prefix}dist where spot not in (select spot from {prefix}near)),
 {prefix}out as (
   select r, count(*) n_lines, count(*) filter (not k) n_dropped, coalesce(string_agg(line, chr(10) order by n) filter (k), '') kept

@@ -13,7 +13,6 @@ number is fixed, and a few sums come to the driver.
 
 from __future__ import annotations
 
-import gc
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import gru
-from .common import Places, packed, read, text_slices, texts, unpacked, written
+from .common import Places, packed, read, text_slices, texts, unpacked, without_collection, written
 
 HEAD, PER_CLASS, HIDDEN, BINS = 1024, 32, 32, 40  # bins: unseen, then by bit length of the count; the last is the end
 SLICE = 32 << 20
@@ -43,7 +42,6 @@ def sliced(rows: DataFrame) -> DataFrame:
     arrow_id = to_arrow_type(id_type)
 
     def run(batches):
-        gc.disable()
         for part in text_slices(batches, SLICE):
             places = Places()
             found, counts, train = [], [], []
@@ -68,7 +66,7 @@ def sliced(rows: DataFrame) -> DataFrame:
 
     names = ["slice", "doc_ids", "rests", "counts", "places", "words", "ns"]
     kinds = [pa.string(), pa.list_(arrow_id), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-    return rows.mapInArrow(run, f"slice string, doc_ids array<{id_type.simpleString()}>, rests array<long>, counts array<long>, places binary, words binary, ns binary")
+    return rows.mapInArrow(without_collection(run), f"slice string, doc_ids array<{id_type.simpleString()}>, rests array<long>, counts array<long>, places binary, words binary, ns binary")
 
 
 def words_in(slices: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ that still is a prefix of some vocabulary entry can therefore not change any mor
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import uuid
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, text_slices, texts
+from .common import read, text_slices, texts, uncollected
 
 # classes of characters
 LETTER, NUMBER, OTHER, APOSTROPHE, BLANK, SPACE = range(6)
@@ -336,10 +335,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, context: int = 1024) -> D
         if (tok := _own.get(key)) is None:
             _own.clear()
             tok = _own[key] = Tokenizer(spec.value)
-            gc.disable()  # nothing here makes cycles, and the collector would walk the state tables again and again
         for part in text_slices(batches):
             rows = part.column("text").to_pylist()
-            n = pa.array(tok.count_texts(rows), pa.int64())
+            with uncollected():  # the collector would walk the state tables again and again
+                n = pa.array(tok.count_texts(rows), pa.int64())
             size = pc.cast(pc.binary_length(part.column("text")), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, n, pc.greater(n, context)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

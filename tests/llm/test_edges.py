@@ -1,15 +1,17 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import gc
 import hashlib
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skylattice.llm import bpe_codec, chat_format, decontaminate, license_scan, line_dedup, lm_scoring, quality_rules, simhash, token_counts, toxicity
+from skylattice.llm import bpe_codec, chat_format, common, decontaminate, license_scan, line_dedup, lm_scoring, quality_rules, simhash, token_counts, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 LONG = "A long line of words that goes on and on, " * 3000
@@ -71,6 +73,40 @@ def test_decontamination_spans(docs, bench):
     assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {2, 3, 4, None}
 
 
+def test_items_without_an_id_hit_but_have_no_name(spark, docs, bench):
+    more = bench.unionByName(spark.createDataFrame([(None, "eight nine ten ELEVEN")], "item_id long, text string"))
+    got = by_id(decontaminate.decontaminate(docs, more))
+    assert (got[1].n_hit, got[1]["items"]) == (10, ["1", "2", "5"])
+    alone = by_id(decontaminate.decontaminate(docs, more.filter("item_id is null")))
+    assert (alone[1].n_hit, alone[1].n_items, alone[1]["items"]) == (4, 0, [])
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, more).collect()} == {2, 3, 4, None}
+
+
+def test_packed_numbers_keep_all_bytes():
+    numbers = np.array([0, 5, 2**24 - 1, 2**24, 2**24 + 5, 2**32 - 1])
+    assert common.unpacked(common.packed(numbers)).tolist() == numbers.tolist()
+    assert len(common.unpacked(common.packed(np.zeros(0, np.uint32)))) == 0
+    for wrong in ([2**32], [-1]):
+        with pytest.raises(OverflowError):
+            common.packed(np.array(wrong))
+
+
+def test_collection_goes_on_after_work_without_it():
+    assert gc.isenabled()
+    with pytest.raises(KeyError), common.uncollected():
+        assert not gc.isenabled()
+        raise KeyError
+    assert gc.isenabled()
+
+
+def test_lines_of_a_few_characters(spark):
+    rows = [(1, "ab\nabc\nx\n12"), (2, "y\nabd\n13\nzzzzz\né"), (3, "zzzz\nab!\nqq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # every line one edit from an earlier one goes, kept or not
+    assert {k: r.text for k, r in by_id(line_dedup.dedup_lines(docs)).items()} == {1: "ab\nx\n12", 2: "zzzzz", 3: "qq"}
+    assert {k: r.text for k, r in by_id(line_dedup.dedup_lines(docs, exact_chars=4)).items()} == {1: rows[0][1], 2: rows[1][1], 3: "zzzz\nab!\nqq"}
+
+
 def test_lines(spark):
     a = "this is a line with more than thirty characters"
     rows = [(2, f"{a}\nkeep"), (1, f"{a}!\nkeep"), (3, a.replace("line", "lime")), (4, a[:-2]), (5, None), (6, f"{a}\n{a}")]
@@ -84,8 +120,8 @@ def test_short_lines(spark):
     a = "this is a line with more than thirty characters"
     rows = [(1, f"All rights reserved.\n\n{a}\none"), (2, f"Read more\n\nAll rights reserved.\n{a}!\ntwo"), (3, "All rights reserved!\nRead more\n \nRead more\nthree"), (4, "Read more"), (5, " " * 40 + "\n" + " " * 40)]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
-    # equal short lines go, those one edit away and those without a word stay
-    want = {1: rows[0][1], 2: "Read more\n\ntwo", 3: "All rights reserved!\n \nthree", 4: "", 5: rows[4][1]}
+    # equal lines go and those one edit away, however short; those without a word stay
+    want = {1: rows[0][1], 2: "Read more\n\ntwo", 3: " \nthree", 4: "", 5: rows[4][1]}
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == want
     # in the pipeline a document of which no word is left goes
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {k: v for k, v in want.items() if v}
@@ -120,7 +156,7 @@ def test_lines_of_rows_that_share_an_id_or_have_none(spark, max_rows):
             if not x.strip():
                 stay.append(x)
                 continue
-            if not any(x == y or len(x) >= 30 and len(y) >= 30 and one_edit(x, y) for y in seen):
+            if not any(x == y or one_edit(x, y) for y in seen):
                 stay.append(x)
             seen.append(x)
         kept[last, k, t] = "\n".join(stay)
