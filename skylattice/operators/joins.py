@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, angle_between, haversine_km
 from ..sources.shared import settled
+from .cells import ahead_candidates, cell_of, level_for, listed, nearest_candidates, on_sphere, sector_of
 
 
 def with_airline(states: DataFrame, airlines: DataFrame) -> DataFrame:
@@ -30,31 +31,27 @@ def with_registration_country(rows: DataFrame, registrations: DataFrame) -> Data
     return out.select(*rows.columns, F.coalesce(*found, F.lit("Unknown")).alias("country"))
 
 
-PLACES = 10_000  # rows of places that may go along with each task as one array
-
-
-def on_sphere(lat: Column, lon: Column) -> list[Column]:
-    """The point as a vector of length one, whose squared distances to others order like those on the sphere."""
-    a, b = F.radians(lat), F.radians(lon)
-    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+PLACES = 10_000  # rows of places of which lists of candidates are made
 
 
 def nearest(points: DataFrame, places: DataFrame, lat: str, lon: str, keep: list[str], max_km: float | None = None, prefix: str = "nearest_", max_places: int = PLACES) -> DataFrame:
     """points with the columns `keep` of the nearest place and its distance; ties by the first of keep, null beyond max_km.
 
-    places are counted: up to max_places go along as one array per task, in which the least distance is found row by row,
-    so that points are neither multiplied nor shuffled; the trigonometry of places and of the row is done once. More
-    places are met on cells.
+    places are counted: of up to max_places, each cell of the sphere gets the list of those that are nearest to some point
+    of it, and a point looks at its cell's list, so that points are not multiplied and cost the same for ten places or
+    thousands. More places are met on cells as rows.
     """
     placed = places.select(*keep, F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon"), F.array(*on_sphere(F.col(lat), F.col(lon))).alias("p_v"))
-    if placed.limit(max_places + 1).count() > max_places:
+    n = placed.limit(max_places + 1).count()
+    if n > max_places:
         near = nearest_by_cells(points, placed, keep, max_km)
     else:
-        rows = placed.agg(F.collect_list(F.struct(*placed.columns)).alias("p_all"))
+        level = level_for(n)
         here = points.select(F.struct(*points.columns).alias("row"), F.array(*on_sphere(F.col("latitude"), F.col("longitude"))).alias("v"))
+        here = listed(here.withColumn("cell", cell_of(F.col("v"), level)), settled(nearest_candidates(placed, level, max_km)), ["cell"])
         far = lambda p: sum(F.pow(p["p_v"][i] - F.col("v")[i], F.lit(2.0)) for i in range(3))
-        best = F.array_min(F.transform("p_all", lambda p: F.struct(F.round(far(p), 15).alias("d"), *[p[k].alias(k) for k in keep], p["p_lat"].alias("p_lat"), p["p_lon"].alias("p_lon"))))
-        near = here.join(F.broadcast(rows)).select("row", F.when(F.col("row.latitude").isNotNull() & F.col("row.longitude").isNotNull(), best).alias("near"))
+        best = F.array_min(F.transform("near", lambda p: F.struct(F.round(far(p), 15).alias("d"), *[p[k].alias(k) for k in keep], p["p_lat"].alias("p_lat"), p["p_lon"].alias("p_lon"))))
+        near = here.select("row", F.when(F.col("cell").isNotNull(), best).alias("near"))
     km = haversine_km(F.col("row.latitude"), F.col("row.longitude"), F.col("near.p_lat"), F.col("near.p_lon"))
     near = near.select("row", "near", F.when(F.col("near").isNotNull(), km).alias("km"))
     ok = F.lit(True) if max_km is None else F.col("km") <= max_km
@@ -86,17 +83,20 @@ def nearest_by_cells(points: DataFrame, placed: DataFrame, keep: list[str], max_
         km *= 4
 
 
+AHEAD_LEVEL = 3
+
+
 def heading_destination(states: DataFrame, airports: DataFrame, min_km: float = 100, max_km: float = 3000, max_diff: float = 60) -> DataFrame:
     """states with the airport ahead that fits the track best (predicted_iata), its distance and the bearing difference.
 
-    airports are counted: they go along with each task as one array. Sines and cosines of airports and of the row are
-    taken once; an airport costs one angle.
+    Each cell of the sphere has, for each of twelve sectors of tracks, the list of airports that can fit there; a row looks at
+    the list of its cell and sector. Sines and cosines of airports and of the row are taken once; an airport costs one angle.
     """
-    if airports.limit(PLACES + 1).count() > PLACES:
-        raise ValueError(f"more than {PLACES} airports")
     sides = lambda lat, lon: [F.sin(F.radians(lat)), F.cos(F.radians(lat)), F.sin(F.radians(lon)), F.cos(F.radians(lon))]
-    rows = airports.agg(F.collect_list(F.struct("iata", "airport_lat", "airport_lon", F.array(*sides(F.col("airport_lat"), F.col("airport_lon"))).alias("s"))).alias("p_all"))
-    here = states.select(F.struct(*states.columns).alias("row"), F.array(*sides(F.col("latitude"), F.col("longitude"))).alias("s"), "true_track", F.coalesce("departure_iata", F.lit("")).alias("dep"))
+    placed = airports.select("iata", F.col("airport_lat").alias("p_lat"), F.col("airport_lon").alias("p_lon"), F.array(*sides(F.col("airport_lat"), F.col("airport_lon"))).alias("s"))
+    lists = settled(ahead_candidates(placed, AHEAD_LEVEL, min_km, max_km, max_diff))
+    v = F.array(*on_sphere(F.col("latitude"), F.col("longitude")))
+    here = states.select(F.struct(*states.columns).alias("row"), F.array(*sides(F.col("latitude"), F.col("longitude"))).alias("s"), "true_track", F.coalesce("departure_iata", F.lit("")).alias("dep"), cell_of(v, AHEAD_LEVEL).alias("cell"), sector_of(F.col("true_track")).alias("sector"))
     # squared chords of the least and greatest distance, a little wider; the distance itself decides among what is left
     chord = lambda km, by: (2 * math.sin(km / EARTH_KM / 2)) ** 2 * (1 + by)
 
@@ -104,12 +104,12 @@ def heading_destination(states: DataFrame, airports: DataFrame, min_km: float =
         (s1, c1, sl1, cl1), (s2, c2, sl2, cl2) = ([x[i] for i in range(4)] for x in (F.col("s"), p["s"]))
         sin_turn, cos_turn = sl2 * cl1 - cl2 * sl1, cl2 * cl1 + sl2 * sl1
         bearing = F.degrees(F.atan2(sin_turn * c2, c1 * s2 - s1 * c2 * cos_turn))
-        return F.struct(angle_between(bearing, F.col("true_track")).alias("diff"), p["iata"].alias("iata"), (2 - 2 * (s1 * s2 + c1 * c2 * cos_turn)).alias("d"), p["airport_lat"].alias("lat"), p["airport_lon"].alias("lon"))
+        return F.struct(angle_between(bearing, F.col("true_track")).alias("diff"), p["iata"].alias("iata"), (2 - 2 * (s1 * s2 + c1 * c2 * cos_turn)).alias("d"), p["p_lat"].alias("lat"), p["p_lon"].alias("lon"))
 
     km = lambda p: haversine_km(F.col("row.latitude"), F.col("row.longitude"), p["lat"], p["lon"])
-    near = F.filter(F.transform("p_all", seen), lambda p: p["d"].between(chord(min_km, -1e-6), chord(max_km, 1e-6)) & (p["diff"] <= max_diff) & (p["iata"] != F.col("dep")))
+    near = F.filter(F.transform("near", seen), lambda p: p["d"].between(chord(min_km, -1e-6), chord(max_km, 1e-6)) & (p["diff"] <= max_diff) & (p["iata"] != F.col("dep")))
     best = F.array_min(F.filter(near, lambda p: km(p).between(min_km, max_km)))
-    out = here.join(F.broadcast(rows)).select("row", best.alias("best"))
+    out = listed(here, lists, ["cell", "sector"]).select("row", best.alias("best"))
     return out.select("row.*", F.col("best.iata").alias("predicted_iata"), F.when(F.col("best").isNotNull(), km(F.col("best"))).alias("predicted_km"), F.col("best.diff").alias("bearing_diff"))
 
 
