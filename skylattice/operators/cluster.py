@@ -1,9 +1,11 @@
-"""Density clustering of routes: features, k-nearest distances, DBSCAN and silhouette, all as equi-joins on grid cells."""
+"""Density clustering of routes: features, k-nearest distances, DBSCAN as equi-joins on grid cells, and silhouette by blocks."""
 
 from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,8 +119,9 @@ def touching(dense: DataFrame, cells: DataFrame, group: str) -> DataFrame:
         open_ = seen.filter("not sure").select("a", "b")
         if open_.isEmpty():
             return edges
+        names = components(edges)
         for side in "ab":
-            root = components(edges).select(F.col("node").alias(f"{side}_node"), F.col("root").alias(f"{side}_root"))
+            root = names.select(F.col("node").alias(f"{side}_node"), F.col("root").alias(f"{side}_root"))
             open_ = open_.join(root, F.col(f"{side}.cell") == F.col(f"{side}_node"), "left").drop(f"{side}_node")
         open_ = settled(open_.filter(F.coalesce("a_root", "a.cell") != F.coalesce("b_root", "b.cell")).select("a", "b"))
         level += 1
@@ -175,20 +178,83 @@ def numbered(labels: DataFrame, group: str) -> DataFrame:
     return labels.join(ids, on, "left").select(*kept, F.coalesce("corridor_id", F.lit(-1)).cast("long").alias("corridor_id"))
 
 
-def silhouette(points: DataFrame, labels: DataFrame, group: str) -> DataFrame:
-    """group, silhouette (Euclidean, noise left out; null with fewer than two clusters).
+def stratified(rows: DataFrame, group: str, size: int, least: int) -> DataFrame:
+    """Of rows (group, label, event_id, ...), with the number of rows and sampled ones of their label as `whole` and `m`: all
+    where a group has up to `size`, else about `size` of a group, shared among labels by their rows, `least` of each at least.
 
-    Mean distances from each point to each cluster need every pair within a group; meant for the group sizes that
-    models are fitted on, which the caller samples.
+    Rows are taken by a hash of their event, so that a sample is the same on every read.
     """
-    rows = settled(points.join(labels.filter("label <> -1").select("event_id", "label"), "event_id"))
-    a = rows.select(F.struct("event_id", "label", *DIMS).alias("a"), group)
-    b = rows.select(F.struct("event_id", "label", *DIMS).alias("b"), group)
-    mean = a.join(b, group).groupBy(group, F.col("a.event_id").alias("event_id"), F.col("a.label").alias("own"), F.col("b.label").alias("other")).agg(F.sum(apart("a", "b")).alias("s"), F.count("*").alias("n"))
-    each = mean.groupBy(group, "event_id").agg(
+    counts = rows.groupBy(F.col(group).alias("__g"), F.col("label").alias("__l")).agg(F.count("*").alias("whole"))
+    total = counts.groupBy(F.col("__g").alias("__t")).agg(F.sum("whole").alias("__n"))
+    share = F.greatest(F.lit(float(size)) / F.col("__n"), F.lit(float(least)) / F.col("whole"))
+    rate = counts.join(total, F.col("__g").eqNullSafe(F.col("__t"))).select("__g", "__l", "whole", F.when(F.col("__n") <= size, 1.0).otherwise(share).alias("__rate"))
+    on = F.col(group).eqNullSafe(F.col("__g")) & (F.col("label") == F.col("__l"))
+    kept = settled(rows.join(rate, on).filter(F.pmod(F.xxhash64("event_id"), F.lit(1 << 30)) < F.col("__rate") * (1 << 30)).drop("__g", "__l", "__rate"))
+    sampled = kept.groupBy(F.col(group).alias("__g"), F.col("label").alias("__l")).agg(F.count("*").alias("m"))
+    return kept.join(sampled, on).drop("__g", "__l")
+
+
+def packed_points(rows: DataFrame, size: int) -> DataFrame:
+    """(g, ids, labels, x): blocks of up to `size` points of one group (null: the text null), as bytes, in order of labels."""
+    dealt = rows.select(F.coalesce(F.col("g").cast("string"), F.lit("null")).alias("g"), "event_id", "label", *DIMS).sortWithinPartitions("g", "label")
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column("g").to_pylist()
+            starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(names)]):
+                for at in range(start, end, size):
+                    part = batch.slice(at, min(size, end - at))
+                    x = np.stack([part.column(d).to_numpy() for d in DIMS], 1)
+                    columns = [pa.array([names[start]]), *[pa.array([part.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("event_id", "label")], pa.array([x.tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["g", "ids", "labels", "x"])
+
+    return dealt.mapInArrow(run, "g string, ids binary, labels binary, x binary")
+
+
+def distance_sums(sample: DataFrame, points: DataFrame, sample_block: int = 2048, block: int = 16384) -> DataFrame:
+    """(event_id, other, s, n): the sum of distances from each sampled point to the points of each label of its group, and their number.
+
+    Blocks of sampled points meet blocks of points as matrix products; a unit returns a row for a sampled point and label.
+    """
+    a = packed_points(sample, sample_block).toDF("g", "a_ids", "a_labels", "a_x").drop("a_labels")
+    units = packed_points(points, block).join(a, "g")
+
+    def run(batches):
+        for batch in batches:
+            for u in batch.to_pylist():
+                ids, labels = np.frombuffer(u["a_ids"], np.int64), np.frombuffer(u["labels"], np.int64)
+                x, y = (np.frombuffer(u[c]).reshape(-1, len(DIMS)) for c in ("a_x", "x"))
+                starts = np.flatnonzero(np.append(True, labels[1:] != labels[:-1]))
+                sums = np.zeros((len(x), len(starts)))
+                middle = y.mean(0)  # small numbers cancel less
+                x, y = x - middle, y - middle
+                for at in range(0, len(x), 256):
+                    some = x[at : at + 256]
+                    squares = (some**2).sum(1)[:, None] + (y**2).sum(1) - 2 * (some @ y.T)
+                    sums[at : at + 256] = np.add.reduceat(np.sqrt(np.maximum(squares, 0)), starts, axis=1)
+                sizes = np.diff(np.append(starts, len(labels)))
+                k = len(starts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(np.tile(labels[starts], len(ids))), pa.array(sums.ravel()), pa.array(np.tile(sizes, len(ids)))], ["event_id", "other", "s", "n"])
+
+    return units.mapInArrow(run, "event_id long, other long, s double, n long").groupBy("event_id", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def silhouette(points: DataFrame, labels: DataFrame, group: str, size: int = 20_000, least: int = 50) -> DataFrame:
+    """group, silhouette (Euclidean, noise left out; null with fewer than two clusters) and its standard error.
+
+    Exact, with error zero, for groups of up to `size` clustered points. In larger ones the clusters' means are taken over a
+    sample of about that many points, at least `least` of each cluster, and weighted by the clusters' sizes; distances
+    are to all points there too, so work grows with a group's size, not its square.
+    """
+    rows = settled(points.join(labels.filter("label <> -1").select("event_id", "label"), "event_id").select(F.col(group).alias("g"), "event_id", "label", *DIMS))
+    sample = settled(stratified(rows, "g", size, least))
+    mean = sample.select("g", "event_id", F.col("label").alias("own"), "whole", "m").join(distance_sums(sample, rows), "event_id")
+    each = mean.groupBy("g", "own", "whole", "m", "event_id").agg(
         F.max(F.when(F.col("own") == F.col("other"), F.try_divide(F.col("s"), F.col("n") - 1))).alias("inner"),
-        F.max(F.when(F.col("own") == F.col("other"), F.col("n"))).alias("size"),
         F.min(F.when(F.col("own") != F.col("other"), F.col("s") / F.col("n"))).alias("outer"),
     )
-    one = F.when(F.col("size") == 1, 0.0).otherwise((F.col("outer") - F.col("inner")) / F.greatest("outer", "inner"))
-    return each.groupBy(group).agg(F.avg(F.when(F.col("outer").isNotNull(), one)).alias("silhouette"))
+    one = F.when(F.col("outer").isNotNull(), F.when(F.col("whole") == 1, 0.0).otherwise((F.col("outer") - F.col("inner")) / F.greatest("outer", "inner")))
+    by_label = each.groupBy("g", "own", "whole", "m").agg(F.avg(one).alias("mean"), F.coalesce(F.var_samp(one), F.lit(0.0)).alias("var"))
+    error = F.pow("whole", F.lit(2)) * F.col("var") / F.col("m") * (1 - F.col("m") / F.col("whole"))
+    return by_label.groupBy(F.col("g").alias(group)).agg((F.sum(F.col("whole") * F.col("mean")) / F.sum("whole")).alias("silhouette"), F.when(F.count("mean") > 0, F.sqrt(F.sum(error)) / F.sum("whole")).alias("silhouette_error"))

@@ -8,6 +8,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions import enrich
 from ..operators import cluster, forecast, joins, legs, marts, reports, rollups, windows
 from ..sources import dims, schemas
+from ..sources.shared import settled
 from ..sources.states import silver, states
 from . import sql
 from .catalog import ASOF, LATEST, cruise_points, corridor_table, flown, query, rounded, trajectory_pairs
@@ -184,11 +185,32 @@ def density_by_cell(spark, sf_dir):
     return density_counts(spark, sf_dir, True)
 
 
-@query()
+def labels_sql(region: str) -> str:
+    """The clusters of density_sql: cores take the smallest core that they are connected to, border points the smallest label next to them."""
+    head, _ = density_sql(region).rsplit("\nselect ", 1)
+    return head + """,
+e as (select pairs.a, pairs.b from pairs join eps using (region) join core x on x.a = pairs.a join core y on y.a = pairs.b where d <= eps and pairs.a <> pairs.b),
+lab(a, label) using key (a) as (
+  select a, a from core
+  union
+  select e.b, min(l.label) from lab l join e on e.a = l.a join recurring.lab r on r.a = e.b where l.label < r.label group by e.b),
+border as (select pairs.a, min(lab.label) label from pairs join eps using (region) join lab on pairs.b = lab.a where d <= eps group by 1),
+labelled as (select sc.event_id, sc.region, coalesce(lab.label, border.label, -1) label from sc left join lab on event_id = lab.a left join border on event_id = border.a)"""
+
+
+SILHOUETTE = """m as (select p.a, p.region, x.label own, y.label other, sum(d) s, count(*) n from pairs p join labelled x on x.event_id = p.a join labelled y on y.event_id = p.b where x.label <> -1 and y.label <> -1 group by all),
+s1 as (select a, region, max(case when own = other then n end) own_n, max(case when own = other then s / nullif(n - 1, 0) end) inside, min(case when own <> other then s / n end) outside from m group by all),
+s2 as (select region, avg(case when own_n = 1 then 0 else (outside - inside) / greatest(outside, inside) end) silhouette from s1 where outside is not null group by 1)"""
+
+
+@query(f"with recursive {sql.SILVER}, {labels_sql(sql.MODEL_REGION)}, {SILHOUETTE} select l.region, count(*) n_rows, count(distinct nullif(label, -1)) n_clusters, round(100 * avg(cast(label = -1 as int)), 2) noise_pct, round(any_value(eps), 6) eps, round(any_value(silhouette), 5) silhouette from labelled l left join eps using (region) left join s2 using (region) group by 1")
 def cluster_report(spark, sf_dir):
-    """Rows, clusters, share of noise and eps by model region."""
-    labels, eps = density(spark, sf_dir, False)
-    return reports.cluster_report(labels, "region", eps)
+    """Rows, clusters, share of noise, eps and silhouette by model region."""
+    points = settled(cluster.route_features(silver(spark, sf_dir)))
+    eps = cluster.knee_eps(points, "region")
+    labels = settled(cluster.dbscan(points, "region", eps))
+    scores = cluster.silhouette(points, labels, "region").select("region", F.round("silhouette", 5).alias("silhouette"))
+    return rounded(reports.cluster_report(labels, "region", eps, scores), "eps", to=6)
 
 
 # -- checks

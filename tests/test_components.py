@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from skylattice.operators import cluster, components
@@ -62,3 +63,33 @@ def test_clusters_are_numbered_by_group_and_label(spark):
     rows = [(1, "b", 5), (2, "b", 9), (3, "a", 7), (4, "a", -1), (5, None, 2), (6, "b", 5)]
     got = {r.event_id: r.corridor_id for r in cluster.numbered(spark.createDataFrame(rows, "event_id long, g string, label long"), "g").collect()}
     assert got == {5: 0, 3: 1, 1: 2, 6: 2, 2: 3, 4: -1}
+
+
+def test_silhouette_by_blocks(spark):
+    rng = np.random.default_rng(6)
+    kinds = [("a", 1, 60), ("a", 2, 40), ("a", 3, 1), ("b", 4, 300), ("b", 5, 200), ("b", -1, 50), ("c", 6, 20), (None, 7, 10), (None, 8, 9)]
+    rows, i = [], 0
+    for g, label, n in kinds:
+        for x in rng.normal(label % 3, 0.6, (n, 4)):
+            rows.append((i := i + 1, g, label, *map(float, x)))
+    df = spark.createDataFrame(rows, "event_id long, g string, label long, x0 double, x1 double, x2 double, x3 double").repartition(3)
+    points, labels = df.drop("label"), df.select("event_id", "g", "label")
+    want = {}
+    for g in ("a", "b", None):
+        x = np.array([r[3:] for r in rows if r[1] == g and r[2] != -1])
+        own = np.array([r[2] for r in rows if r[1] == g and r[2] != -1])
+        d = np.linalg.norm(x[:, None] - x[None], axis=2)
+        each = []
+        for k in range(len(x)):
+            mine = own == own[k]
+            inside = d[k, mine].sum() / max(1, mine.sum() - 1)
+            outside = min(d[k, own == o].mean() for o in set(own.tolist()) - {own[k]})
+            each.append(0 if mine.sum() == 1 else (outside - inside) / max(outside, inside))
+        want[g] = np.mean(each)
+    got = {r.g: r for r in cluster.silhouette(points, labels, "g").collect()}
+    assert set(got) == {"a", "b", "c", None} and got["c"].silhouette is None
+    for g, value in want.items():
+        assert got[g].silhouette == pytest.approx(value, abs=1e-9) and got[g].silhouette_error == 0
+    some = {r.g: r for r in cluster.silhouette(points, labels, "g", size=150, least=30).collect()}
+    assert some["a"].silhouette == pytest.approx(want["a"], abs=1e-9)  # a small group stays whole
+    assert 0 < some["b"].silhouette_error < 0.05 and abs(some["b"].silhouette - want["b"]) < 4 * some["b"].silhouette_error
