@@ -62,9 +62,15 @@ def rejected(raw: DataFrame) -> DataFrame:
     return invalid.unionByName(bad.select(F.col("raw_payload").alias("raw"), F.lit("malformed").alias("error"), F.col("source_tag").alias("source")))
 
 
-def silver(raw: DataFrame, table: Upsert, checkpoint: str, once: bool = False, lateness: str = "1 hour"):
-    """Upsert clean states; copies within the lateness are dropped in state, later ones by the upsert."""
-    rows = clean(raw).withWatermark("ingest_ts", lateness).dropDuplicatesWithinWatermark(["icao24", "time_position"])
+def first_seen(rows: DataFrame, keys: list[str], within: str = "1 hour") -> DataFrame:
+    """rows without copies of a key that came in less than `within` ago. The watermark is on the time that rows come in, so
+    that state forgets keys in time and no row is late: one that tells of an earlier day passes like any other."""
+    return rows.withColumn("__came", F.current_timestamp()).withWatermark("__came", within).dropDuplicatesWithinWatermark(keys).drop("__came")
+
+
+def silver(raw: DataFrame, table: Upsert, checkpoint: str, once: bool = False, within: str = "1 hour"):
+    """Upsert clean states, however late; copies that come in soon after each other are dropped in state, others by the upsert."""
+    rows = first_seen(clean(raw), ["icao24", "time_position"], within)
     return writer(rows, checkpoint, once).foreachBatch(lambda df, i: table.merge(df, i)).start()
 
 
@@ -73,7 +79,7 @@ def hourly(states: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return states.withWatermark("ingest_ts", lateness).groupBy(F.window("ingest_ts", "1 hour").alias("w")).agg(F.approx_count_distinct("icao24").alias("flight_count"), F.avg("altitude_ft").alias("avg_altitude_ft"), F.avg("speed_kmh").alias("avg_speed_kmh")).select(F.col("w.start").alias("hour_bucket"), "flight_count", "avg_altitude_ft", "avg_speed_kmh")
 
 
-LIVE = "icao24 string, last_contact long, latitude double, longitude double, on_ground boolean, n_history int"
+LIVE = "icao24 string, last_contact long, latitude double, longitude double, on_ground boolean, n_history int, status string"
 LEGS = "icao24 string, departure_time long, arrival_time long, from_lat double, from_lon double, to_lat double, to_lon double, duration_min double"
 
 
@@ -143,26 +149,43 @@ def km_between(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
 
 
 class Live(StatefulProcessor):
-    """Latest state and last five positions of an aircraft; both go after `ttl_ms` without news."""
+    """Latest state and last positions of an aircraft, with its health by the age of its last message.
 
-    def __init__(self, ttl_ms: int = 900_000, history: int = 5):
-        self.ttl_ms, self.history = ttl_ms, history
+    News give a row of status `live`. A timer set by each message gives a row of status `silent`, with what was known last,
+    once nothing has come for `silent_ms`; everything goes after `ttl_ms` without news.
+    """
+
+    def __init__(self, ttl_ms: int = 900_000, history: int = 5, silent_ms: int = 120_000):
+        self.ttl_ms, self.history, self.silent_ms = ttl_ms, history, silent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.track = handle.getListState("track", "t long, lat double, lon double", ttlDurationMs=self.ttl_ms)
+        self.last = handle.getValueState("last", "t long, lat double, lon double, ground boolean", ttlDurationMs=self.ttl_ms)
+
+    def told(self, key, last, status: str) -> pd.DataFrame:
+        t, lat, lon, ground = last
+        return pd.DataFrame({"icao24": [key[0]], "last_contact": [t], "latitude": [lat], "longitude": [lon], "on_ground": [ground], "n_history": [len(list(self.track.get()))], "status": [status]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(x) for x in self.track.get()]
-        newest = None
+        held, last = [tuple(x) for x in self.track.get()], None
         for part in rows:
             for r in part.itertuples(index=False):
-                if newest is None or r.last_contact >= newest.last_contact:
-                    newest = r
-                if not pd.isna(r.latitude):
-                    held.append((int(r.last_contact), float(r.latitude), float(r.longitude)))
-        held = sorted(set(held))[-self.history :]
-        self.track.put(held)
-        yield pd.DataFrame({"icao24": [key[0]], "last_contact": [newest.last_contact], "latitude": [newest.latitude], "longitude": [newest.longitude], "on_ground": [newest.on_ground], "n_history": [len(held)]})
+                at = (None, None) if pd.isna(r.latitude) else (float(r.latitude), float(r.longitude))
+                if last is None or r.last_contact >= last[0]:
+                    last = (int(r.last_contact), *at, bool(r.on_ground))
+                if at[0] is not None:
+                    held.append((int(r.last_contact), *at))
+        self.track.put(sorted(set(held))[-self.history :])
+        self.last.update(last)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+        yield self.told(key, last, "live")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            yield self.told(key, tuple(self.last.get()), "silent")
 
     def close(self) -> None:
         pass

@@ -204,3 +204,31 @@ def test_runs_and_replacement(spark, tmp_path):
     sinks.replace_table(df, "replaced")
     sinks.replace_table(spark.range(5), "replaced")
     assert spark.table("replaced").count() == 5
+
+
+def test_late_rows_reach_the_table(spark, tmp_path):
+    raw, table = f"{tmp_path}/raw", sinks.Upsert(spark, f"{tmp_path}/silver", buckets=2)
+    batches = [[message("a", 100, "2024-01-01T10:00:00"), message("b", 400, "2024-01-01T10:05:00")], [message("late", 5, "2024-01-01T05:00:00"), message("b", 400, "2024-01-01T10:05:30")], [message("c", 460, "2024-01-01T10:06:00")]]
+    for n, msgs in enumerate(batches):
+        rows = spark.createDataFrame([(m, "k", 0, 10 * n + i, None, "t") for i, m in enumerate(msgs)], "raw_payload string, key string, kafka_partition int, kafka_offset long, kafka_timestamp string, source_tag string")
+        rows.withColumn("kafka_timestamp", F.lit("2024-01-01 05:00:00").cast("timestamp")).write.mode("append").parquet(raw)
+        jobs.silver(jobs.source(spark, raw), table, f"{tmp_path}/cp", once=True).awaitTermination()
+    got = {r.icao24: r.ingest_ts.hour * 100 + r.ingest_ts.minute + r.ingest_ts.second / 100 for r in table.read().collect()}
+    assert got == {"a": 1000, "b": 1005, "late": 500, "c": 1006}  # the copy of b came too soon after the first
+
+
+def test_an_aircraft_falls_silent(spark, tmp_path):
+    rows = leg_rows(spark)
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = jobs.writer(jobs.with_state(stream, jobs.Live(silent_ms=3000), jobs.LIVE), f"{tmp_path}/cp", False, "1 second").outputMode("update").foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{tmp_path}/out")).start()
+    end, got = time.time() + 90, []
+    try:
+        while time.time() < end and sum(r.status == "silent" for r in got) < 2:
+            time.sleep(1)
+            got = spark.read.schema(jobs.LIVE).parquet(f"{tmp_path}/out").collect() if (tmp_path / "out").exists() else []
+        time.sleep(4)
+        got = spark.read.schema(jobs.LIVE).parquet(f"{tmp_path}/out").collect()
+    finally:
+        q.stop()
+    assert sorted((r.icao24, r.status, r.last_contact, r.n_history) for r in got) == [("a", "live", 9000, 5), ("a", "silent", 9000, 5), ("b", "live", 9, 2), ("b", "silent", 9, 2)]
