@@ -117,15 +117,17 @@ def eta_minutes(km: Column, speed_kmh: Column) -> Column:
     return F.when(speed_kmh > 5, F.round(km / speed_kmh * 60, 1))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, tolerance: int) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, tolerance: int, row: str | None = None) -> DataFrame:
     """Each left row with the right row of its key nearest in time within tolerance (inclusive); ties take the earlier.
 
     Times are cut into buckets wider than twice the tolerance; a left row looks into the one or two buckets that its
     range touches, so the join is on (key, bucket) and a busy key is spread over its buckets. Left rows without a match are left out.
+    row: a column that is unique on the left. Without one rows are numbered as they lie, so left must then be a scan or a
+    written table, whose order a task that is run again finds unchanged.
     """
     width = 2 * tolerance + 1
     low, high = F.floor((F.col(left_time) - tolerance) / width), F.floor((F.col(left_time) + tolerance) / width)
-    a = left.withColumn("__row", F.monotonically_increasing_id()).withColumn("__bucket", F.explode(F.array_distinct(F.array(low, high))))
+    a = left.withColumn("__row", F.monotonically_increasing_id() if row is None else F.col(row)).withColumn("__bucket", F.explode(F.array_distinct(F.array(low, high))))
     b = right.withColumn("__bucket", F.floor(F.col(right_time) / width)).withColumnRenamed(key, "__key")
     met = a.join(b, (F.col(key) == F.col("__key")) & (a["__bucket"] == b["__bucket"]) & (F.abs(F.col(right_time) - F.col(left_time)) <= tolerance))
     best = F.min_by(F.struct(*[F.col(c) for c in (*left.columns, *(c for c in right.columns if c != key))]), F.struct(F.abs(F.col(right_time) - F.col(left_time)), F.col(right_time)))

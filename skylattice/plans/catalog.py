@@ -226,7 +226,7 @@ select event_id, icao24, t, future_t from m where rn = 1 and future_t <> t"""
 def asof_pairs(spark, sf_dir):
     p = states(spark, sf_dir).filter("time_position is not null").select("event_id", "icao24", F.col("time_position").alias("t"), (F.col("time_position") + HOUR12).alias("target"))
     right = p.select("icao24", F.col("t").alias("future_t"))
-    return joins.asof_nearest(p, right, "icao24", "target", "future_t", 7200).filter("future_t <> t").select("event_id", "icao24", "t", "future_t")
+    return joins.asof_nearest(p, right, "icao24", "target", "future_t", 7200, "event_id").filter("future_t <> t").select("event_id", "icao24", "t", "future_t")
 
 
 @query(f"with {sql.SILVER}, {LATEST} select event_id, icao24, origin_country, latitude, longitude from latest where latitude between -40 and 40 and longitude between -120 and 120")
@@ -417,7 +417,7 @@ def pair_error_table(spark, sf_dir):
     p = silver(spark, sf_dir).filter("not on_ground and latitude is not null and time_position is not null")
     left = p.select("event_id", "icao24", "flight_phase", F.col("time_position").alias("t"), (F.col("time_position") + HOUR12).alias("target"), "latitude", "longitude")
     right = p.select("icao24", F.col("time_position").alias("t2"), F.col("latitude").alias("la2"), F.col("longitude").alias("lo2"))
-    pairs = joins.asof_nearest(left, right, "icao24", "target", "t2", 7200).filter("t2 <> t")
+    pairs = joins.asof_nearest(left, right, "icao24", "target", "t2", 7200, "event_id").filter("t2 <> t")
     km = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("la2"), F.col("lo2"))
     rows = pairs.select("flight_phase", km.alias("km"), (F.abs(F.col("t2") - F.col("t") - HOUR12) / 60).alias("off"))
     return windows.error_table(rows, "flight_phase", "km", "off", ["cruise", "climb"])
@@ -530,7 +530,7 @@ def trajectory_pairs(spark, sf_dir) -> DataFrame:
     rows = forecast.with_phase(windows.lag_features(silver(spark, sf_dir)))
     left = rows.select("event_id", "icao24", "last_contact", "eval_phase", "true_track", *forecast.MOTION, F.col("time_position").alias("t"), (F.col("time_position") + HOUR12).alias("target"))
     right = rows.select("icao24", F.col("time_position").alias("t2"), F.col("latitude").alias("future_latitude"), F.col("longitude").alias("future_longitude"))
-    return joins.asof_nearest(left, right, "icao24", "target", "t2", 7200).filter("t2 <> t").withColumn("seconds", F.col("t2") - F.col("t"))
+    return joins.asof_nearest(left, right, "icao24", "target", "t2", 7200, "event_id").filter("t2 <> t").withColumn("seconds", F.col("t2") - F.col("t"))
 
 
 @query()

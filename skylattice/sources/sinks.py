@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,41 @@ def fixed(df: DataFrame, schema: str) -> DataFrame:
     return df.to(_parse_datatype_string(schema))
 
 
-def split_valid(batch: DataFrame, good_path: str, bad_path: str) -> None:
-    """A batch of raw messages: valid ones as (key, value) to one place, others as (raw, error, source) to the other."""
+def split_valid(batch: DataFrame, good_path: str, bad_path: str, batch_id: int | None = None) -> None:
+    """A batch of raw messages: valid ones as (key, value) to one place, others as (raw, error, source) to the other.
+
+    With its id each place has one folder for the batch, which a replay of the batch overwrites, so that both hold it once.
+    """
     from ..streaming.jobs import rejected, valid
 
-    valid(batch).write.mode("append").parquet(good_path)
-    rejected(batch).write.mode("append").parquet(bad_path)
+    for rows, path in ((valid(batch), good_path), (rejected(batch), bad_path)):
+        if batch_id is None:
+            rows.write.mode("append").parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def drop_expired(spark: SparkSession, path: str, day: str, today: str, days: int = 30, table: str | None = None) -> list[str]:
+    """Remove the folders `day`=yyyy-mm-dd under path that are `days` old or older at `today`, and their partitions from a
+    table of the catalog; the days removed. Folders of other names, and those that are no days, stay.
+    """
+    oldest = datetime.date.fromisoformat(today) - datetime.timedelta(days)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        name, _, value = status.getPath().getName().partition("=")
+        try:
+            old = name == day and datetime.date.fromisoformat(value) <= oldest
+        except ValueError:
+            continue
+        if old:
+            if table is not None:
+                spark.sql(f"alter table {table} drop if exists partition ({day} = '{value}')")
+            fs.delete(status.getPath(), True)
+            gone.append(value)
+    return sorted(gone)
 
 
 def register_run(spark: SparkSession, name: str, path: str, schema: str, run_ts: str) -> None:
@@ -131,6 +161,10 @@ class Upsert:
             rows = rows.unionByName(self.spark.read.parquet(*old).withColumn("__b", F.pmod(F.xxhash64("icao24"), F.lit(self.buckets))))
         keep_last(rows).write.mode("overwrite").partitionBy("__b").parquet(f"{self.path}/v={batch_id:020d}")
         held["buckets"].update({b: f"v={batch_id:020d}/__b={b}" for b in touched})
-        out = self.fs.create(self.at(f"pointer-{batch_id:020d}"), True)
+        # under another name until it is whole
+        new, name = self.at(f"_new-{batch_id:020d}"), self.at(f"pointer-{batch_id:020d}")
+        out = self.fs.create(new, True)
         out.write(bytearray(json.dumps({"batch": batch_id, "buckets": held["buckets"]}).encode()))
         out.close()
+        if not self.fs.rename(new, name):
+            raise OSError(f"{name.toString()} could not be written")

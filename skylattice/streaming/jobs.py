@@ -51,8 +51,8 @@ def valid(raw: DataFrame) -> DataFrame:
 
 
 def dead_letters(raw: DataFrame, good_path: str, bad_path: str, checkpoint: str, once: bool = False):
-    """Valid messages to one sink and others, with the reason, to another."""
-    return writer(raw, checkpoint, once).foreachBatch(lambda df, i: split_valid(df, good_path, bad_path)).start()
+    """Valid messages to one sink and others, with the reason, to another; a replayed batch is in both once."""
+    return writer(raw, checkpoint, once).foreachBatch(lambda df, i: split_valid(df, good_path, bad_path, i)).start()
 
 
 def rejected(raw: DataFrame) -> DataFrame:

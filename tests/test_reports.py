@@ -111,6 +111,9 @@ def test_sinks_and_reads(spark, tmp_path):
     bronze_rows(spark).write.parquet(f"{p}/raw")
     jobs.dead_letters(jobs.source(spark, f"{p}/raw"), f"{p}/good2", f"{p}/bad2", f"{p}/cp", once=True).awaitTermination()
     assert spark.read.parquet(f"{p}/good2").count() == 3 and spark.read.parquet(f"{p}/bad2").count() == 4
+    for _ in range(2):  # a replay of the batch
+        sinks.split_valid(bronze_rows(spark), f"{p}/good3", f"{p}/bad3", 7)
+    assert spark.read.parquet(f"{p}/good3").count() == 3 and spark.read.parquet(f"{p}/bad3").count() == 4
     df = spark.createDataFrame([(1, "x", 2.0)], "a long, b string, c double")
     assert sinks.fixed(df, "c float, a int, d string").schema.simpleString() == "struct<c:float,a:int,d:string>"
     sinks.overwrite(df, f"{p}/gold")
@@ -224,3 +227,14 @@ def test_legs_over_parts_equal_a_walk_over_rows(spark):
     for width in (1, 90, 86_400):
         got = {r.event_id: (r.was_on_ground, (r.dep_iata, r.dep_time)) for r in legs.with_departures(df, few, width=width).collect()}
         assert got == want
+
+
+def test_retention_removes_partitions(spark, tmp_path):
+    path, days = f"{tmp_path}/t", ["2024-01-01", "2024-01-11", "2024-01-12", "2024-02-10", "unknown"]
+    spark.createDataFrame([(i, d) for i, d in enumerate(days)], "a long, ingest_date string").write.partitionBy("ingest_date").parquet(path)
+    spark.sql(f"create table kept_days (a long, ingest_date string) using parquet partitioned by (ingest_date) location '{path}'")
+    spark.sql("msck repair table kept_days")
+    assert sinks.drop_expired(spark, path, "ingest_date", "2024-02-10", 30, "kept_days") == ["2024-01-01", "2024-01-11"]
+    assert {r.ingest_date for r in spark.table("kept_days").collect()} == {"2024-01-12", "2024-02-10", "unknown"}
+    assert sorted(x.name for x in (tmp_path / "t").iterdir() if x.is_dir()) == [f"ingest_date={d}" for d in days[2:]]
+    assert sinks.drop_expired(spark, f"{tmp_path}/none", "ingest_date", "2024-02-10") == []
