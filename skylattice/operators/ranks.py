@@ -36,10 +36,15 @@ def ranked(df: DataFrame, keys: list[str], value: str, *ties: str) -> DataFrame:
     return out.select(*own, "rank_n", (F.col("rank_b") + place).alias("rank_i"))
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
-    """keys and an array of the exact percentiles of value, between two values linear; equal values are counted first."""
+def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float], few: int = 100_000) -> DataFrame:
+    """keys and an array of the exact percentiles of value, between two values linear; equal values are counted first.
+
+    Where no group is counted to have more than `few` different values they are one aggregate, else they are ranked in parts.
+    """
     # read several times below, while what it is made of may be dear
     counts = settled(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("pct_v")).agg(F.count("*").alias("pct_c")))
+    if (counts.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0) <= few:
+        return counts.groupBy(*keys).agg(F.percentile("pct_v", F.array(*map(F.lit, at)), F.col("pct_c")).alias("percentiles"))
     rows = ranked(counts, keys, "pct_v")
     # ranks of distinct values become ranks of rows by the same parts: sums of counts before
     named = [f"pct_k{i}" for i in range(len(keys))]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.enrich import band, bin_of
 from ..functions.geo import circular_mean
+from ..sources.shared import settled
 from .ranks import percentiles
 
 
@@ -86,6 +87,7 @@ def corridor_summary(points: DataFrame) -> DataFrame:
 
 def score_percentiles(scores: DataFrame, threshold: float, at=(0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """pct, value and the share flagged at the threshold; one row per percentile."""
+    scores = settled(scores.select("anomaly_score"))  # read twice, and dear
     one = percentiles(scores, [], "anomaly_score", list(at)).join(scores.agg(F.avg((F.col("anomaly_score") > threshold).cast("int")).alias("flagged"))).withColumnRenamed("percentiles", "v")  # one row each
     return one.select(F.posexplode("v").alias("i", "value"), "flagged").select(F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("pct"), "value", "flagged")
 

@@ -23,10 +23,11 @@ def test_ranks_and_percentiles(spark):
     rows = [(k, float(v), i) for k, vs in groups.items() for i, v in enumerate(vs)] + [("a", None, 0)]
     df = spark.createDataFrame(rows, "k string, v double, i long").repartition(7)
     at = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
-    got = {r.k: r.percentiles for r in ranks.percentiles(df, ["k"], "v", at).collect()}
-    assert set(got) == set(groups)
-    for k, vs in groups.items():
-        assert got[k] == pytest.approx(np.quantile(vs, at).tolist())
+    for few in (100_000, 10):  # one aggregate, and in parts
+        got = {r.k: r.percentiles for r in ranks.percentiles(df, ["k"], "v", at, few).collect()}
+        assert set(got) == set(groups)
+        for k, vs in groups.items():
+            assert got[k] == pytest.approx(np.quantile(vs, at).tolist())
     assert ranks.percentiles(df, [], "v", [0.5]).head()[0][0] == pytest.approx(np.median(np.concatenate(list(groups.values()))))
     for k, vs in groups.items():
         found = sorted((r.rank_i, r.v, r.i, r.rank_n) for r in ranks.ranked(df, ["k"], "v", "i").filter(F.col("k").eqNullSafe(F.lit(k))).collect())
