@@ -32,7 +32,7 @@ def without_lines(texts):
         stay = []
         for line in texts[k].split("\n"):
             if re.search(r"[^\x20\x09-\x0D]", line):
-                near = len(line) >= 30 and any(one_edit(line, o) for n in (-1, 0, 1) if len(line) + n >= 30 for o in by_size[len(line) + n])
+                near = any(one_edit(line, o) for n in (-1, 0, 1) for o in by_size[len(line) + n])
                 if line not in seen and not near:
                     stay.append(line)
                 seen.add(line)
