@@ -396,8 +396,8 @@ def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = r"""
 with recursive
-w as (select row_number() over () r, doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x) ws from documents),
-s as (select r, unnest(list_distinct(case when len(ws) between 1 and 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) end)) g from w),
+w as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as materialized (select r, unnest(list_distinct(case when len(ws) between 1 and 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) end)) g from w),
 n as (select r, count(*) n from s group by r),
 e as (
   select a.r a, b.r b from s a join s b on a.g = b.g and a.r <> b.r join n x on x.r = a.r join n y on y.r = b.r
