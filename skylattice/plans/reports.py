@@ -11,7 +11,7 @@ from ..sources import dims, schemas
 from ..sources.shared import settled
 from ..sources.states import silver, states
 from . import sql
-from .catalog import ASOF, LATEST, cruise_points, corridor_table, flown, query, rounded, trajectory_pairs
+from .catalog import ASOF, LATEST, LEG_ROWS, cruise_points, corridor_table, flown, query, rounded, trajectory_pairs
 
 
 def scored(spark, sf_dir):
@@ -268,7 +268,10 @@ def staging_views(spark, sf_dir):
 
 
 
-@query()
+@query(f"""with {sql.SILVER}, {LEG_ROWS}, fly as (select * from known where not on_ground and dep_iata is not null),
+c as (select event_id, iata, {sql.haversine('latitude', 'longitude', 'airport_lat', 'airport_lon')} km, {sql.angle(sql.bearing('latitude', 'longitude', 'airport_lat', 'airport_lon'), 'true_track')} diff from fly, airports where iata <> dep_iata and latitude is not null),
+b as (select *, row_number() over (partition by event_id order by diff, iata) rn from c where km between 100 and 3000 and diff <= 60)
+select f.event_id, f.icao24, f.dep_iata departure_iata, b.iata predicted_iata, round(km, 1) predicted_km, case when f.speed_kmh > 5 then round(km / f.speed_kmh * 60, 1) end eta_minutes from fly f left join b on f.event_id = b.event_id and rn = 1""")
 def legs_in_flight(spark, sf_dir):
     """Airborne rows of legs with a known departure: predicted destination and minutes to it."""
     rows = legs.with_departures(silver(spark, sf_dir), dims.airports(spark), radius_km=3000).filter(~F.col("on_ground") & F.col("dep_iata").isNotNull()).withColumn("departure_iata", F.col("dep_iata"))
