@@ -464,12 +464,26 @@ def k_distances(spark, sf_dir):
     return cluster.k_distances(points, "region").select("event_id", "region", F.round("k_distance", 6).alias("k_distance"))
 
 
-@query()
+@query(f"""with recursive {sql.SILVER}, {SCALED}, deg as (select a, count(*) filter (d <= 0.3) n from pairs group by 1), core as (select a from deg where n >= 8),
+e as (select a, b from pairs where d <= 0.3 and a <> b and a in (select a from core) and b in (select a from core)),
+lab(a, label) using key (a) as (
+  select a, a from core
+  union
+  select e.b, min(l.label) from lab l join e on e.a = l.a join recurring.lab r on r.a = e.b where l.label < r.label group by e.b),
+border as (select pairs.a, min(lab.label) label from pairs join lab on pairs.b = lab.a where d <= 0.3 group by 1),
+labelled as (select sc.event_id, sc.region model_region, coalesce(lab.label, border.label) label from sc left join lab on event_id = lab.a left join border on event_id = border.a),
+m as (select s.*, model_region, dense_rank() over (order by model_region, label) - 1 corridor_id from labelled join silver s using (event_id) where label is not null)
+select cast(corridor_id as bigint) corridor_id, round(avg(latitude), 5) centroid_lat, round(avg(longitude), 5) centroid_lon,
+  round(((degrees(atan2(avg(sin(radians(true_track))), avg(cos(radians(true_track))))) % 360) + 360) % 360, 1) modal_heading_deg,
+  round(avg(altitude_ft), 4) altitude_mean_ft, round(case when stddev_samp(altitude_ft) = 0 then 1.0 else stddev_samp(altitude_ft) end, 4) altitude_std_ft,
+  round(quantile_cont(altitude_ft, 0.1), 4) altitude_p10_ft, round(quantile_cont(altitude_ft, 0.5), 4) altitude_p50_ft, round(quantile_cont(altitude_ft, 0.9), 4) altitude_p90_ft,
+  count(*) member_count, min(model_region) region from m group by corridor_id""")
 def corridors_by_density(spark, sf_dir):
     """Corridors found by density, with their summary."""
-    points = cluster.route_features(silver(spark, sf_dir))
+    points = settled(cluster.route_features(silver(spark, sf_dir)))
     labels = cluster.numbered(cluster.dbscan(points, "region", 0.3), "region")
-    return rollups.corridor_summary(points.join(labels.select("event_id", "corridor_id"), "event_id").filter("corridor_id >= 0"))
+    found = rollups.corridor_summary(settled(points.join(labels.select("event_id", "corridor_id"), "event_id").filter("corridor_id >= 0")))
+    return rounded(found, "altitude_mean_ft", "altitude_std_ft", "altitude_p10_ft", "altitude_p50_ft", "altitude_p90_ft")
 
 
 @query(f"with {sql.SILVER}, {sql.CORRIDORS}, r as (select origin_country, latitude, longitude, row_number() over (partition by origin_country order by latitude, event_id) - 1 i, count(*) over (partition by origin_country) m from cruise), k as (select unnest(range(0, 10)) k) select origin_country, count(*) n_points, round(sum(latitude), 1) sum_lat, round(sum(longitude), 1) sum_lon from (select distinct origin_country, i, round(latitude, 4) latitude, round(longitude, 4) longitude from r, k where i = floor(k * (m - 1) / 9e0)) group by 1")
