@@ -19,12 +19,17 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     turn = F.radians(lon2 - lon1)
     x = F.sin(turn) * F.cos(F.radians(lat2))
     y = F.cos(F.radians(lat1)) * F.sin(F.radians(lat2)) - F.sin(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.cos(turn)
-    return F.pmod(F.degrees(F.atan2(x, y)), F.lit(360.0))
+    return whole_turn(F.degrees(F.atan2(x, y)))
+
+
+def whole_turn(angle: Column) -> Column:
+    """An angle as 0 to 360, step by step like the SQL: pmod's last digit is another, which shows at thresholds."""
+    return (angle % 360 + 360) % 360
 
 
 def angle_between(a: Column, b: Column) -> Column:
     """Absolute difference of two angles in degrees, at most 180."""
-    return F.abs(F.pmod(a - b + 180, F.lit(360.0)) - 180)
+    return F.abs(whole_turn(a - b + 180) - 180)
 
 
 def signed_turn(sin1: Column, cos1: Column, sin0: Column, cos0: Column) -> Column:
@@ -73,4 +78,4 @@ def cell10(lat: Column, lon: Column) -> Column:
 
 def circular_mean(track: Column) -> Column:
     """Aggregate: mean direction in degrees."""
-    return F.pmod(F.degrees(F.atan2(F.avg(F.sin(F.radians(track))), F.avg(F.cos(F.radians(track))))), F.lit(360.0))
+    return whole_turn(F.degrees(F.atan2(F.avg(F.sin(F.radians(track))), F.avg(F.cos(F.radians(track))))))
