@@ -37,6 +37,13 @@ def signed_turn(sin1: Column, cos1: Column, sin0: Column, cos0: Column) -> Colum
     return F.degrees(F.atan2(sin1 * cos0 - cos1 * sin0, sin1 * sin0 + cos1 * cos0))
 
 
+def rounded_half(value: Column, digits: int) -> Column:
+    """value to so many digits by its binary product, as SQL engines do; Spark's round goes by the shortest decimal text,
+    so the two differ where a value is a tie in one of these only."""
+    scaled = value * 10.0**digits
+    return F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / 10.0**digits
+
+
 def destination(lat: Column, lon: Column, speed_ms: Column, track: Column, seconds: Column) -> tuple[Column, Column]:
     """Latitude and longitude after moving along a great circle."""
     far = speed_ms * seconds / 1000.0 / EARTH_KM

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import signed_turn
+from ..functions.geo import rounded_half, signed_turn
 from ..sources.shared import settled
 from .ranks import percentiles, ranked, same
 
@@ -89,7 +89,7 @@ def polyline(points: DataFrame, key: str, order: Column, n: int = 10) -> DataFra
     steps = F.array(*[F.lit(k) for k in range(n)])
     wanted = F.transform(steps, lambda k: F.floor(k * (F.col("m") - 1) / (n - 1)))
     some = rows.filter(F.array_contains(wanted, F.col("i")))
-    pair = F.array(F.round("latitude", 4), F.round("longitude", 4))
+    pair = F.array(*[rounded_half(F.col(c), 4) for c in ("latitude", "longitude")])
     line = F.transform(F.sort_array(F.collect_list(F.struct("i", pair.alias("p")))), lambda x: x["p"])
     return some.groupBy(key).agg(line.alias("polyline")).withColumn("polyline_json", F.to_json("polyline"))
 

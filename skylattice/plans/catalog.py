@@ -489,7 +489,7 @@ def corridors_by_density(spark, sf_dir):
 @query(f"with {sql.SILVER}, {sql.CORRIDORS}, r as (select origin_country, latitude, longitude, row_number() over (partition by origin_country order by latitude, event_id) - 1 i, count(*) over (partition by origin_country) m from cruise), k as (select unnest(range(0, 10)) k) select origin_country, count(*) n_points, round(sum(latitude), 1) sum_lat, round(sum(longitude), 1) sum_lon from (select distinct origin_country, i, round(latitude, 4) latitude, round(longitude, 4) longitude from r, k where i = floor(k * (m - 1) / 9e0)) group by 1")
 def corridor_polylines(spark, sf_dir):
     lines = windows.polyline(cruise_points(spark, sf_dir), "origin_country", F.col("latitude"))
-    total = lambda i: F.round(F.aggregate(F.transform("polyline", lambda p: p[i]), F.lit(0.0), lambda a, x: a + x), 1)
+    total = lambda i: geo.rounded_half(F.aggregate(F.transform("polyline", lambda p: p[i]), F.lit(0.0), lambda a, x: a + x), 1)
     return lines.select("origin_country", F.size("polyline").cast("long").alias("n_points"), total(0).alias("sum_lat"), total(1).alias("sum_lon"))
 
 

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
+from skylattice.operators import windows
 from skylattice.plans import sql
 
 
@@ -12,3 +13,10 @@ def test_angles_on_a_threshold(spark):
     want = duckdb.sql(f"select t, h, (2 + {sql.angle('t', 'h')} / 45) / 3 > 0.78 from (values {', '.join(f'({t}e0, {h}e0)' for t, h in rows)}) v(t, h)").fetchall()
     got = spark.createDataFrame(rows, "t double, h double").select("t", "h", (2 + geo.angle_between(F.col("t"), F.col("h")) / 45) / 3 > 0.78)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_lines_round_ties_like_sql(spark):
+    rows = [(i, a / 10 - 50 + t / 86400, -t / 86400 - a / 10) for i, (a, t) in enumerate([(0, 4428), (0, 5076), (1, 108), (433, 324), (900, 756), (1100, 972), (7, 540), (611, 2052)])]
+    want = duckdb.sql(f"select round(y, 4), round(x, 4) from (values {', '.join(f'({i}, {y!r}::double, {x!r}::double)' for i, y, x in rows)}) v(i, y, x) order by i").fetchall()
+    line = windows.polyline(spark.createDataFrame(rows, "event_id long, latitude double, longitude double").withColumn("k", F.lit("k")), "k", F.col("event_id"), n=8).head().polyline
+    assert [tuple(p) for p in line] == want
