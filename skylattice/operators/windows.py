@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import rounded_half, signed_turn
+from ..functions.geo import cos_libm, rounded_half, signed_turn, sin_libm
 from ..sources.shared import settled
 from .ranks import percentiles, ranked, same
 
@@ -35,8 +35,7 @@ def lag_features(states: DataFrame, width: int = 86_400) -> DataFrame:
     """Complete airborne rows with turn rate, acceleration and climb trend against the aircraft's row before."""
     fields = ["latitude", "longitude", "velocity", "true_track", "vertical_rate", "baro_altitude"]
     rows = states.filter(~F.col("on_ground")).dropna(subset=[*fields, "time_position"])
-    sin, cos = F.sin(F.radians("true_track")), F.cos(F.radians("true_track"))
-    rows = rows.withColumns({"track_sin": sin, "track_cos": cos})
+    rows = rows.withColumns({"track_sin": sin_libm(F.radians("true_track")), "track_cos": cos_libm(F.radians("true_track"))})
     rows = with_carried(rows, ["icao24"], "time_position", ["time_position", "event_id"], ["time_position", "track_sin", "track_cos", "velocity", "vertical_rate"], width)
     w = Window.partitionBy("icao24", "__part").orderBy("__own", "time_position", "event_id")
     before = lambda c: F.lag(c).over(w)

@@ -20,3 +20,12 @@ def test_lines_round_ties_like_sql(spark):
     want = duckdb.sql(f"select round(y, 4), round(x, 4) from (values {', '.join(f'({i}, {y!r}::double, {x!r}::double)' for i, y, x in rows)}) v(i, y, x) order by i").fetchall()
     line = windows.polyline(spark.createDataFrame(rows, "event_id long, latitude double, longitude double").withColumn("k", F.lit("k")), "k", F.col("event_id"), n=8).head().polyline
     assert [tuple(p) for p in line] == want
+
+
+def test_turns_of_one_degree_a_second(spark):
+    rows = [(float(a), float((a + d) % 360), d) for a in range(360) for d in range(1, 90)]
+    turn = "degrees(atan2(sin(radians(b)) * cos(radians(a)) - cos(radians(b)) * sin(radians(a)), sin(radians(b)) * sin(radians(a)) + cos(radians(b)) * cos(radians(a)))) / d"
+    want = duckdb.sql(f"select count(*) filter (abs({turn}) > 1), count(*) filter (abs({turn}) = 1) from (select cast(a as double) a, cast((a + d) % 360 as double) b, d from range(360) x(a), range(1, 90) y(d))").fetchall()
+    trig = [f(F.radians(c)) for c in ("b", "a") for f in (geo.sin_libm, geo.cos_libm)]
+    got = spark.createDataFrame(rows, "a double, b double, d long").select((geo.signed_turn(*trig) / F.col("d")).alias("turn")).agg(F.count_if(F.abs("turn") > 1), F.count_if(F.abs("turn") == 1)).head()
+    assert [tuple(got)] == want
