@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, angle_between, haversine_km
 from ..sources.shared import settled
-from .cells import ahead_candidates, cell_of, level_for, listed, nearest_candidates, on_sphere, sector_of
+from .cells import ahead_candidates, cell_of, level_for, listed, nearest_candidates, on_sphere, once, sector_of
 
 
 def with_airline(states: DataFrame, airlines: DataFrame) -> DataFrame:
@@ -49,9 +49,12 @@ def nearest(points: DataFrame, places: DataFrame, lat: str, lon: str, keep: list
         level = level_for(n)
         here = points.select(F.struct(*points.columns).alias("row"), F.array(*on_sphere(F.col("latitude"), F.col("longitude"))).alias("v"))
         here = listed(here.withColumn("cell", cell_of(F.col("v"), level)), settled(nearest_candidates(placed, level, max_km)), ["cell"])
-        far = lambda p: sum(F.pow(p["p_v"][i] - F.col("v")[i], F.lit(2.0)) for i in range(3))
-        best = F.array_min(F.transform("near", lambda p: F.struct(F.round(far(p), 15).alias("d"), *[p[k].alias(k) for k in keep], p["p_lat"].alias("p_lat"), p["p_lon"].alias("p_lon"))))
-        near = here.select("row", F.when(F.col("cell").isNotNull(), best).alias("near"))
+        # lambdas run interpreted, for each place: products and rint, as pow and the decimals of round cost many times more
+        side = lambda p, i: p["p_v"][i] - F.col("v")[i]
+        far = lambda p: F.rint(sum(side(p, i) * side(p, i) for i in range(3)) * 1e15)
+        best = F.array_min(F.transform("near", lambda p: F.struct(far(p).alias("d"), *[p[k].alias(k) for k in keep], p["p_lat"].alias("p_lat"), p["p_lon"].alias("p_lon"))))
+        # else a filter on what follows is pushed down with the whole search in it, once for each column that it reads
+        near = once(here.select("row", F.when(F.col("cell").isNotNull(), best).alias("near")), ["row", "near"])
     km = haversine_km(F.col("row.latitude"), F.col("row.longitude"), F.col("near.p_lat"), F.col("near.p_lon"))
     near = near.select("row", "near", F.when(F.col("near").isNotNull(), km).alias("km"))
     ok = F.lit(True) if max_km is None else F.col("km") <= max_km

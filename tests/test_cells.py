@@ -84,3 +84,11 @@ def test_lists_stay_short(spark):
     level = cells.level_for(3000)
     size = cells.nearest_candidates(placed, level, None).agg(F.avg(F.size("near")), F.count("*")).head()
     assert size[1] == 72 * 4**level and size[0] < 8
+
+
+def test_a_filter_on_the_nearest_place_does_not_search_again(spark):
+    points = spark.createDataFrame([(1, 10.0, 20.0), (2, -30.0, 100.0)], "id long, latitude double, longitude double")
+    places = spark.createDataFrame([("a", 11.0, 20.0), ("b", -30.0, 99.0)], "name string, lat double, lon double")
+    out = joins.nearest(points, places, "lat", "lon", ["name"]).filter("nearest_km > 1 and nearest_name <> 'c' and nearest_km < 500")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.nearest_name) for r in out.collect()} == {(1, "a"), (2, "b")} and plan.count("array_min(") == 1
