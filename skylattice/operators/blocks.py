@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.shared import stored
+
 WIDE, EDGE = 4.0, 1e-9  # blocks are so many radii wide; what lies on the edge of a radius is dealt to both sides
 PAIRS = 1 << 16  # distances held at a time
+FEW = 100_000  # blocks that are broadcast
 
 
 def dealt(rows: DataFrame, dims: list[str]) -> DataFrame:
@@ -30,7 +33,7 @@ def dealt(rows: DataFrame, dims: list[str]) -> DataFrame:
             cells = []
             for d in dims:
                 x = batch.column(d).to_numpy()
-                cells.append([np.floor((x + s * (1 + EDGE) * r) / (WIDE * r)).astype(np.int64) for s in (-1, 0, 1)])
+                cells.append([np.floor((x + s * (1 + EDGE) * r) / (WIDE * r) + 0.5).astype(np.int64) for s in (-1, 0, 1)])  # zero is the middle of a block
             home = start
             for _, own, _ in cells:
                 home = mixed(home, own)
@@ -48,17 +51,23 @@ def dealt(rows: DataFrame, dims: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def by_block(rows: DataFrame, asking: Column, group: str, radius: Column, dims: list[str], run, schema: str) -> DataFrame:
+def by_block(rows: DataFrame, asking: Column, group: str, radius: Column, dims: list[str], run, schema: str, all_ask: bool = False) -> DataFrame:
     """What run makes of the blocks that have asking rows, as (columns, x, mine, radius) of a block.
 
     A block is four radii wide and has the rows in it and those up to a radius around, so that a row is dealt to a few
     blocks (in d dimensions 1.5 ** d of them on average), not to 3 ** d cells. mine marks the asking rows that lie in the
-    block; each is asked for in one block only. radius is the same throughout a group.
+    block; each is asked for in one block only. radius is the same throughout a group. Where few blocks have asking rows,
+    which is counted unless all rows ask, rows of other blocks are left out before the shuffle.
     """
     kept = [c for c in rows.columns if c not in (group, *dims)]
     one = rows.select(*kept, *dims, F.xxhash64(group).alias("__group"), radius.cast("double").alias("__r"), asking.alias("__asks"))
-    wanted = dealt(one.filter("__asks").select(*dims, "__group", "__r", "__asks"), dims).filter("__mine").select(F.col("__block").alias("__w")).distinct()
-    met = dealt(one, dims).join(wanted, F.col("__block") == F.col("__w"), "left_semi").drop("__group", "__asks")
+    met = dealt(one, dims)
+    if not all_ask:
+        asked = one.filter("__asks").select(*dims, "__group", "__r", "__asks")
+        wanted = stored(dealt(asked, dims).filter("__mine").select(F.col("__block").alias("__w")).distinct())
+        if wanted.count() <= FEW:
+            met = met.join(F.broadcast(wanted), F.col("__block") == F.col("__w"), "left_semi")
+    met = met.drop("__group", "__asks")
 
     def work(batches):
         held = []  # of the last block, which may go on
@@ -75,9 +84,11 @@ def by_block(rows: DataFrame, asking: Column, group: str, radius: Column, dims:
             yield from answers(pa.concat_tables(held))
 
     def answers(block: pa.Table):
-        block = block.combine_chunks()
-        x = np.stack([block.column(d).to_numpy() for d in dims])
-        yield from pa.table(run(block, x, np.flatnonzero(block.column("__mine").to_numpy()), block.column("__r")[0].as_py())).to_batches()
+        mine = np.flatnonzero(block.column("__mine").to_numpy())
+        if len(mine):
+            block = block.combine_chunks()
+            x = np.stack([block.column(d).to_numpy() for d in dims])
+            yield from pa.table(run(block, x, mine, block.column("__r")[0].as_py())).to_batches()
 
     return met.repartition("__block").sortWithinPartitions("__block").mapInArrow(work, schema)
 
@@ -97,7 +108,7 @@ def squares(x: np.ndarray, asked: np.ndarray):
         yield some, t
 
 
-def kth_distances(points: DataFrame, asking: Column, group: str, radius: Column, dims: list[str], k: int) -> DataFrame:
+def kth_distances(points: DataFrame, asking: Column, group: str, radius: Column, dims: list[str], k: int, all_ask: bool = False) -> DataFrame:
     """(event_id, k_distance) of asking points with at least k points, themselves included, within the radius."""
 
     def run(table, x, mine, r):
@@ -110,7 +121,7 @@ def kth_distances(points: DataFrame, asking: Column, group: str, radius: Column,
         ids = np.concatenate(ids) if ids else mine[:0]
         return {"event_id": table.column("event_id").take(pa.array(ids)), "k_distance": np.concatenate(found) if found else np.zeros(0)}
 
-    return by_block(points, asking, group, radius, dims, run, "event_id long, k_distance double")
+    return by_block(points, asking, group, radius, dims, run, "event_id long, k_distance double", all_ask)
 
 
 def counts_within(points: DataFrame, asking: Column, group: str, radius: Column, dims: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions import enrich
 from ..operators import cluster, forecast, joins, legs, marts, reports, rollups, windows
 from ..sources import dims, schemas
-from ..sources.shared import settled
+from ..sources.shared import stored
 from ..sources.states import silver, states
 from . import sql
 from .catalog import ASOF, LATEST, LEG_ROWS, cruise_points, corridor_table, flown, query, rounded, trajectory_pairs
@@ -163,7 +163,7 @@ select sc.region, count(*) n_rows, count(core.a) n_core, count(*) - count(near.a
 
 
 def density(spark, sf_dir, cells: bool):
-    points = cluster.route_features(silver(spark, sf_dir), cells)
+    points = stored(cluster.route_features(silver(spark, sf_dir), cells))
     eps = cluster.knee_eps(points, "region")
     return cluster.dbscan(points, "region", eps), eps
 
@@ -206,9 +206,9 @@ s2 as (select region, avg(case when own_n = 1 then 0 else (outside - inside) / g
 @query(f"with recursive {sql.SILVER}, {labels_sql(sql.MODEL_REGION)}, {SILHOUETTE} select l.region, count(*) n_rows, count(distinct nullif(label, -1)) n_clusters, round(100 * avg(cast(label = -1 as int)), 2) noise_pct, round(any_value(eps), 6) eps, round(any_value(silhouette), 5) silhouette from labelled l left join eps using (region) left join s2 using (region) group by 1")
 def cluster_report(spark, sf_dir):
     """Rows, clusters, share of noise, eps and silhouette by model region."""
-    points = settled(cluster.route_features(silver(spark, sf_dir)))
+    points = stored(cluster.route_features(silver(spark, sf_dir)))
     eps = cluster.knee_eps(points, "region")
-    labels = settled(cluster.dbscan(points, "region", eps))
+    labels = stored(cluster.dbscan(points, "region", eps))
     scores = cluster.silhouette(points, labels, "region").select("region", F.round("silhouette", 5).alias("silhouette"))
     return rounded(reports.cluster_report(labels, "region", eps, scores), "eps", to=6)
 

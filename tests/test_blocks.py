@@ -38,3 +38,9 @@ def test_rows_are_dealt_to_few_blocks(spark):
     one = points.select("event_id", *cluster.DIMS, F.xxhash64("g").alias("__group"), F.lit(0.2).alias("__r"), F.lit(True).alias("__asks"))
     out = blocks.dealt(one, cluster.DIMS)
     assert out.count() < 8 * len(rows) and out.filter("__mine").count() == len(rows)
+
+
+def test_wide_radii_deal_rows_once(spark):
+    _, rows, points = made(spark)
+    one = points.select("event_id", *cluster.DIMS, F.xxhash64("g").alias("__group"), F.lit(1e4).alias("__r"), F.lit(True).alias("__asks"))
+    assert blocks.dealt(one, cluster.DIMS).count() == len(rows)
