@@ -51,15 +51,14 @@ def dealt(rows: DataFrame, dims: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def by_block(rows: DataFrame, asking: Column, group: str, radius: Column, dims: list[str], run, schema: str, all_ask: bool = False) -> DataFrame:
+def by_block(rows: DataFrame, asking: Column, group: str, radius: Column, dims: list[str], run, schema: str, kept: tuple = ("event_id",), all_ask: bool = False) -> DataFrame:
     """What run makes of the blocks that have asking rows, as (columns, x, mine, radius) of a block.
 
     A block is four radii wide and has the rows in it and those up to a radius around, so that a row is dealt to a few
     blocks (in d dimensions 1.5 ** d of them on average), not to 3 ** d cells. mine marks the asking rows that lie in the
     block; each is asked for in one block only. radius is the same throughout a group. Where few blocks have asking rows,
-    which is counted unless all rows ask, rows of other blocks are left out before the shuffle.
+    which is counted unless all rows ask, rows of other blocks are left out before the shuffle. Of columns only kept ones are dealt.
     """
-    kept = [c for c in rows.columns if c not in (group, *dims)]
     one = rows.select(*kept, *dims, F.xxhash64(group).alias("__group"), radius.cast("double").alias("__r"), asking.alias("__asks"))
     met = dealt(one, dims)
     if not all_ask:
@@ -121,7 +120,7 @@ def kth_distances(points: DataFrame, asking: Column, group: str, radius: Column,
         ids = np.concatenate(ids) if ids else mine[:0]
         return {"event_id": table.column("event_id").take(pa.array(ids)), "k_distance": np.concatenate(found) if found else np.zeros(0)}
 
-    return by_block(points, asking, group, radius, dims, run, "event_id long, k_distance double", all_ask)
+    return by_block(points, asking, group, radius, dims, run, "event_id long, k_distance double", all_ask=all_ask)
 
 
 def counts_within(points: DataFrame, asking: Column, group: str, radius: Column, dims: list[str]) -> DataFrame:
@@ -176,4 +175,4 @@ def linked_within(points: DataFrame, asking: Column, own: str, group: str, radiu
             "root": pa.concat_arrays([pa.array(nodes[up[moved]]), pa.array(nodes[b])]),
         }
 
-    return by_block(points, asking, group, radius, dims, run, "event_id long, node long, root long")
+    return by_block(points, asking, group, radius, dims, run, "event_id long, node long, root long", ("event_id", own))

@@ -93,3 +93,21 @@ def test_silhouette_by_blocks(spark):
     some = {r.g: r for r in cluster.silhouette(points, labels, "g", size=150, least=30).collect()}
     assert some["a"].silhouette == pytest.approx(want["a"], abs=1e-9)  # a small group stays whole
     assert 0 < some["b"].silhouette_error < 0.05 and abs(some["b"].silhouette - want["b"]) < 4 * some["b"].silhouette_error
+
+
+def test_distance_sums_do_not_grow_with_labels(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(0, 2, (150, 4)), 4, 0) + rng.normal(0, 0.1, (600, 4))
+    rows = [(i, "a", i // 4, 4, *map(float, p)) for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "event_id long, g string, label long, whole long, x0 double, x1 double, x2 double, x3 double")
+    far = np.linalg.norm(x[:, None] - x[None], axis=2).reshape(600, 150, 4).sum(2)
+    for share in (1 << 26, 1 << 12):
+        got = cluster.distance_sums(df, df.drop("whole"), sample_block=64, block=100, share=share).collect()
+        assert 1200 <= len(got) < 600 * 40
+        found = {}
+        for r in got:
+            assert r.n <= 4 and (r.n < 4 or r.s == pytest.approx(far[r.event_id, r.other], abs=1e-6))
+            found.setdefault(r.event_id, {})[r.other] = r.s / r.n
+        for i in range(600):
+            others = np.where(np.arange(150) == i // 4, np.inf, far[i])
+            assert i // 4 in found[i] and min(v for k, v in found[i].items() if k != i // 4) == pytest.approx(others.min() / 4, abs=1e-6)
