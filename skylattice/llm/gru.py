@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 F32 = np.float32
+BLOCK = 1 << 13  # weights that are updated at once
 
 
 def sizes(head: int, tail: int, per_class: int, hidden: int) -> dict[str, tuple[int, ...]]:
@@ -36,15 +37,20 @@ def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in sorted(weights)])
 
 
-def unflat(values: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+def views(values: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+    """The weights that lie in one vector."""
     out, at = {}, 0
     for k in sorted(shapes):
         n = int(np.prod(shapes[k]))
-        out[k] = values[at : at + n].reshape(shapes[k]).astype(F32)
+        out[k] = values[at : at + n].reshape(shapes[k])
         at += n
     return out
 
 
+def unflat(values: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+    return {k: v.astype(F32) for k, v in views(values, shapes).items()}
+
+
 def lanes(docs: list[np.ndarray], most: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """(codes, doc) of shape (steps, lanes), -1 beyond the end: documents laid end to end, the longest first."""
     total, longest = sum(map(len, docs)), max(map(len, docs), default=0)
@@ -83,149 +89,172 @@ class Model:
         for at in range(0, len(codes), size):
             yield at, codes[at : at + size], inputs[at : at + size], fresh[at : at + size]
 
-    def forward(self, inputs, fresh, state, keep: bool):
-        """States after each step and the last; with keep, also what the way back needs, each of shape (steps, lanes, n)."""
-        w, n = self.w, self.hidden
-        u, bu, held = w["u"], w["bu"], (~fresh).astype(F32)[:, :, None]
-        out = np.empty((*inputs.shape, n), F32)
-        kept = [np.empty_like(out) for _ in range(5)] if keep else None
-        for t in range(len(inputs)):
-            state = state * held[t]
-            gx, gu = w["x"][inputs[t]], state @ u
-            gate = gx[:, : 2 * n] + gu[:, : 2 * n]
-            np.negative(gate, gate)
+    def forward(self, inputs, fresh, state):
+        """What a window's steps leave, each of shape (steps, lanes, n), gates (steps, 2, lanes, n): states after them, states
+        before them, gates z and r, the inner part of the new state, the new state; and by step what holds back the states of other documents."""
+        n, (steps, lanes) = self.hidden, inputs.shape
+        sign = np.array([-1, -1, 1], self.w["u"].dtype)  # gates are 1 / (1 + exp(-a))
+        u = np.ascontiguousarray(self.w["u"].reshape(n, 3, n).transpose(1, 0, 2)) * sign[:, None, None]
+        x = self.w["x"].reshape(-1, n).take(3 * inputs[:, None] + np.arange(3)[:, None], 0)
+        x[:, :2] *= -1
+        bu = self.w["bu"]
+        states, inner, new = np.empty((steps + 1, lanes, n), x.dtype), np.empty((steps, lanes, n), x.dtype), np.empty((steps, lanes, n), x.dtype)
+        gates, product = np.empty((steps, 2, lanes, n), x.dtype), np.empty((3, lanes, n), x.dtype)
+        states[0] = state
+        resets = {t: np.where(fresh[t][:, None], x.dtype.type(0), x.dtype.type(1)) for t in np.flatnonzero(fresh.any(1)).tolist()}
+        for gate, own, part, now, t in zip(gates, new, x, states[1:], range(steps)):
+            state = states[t] * resets[t] if t in resets else states[t]
+            np.matmul(state, u, product)
+            np.add(part[:2], product[:2], gate)
             np.exp(gate, gate)
             gate += 1
             np.reciprocal(gate, gate)
-            z, r = gate[:, :n], gate[:, n:]
-            inner = gu[:, 2 * n :] + bu
-            new = r * inner
-            new += gx[:, 2 * n :]
-            np.tanh(new, new)
-            if keep:
-                for a, x in zip(kept, (state, z, r, inner, new)):
-                    a[t] = x
-            state = new + z * (state - new)
-            out[t] = state
-        return out, state, kept
+            np.add(product[2], bu, inner[t])
+            np.multiply(gate[1], inner[t], own)
+            own += part[2]
+            np.tanh(own, own)
+            np.subtract(state, own, now)
+            now *= gate[0]
+            now += own
+        before = states[:-1].copy()
+        for t, held in resets.items():
+            before[t] *= held
+        return states[1:], before, gates, inner, new, resets
 
     def class_of(self, codes):
         return np.where(codes < self.head, codes // self.per_class, codes - self.head + self.classes)
 
+    def by_class(self, own):
+        """(order, [(class, from, upto)]): places of the codes of head classes, by class, and where each class's lie among them."""
+        order = np.argsort(own.astype(np.int16), kind="stable")  # by radix
+        edges = np.searchsorted(own[order], np.arange(self.classes + 1)).tolist()
+        return order[: edges[-1]], [(k, lo, hi) for k, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+
+    def logits(self, h, codes):
+        """(own classes, logits of classes, order, spans, h by class, logits within classes); logits have a column for each code."""
+        own = self.class_of(codes)
+        outer = self.w["c"].T @ h.T
+        outer += self.w["bc"][:, None]
+        order, spans = self.by_class(own)
+        sorted_h = h[order]
+        inner = np.empty((self.per_class, len(order)), h.dtype)
+        for k, lo, hi in spans:
+            np.matmul(self.w["w"][k].T, sorted_h[lo:hi].T, inner[:, lo:hi])
+        inner += np.repeat(self.w["bw"].T[:, [k for k, _, _ in spans]], [hi - lo for _, lo, hi in spans], 1)
+        return own, outer, order, spans, sorted_h, inner
+
     def log_probs(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of codes (n) after states (n, hidden)."""
-        logits = states @ self.w["c"] + self.w["bc"]
-        own = self.class_of(codes)
-        at = np.arange(len(codes))
-        out = logits[at, own] - log_sum(logits)
-        order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                inner = states[rows] @ self.w["w"][k] + self.w["bw"][k]
-                out[rows] += inner[np.arange(len(rows)), codes[rows] % self.per_class] - log_sum(inner)
+        own, outer, order, _, _, inner = self.logits(states, codes)
+        out = taken(outer, own)[0]
+        out[order] += taken(inner, codes[order] % self.per_class)[0]
         return out
 
-    def score(self, docs: list[np.ndarray], size: int = 128) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], size: int = 16) -> np.ndarray:
         """Natural log-probability of each whole document."""
         total = np.zeros(len(docs))
         codes, doc = lanes(docs)
         state = np.zeros((codes.shape[1], self.hidden), F32)
         for at, own, inputs, fresh in self.windows(codes, doc, size):
-            states, state, _ = self.forward(inputs, fresh, state, False)
-            real = own >= 0
+            states = self.forward(inputs, fresh, state)[0]
+            state, real = states[-1], own >= 0
             logs = self.log_probs(states[real], own[real])
             total += np.bincount(doc[at : at + size][real], logs, len(docs))
         return total
 
-    def gradients(self, inputs, fresh, codes, state):
-        """Truncated backpropagation through one window: gradients of the mean loss, the next state, the loss."""
+    def gradients(self, inputs, fresh, codes, state, g=None):
+        """Truncated backpropagation through one window: gradients of the mean loss (into g, if given), the next state, the loss."""
         w, n = self.w, self.hidden
-        states, after, kept = self.forward(inputs, fresh, state, True)
-        g = {k: np.zeros_like(v) for k, v in w.items()}
+        states, before, gates, inner, new, resets = self.forward(inputs, fresh, state)
+        g = g or {k: np.empty_like(v) for k, v in w.items()}
         real = codes >= 0
         h, code = states[real], codes[real]
         count = max(1, len(code))
-        own = self.class_of(code)
-        logits = h @ w["c"] + w["bc"]
-        logs = log_sum(logits)
-        loss = float((logs - logits[np.arange(len(code)), own]).sum())
-        d = np.exp(logits - logs[:, None])
-        d[np.arange(len(code)), own] -= 1
-        d /= count
-        g["c"], g["bc"] = h.T @ d, d.sum(0)
-        dh = d @ w["c"].T
-        order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                inner, at = h[rows] @ w["w"][k] + w["bw"][k], code[rows] % self.per_class
-                logs = log_sum(inner)
-                loss += float((logs - inner[np.arange(len(rows)), at]).sum())
-                d = np.exp(inner - logs[:, None])
-                d[np.arange(len(rows)), at] -= 1
-                d /= count
-                g["w"][k], g["bw"][k] = h[rows].T @ d, d.sum(0)
-                dh[rows] += d @ w["w"][k].T
-        out = np.zeros_like(states)
-        out[real] = dh
-        before, z, r, inner, new = kept
-        by_z, by_new = (before - new) * z * (1 - z), (1 - z) * (1 - new * new)
-        by_r = inner * r * (1 - r)
-        back, ut, held = np.zeros_like(state), np.ascontiguousarray(w["u"].T), (~fresh).astype(F32)[:, :, None]
-        gates, du = np.empty((*inputs.shape, 3 * n), F32), np.empty((*inputs.shape, 3 * n), F32)
+        own, outer, order, spans, sorted_h, within = self.logits(h, code)
+        logs, d = taken(outer, own, 1 / count)
+        loss = -float(logs.sum())
+        np.matmul(h.T, d.T, g["c"])
+        d.sum(1, out=g["bc"])
+        dh = d.T @ w["c"].T
+        logs, d = taken(within, code[order] % self.per_class, 1 / count)
+        loss -= float(logs.sum())
+        g["w"][:], g["bw"][:] = 0, 0
+        sorted_dh = np.empty_like(sorted_h)
+        for k, lo, hi in spans:
+            np.matmul(sorted_h[lo:hi].T, d[:, lo:hi].T, g["w"][k])
+            np.matmul(d[:, lo:hi].T, w["w"][k].T, sorted_dh[lo:hi])
+        if spans:
+            g["bw"][[k for k, _, _ in spans]] = np.add.reduceat(d, [lo for _, lo, _ in spans], 1).T
+        dh[order] += sorted_dh
+        # ds: by states after steps; du: by the products with u, which are ds times what follows from the step alone
+        ds = np.zeros_like(states)
+        ds[real] = dh
+        z, r = gates[:, 0], gates[:, 1]
+        by_new = (1 - z) * (1 - new * new)
+        times, du = np.empty((*inputs.shape, 3, n), states.dtype), np.empty((*inputs.shape, 3, n), states.dtype)
+        np.multiply((before - new) * z, 1 - z, times[:, :, 0])
+        np.multiply(by_new, r, times[:, :, 2])
+        np.multiply(times[:, :, 2] * inner, 1 - r, times[:, :, 1])
+        ut, flat_du = np.ascontiguousarray(w["u"].T), du.reshape(*inputs.shape, 3 * n)
+        back, through = np.zeros_like(state), np.empty_like(state)
         for t in range(len(inputs) - 1, -1, -1):
-            ds = out[t] + back
-            own = du[t]
-            np.multiply(ds, by_z[t], own[:, :n])
-            dn = ds * by_new[t]
-            np.multiply(dn, by_r[t], own[:, n : 2 * n])
-            np.multiply(dn, r[t], own[:, 2 * n :])
-            gates[t, :, 2 * n :] = dn
-            back = own @ ut
-            ds *= z[t]
-            back += ds
-            back *= held[t]
-        gates[:, :, : 2 * n] = du[:, :, : 2 * n]
-        g["u"] = before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
-        g["bu"] = du[:, :, 2 * n :].sum((0, 1))
+            own = ds[t]
+            own += back
+            np.multiply(own[:, None], times[t], du[t])
+            np.matmul(flat_du[t], ut, back)
+            np.multiply(own, z[t], through)
+            back += through
+            if t in resets:
+                back *= resets[t]
+        np.matmul(before.reshape(-1, n).T, flat_du.reshape(-1, 3 * n), g["u"])
+        du[:, :, 2].sum((0, 1), out=g["bu"])
+        np.multiply(ds, by_new, du[:, :, 2])  # from here on by the input's part, where r does not come in
         at = inputs.ravel()
-        order = np.argsort(at, kind="stable")
-        rows, first = np.unique(at[order], return_index=True)
-        g["x"][rows] = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first, 0)
-        return g, after, loss / count
+        order = np.argsort(at.astype(np.int16), kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        g["x"][:] = 0
+        g["x"][at[order[first]]] = np.add.reduceat(flat_du.reshape(-1, 3 * n)[order], first, 0)
+        return g, states[-1], loss / count
 
     def train(self, docs: list[np.ndarray], size: int = 32, rate: float = 0.01, most: int = 64) -> list[float]:
         """One pass of Adam over documents; returns the loss of each window."""
         codes, doc = lanes(docs, most)
         state = np.zeros((codes.shape[1], self.hidden), F32)
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        v = {k: np.zeros_like(x) for k, x in self.w.items()}
+        shapes = {k: v.shape for k, v in self.w.items()}
+        w = flat(self.w)
+        m, v, grad, step = (np.zeros_like(w) for _ in range(4))
+        self.w, g = views(w, shapes), views(grad, shapes)
+        blocks = [tuple(x[at : at + BLOCK] for x in (w, m, v, grad, step)) for at in range(0, len(w), BLOCK)]
         losses = []
         for i, (_, own, inputs, fresh) in enumerate(self.windows(codes, doc, size), 1):
-            g, state, loss = self.gradients(inputs, fresh, own, state)
-            norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
-            scale = min(1.0, 1.0 / (norm + 1e-9))
-            for k, x in g.items():
+            _, state, loss = self.gradients(inputs, fresh, own, state, g)
+            scale = 0.1 * min(1.0, 1.0 / (float(np.sqrt(np.vdot(grad, grad))) + 1e-9))
+            by = (1 - 0.9**i) / rate
+            for w, m, v, x, step in blocks:  # that stay in the cache meanwhile
                 x *= F32(scale)
-                m[k] *= F32(0.9)
-                m[k] += F32(0.1) * x
-                x *= x
-                x *= F32(0.01)
-                v[k] *= F32(0.99)
-                v[k] += x
-                step = np.sqrt(v[k])
-                step *= F32((1 - 0.99**i) ** -0.5)
-                step += F32(1e-8)
-                np.divide(m[k], step, step)
-                step *= F32(rate / (1 - 0.9**i))
-                self.w[k] -= step
+                m *= F32(0.9)
+                m += x
+                x *= x  # a hundredth of the gradient's square
+                v *= F32(0.99)
+                v += x
+                np.sqrt(v, step)
+                step *= F32(by * (1 - 0.99**i) ** -0.5)
+                step += F32(by * 1e-8)
+                np.divide(m, step, step)
+                w -= step
             losses.append(loss)
         return losses
 
 
-def log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+def taken(logits: np.ndarray, own: np.ndarray, share: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log-probabilities of row own[i] in column i, and share times their losses' gradients by logits, which take their place."""
+    at = np.arange(logits.shape[1])
+    logits -= logits.max(0, initial=-np.inf)
+    out = logits[own, at]
+    np.exp(logits, logits)
+    sums = logits.sum(0)
+    out -= np.log(sums)
+    if share:
+        logits *= share / sums
+        logits[own, at] -= share
+    return out, logits
