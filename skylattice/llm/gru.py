@@ -52,7 +52,7 @@ def unflat(values: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> dict[str,
 
 
 def lanes(docs: list[np.ndarray], most: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, doc) of shape (steps, lanes), -1 beyond the end: documents laid end to end, the longest first."""
+    """(codes, doc) of shape (steps, lanes), -1 beyond the end: documents laid end to end, the longest first; the fullest lane first."""
     total, longest = sum(map(len, docs)), max(map(len, docs), default=0)
     n = max(1, min(most, len(docs), total // max(1, longest) + 8))
     loads, rows = np.zeros(n, np.int64), [[] for _ in range(n)]
@@ -62,7 +62,7 @@ def lanes(docs: list[np.ndarray], most: int = 256) -> tuple[np.ndarray, np.ndarr
         loads[k] += len(docs[i])
     steps = int(loads.max()) if total else 0
     codes, doc = np.full((steps, n), -1, np.int32), np.full((steps, n), -1, np.int32)
-    for k, own in enumerate(rows):
+    for k, own in enumerate(rows[j] for j in np.argsort(-loads, kind="stable")):
         at = 0
         for i in own:
             codes[at : at + len(docs[i]), k] = docs[i]
@@ -81,41 +81,45 @@ class Model:
         self.start = len(weights["x"]) - 1
 
     def windows(self, codes: np.ndarray, doc: np.ndarray, size: int):
-        """(from, codes, inputs, fresh) of each window: a code's input is the one before it in its document."""
+        """(from, codes, inputs, fresh) of each window, of lanes that have not ended: a code's input is the one before it in its document."""
         before = np.vstack([np.full((1, codes.shape[1]), -1, doc.dtype), doc[:-1]])
         fresh = doc != before
         inputs = np.vstack([np.zeros((1, codes.shape[1]), codes.dtype), codes[:-1]])
         inputs = np.where(fresh | (inputs < 0), self.start, inputs)
         for at in range(0, len(codes), size):
-            yield at, codes[at : at + size], inputs[at : at + size], fresh[at : at + size]
+            n = np.count_nonzero(codes[at] >= 0)
+            yield at, codes[at : at + size, :n], inputs[at : at + size, :n], fresh[at : at + size, :n]
 
-    def forward(self, inputs, fresh, state):
-        """What a window's steps leave, each of shape (steps, lanes, n), gates (steps, 2, lanes, n): states after them, states
+    def forward(self, inputs, fresh, state, keep: bool = True):
+        """States after each step; with keep, all that a window's steps leave, each of shape (steps, lanes, n), gates (steps, 2, lanes, n): states after them, states
         before them, gates z and r, the inner part of the new state, the new state; and by step what holds back the states of other documents."""
         n, (steps, lanes) = self.hidden, inputs.shape
-        sign = np.array([-1, -1, 1], self.w["u"].dtype)  # gates are 1 / (1 + exp(-a))
-        u = np.ascontiguousarray(self.w["u"].reshape(n, 3, n).transpose(1, 0, 2)) * sign[:, None, None]
+        u = np.ascontiguousarray(self.w["u"].reshape(n, 3, n).transpose(1, 0, 2))
+        u[:2] *= -1  # gates are 1 / (1 + exp(-a))
         x = self.w["x"].reshape(-1, n).take(3 * inputs[:, None] + np.arange(3)[:, None], 0)
-        x[:, :2] *= -1
         bu = self.w["bu"]
-        states, inner, new = np.empty((steps + 1, lanes, n), x.dtype), np.empty((steps, lanes, n), x.dtype), np.empty((steps, lanes, n), x.dtype)
-        gates, product = np.empty((steps, 2, lanes, n), x.dtype), np.empty((3, lanes, n), x.dtype)
-        states[0] = state
+        kept = steps if keep else 1
+        states, product = np.empty((steps + 1, lanes, n), x.dtype), np.empty((3, lanes, n), x.dtype)
+        inner, new, gates = np.empty((kept, lanes, n), x.dtype), np.empty((kept, lanes, n), x.dtype), np.empty((kept, 2, lanes, n), x.dtype)
+        states[0] = state[:lanes]
         resets = {t: np.where(fresh[t][:, None], x.dtype.type(0), x.dtype.type(1)) for t in np.flatnonzero(fresh.any(1)).tolist()}
-        for gate, own, part, now, t in zip(gates, new, x, states[1:], range(steps)):
+        for t, (part, now) in enumerate(zip(x, states[1:])):
             state = states[t] * resets[t] if t in resets else states[t]
+            gate, mid, own = (a[t if keep else 0] for a in (gates, inner, new))
             np.matmul(state, u, product)
-            np.add(part[:2], product[:2], gate)
+            np.subtract(product[:2], part[:2], gate)
             np.exp(gate, gate)
             gate += 1
             np.reciprocal(gate, gate)
-            np.add(product[2], bu, inner[t])
-            np.multiply(gate[1], inner[t], own)
+            np.add(product[2], bu, mid)
+            np.multiply(gate[1], mid, own)
             own += part[2]
             np.tanh(own, own)
             np.subtract(state, own, now)
             now *= gate[0]
             now += own
+        if not keep:
+            return states[1:]
         before = states[:-1].copy()
         for t, held in resets.items():
             before[t] *= held
@@ -150,16 +154,16 @@ class Model:
         out[order] += taken(inner, codes[order] % self.per_class)[0]
         return out
 
-    def score(self, docs: list[np.ndarray], size: int = 16) -> np.ndarray:
-        """Natural log-probability of each whole document."""
+    def score(self, docs: list[np.ndarray], size: int = 0) -> np.ndarray:
+        """Natural log-probability of each whole document; windows of 4,096 codes, if size does not give their steps."""
         total = np.zeros(len(docs))
         codes, doc = lanes(docs)
         state = np.zeros((codes.shape[1], self.hidden), F32)
-        for at, own, inputs, fresh in self.windows(codes, doc, size):
-            states = self.forward(inputs, fresh, state)[0]
+        for at, own, inputs, fresh in self.windows(codes, doc, size or -(-4096 // codes.shape[1])):
+            states = self.forward(inputs, fresh, state, False)
             state, real = states[-1], own >= 0
             logs = self.log_probs(states[real], own[real])
-            total += np.bincount(doc[at : at + size][real], logs, len(docs))
+            total += np.bincount(doc[at : at + len(own), : own.shape[1]][real], logs, len(docs))
         return total
 
     def gradients(self, inputs, fresh, codes, state, g=None):
@@ -168,7 +172,8 @@ class Model:
         states, before, gates, inner, new, resets = self.forward(inputs, fresh, state)
         g = g or {k: np.empty_like(v) for k, v in w.items()}
         real = codes >= 0
-        h, code = states[real], codes[real]
+        whole = real.all()
+        h, code = (states.reshape(-1, n), codes.ravel()) if whole else (states[real], codes[real])
         count = max(1, len(code))
         own, outer, order, spans, sorted_h, within = self.logits(h, code)
         logs, d = taken(outer, own, 1 / count)
@@ -187,33 +192,37 @@ class Model:
             g["bw"][[k for k, _, _ in spans]] = np.add.reduceat(d, [lo for _, lo, _ in spans], 1).T
         dh[order] += sorted_dh
         # ds: by states after steps; du: by the products with u, which are ds times what follows from the step alone
-        ds = np.zeros_like(states)
-        ds[real] = dh
+        ds = dh.reshape(states.shape) if whole else np.zeros_like(states)
+        if not whole:
+            ds[real] = dh
         z, r = gates[:, 0], gates[:, 1]
         by_new = (1 - z) * (1 - new * new)
-        times, du = np.empty((*inputs.shape, 3, n), states.dtype), np.empty((*inputs.shape, 3, n), states.dtype)
-        np.multiply((before - new) * z, 1 - z, times[:, :, 0])
-        np.multiply(by_new, r, times[:, :, 2])
-        np.multiply(times[:, :, 2] * inner, 1 - r, times[:, :, 1])
-        ut, flat_du = np.ascontiguousarray(w["u"].T), du.reshape(*inputs.shape, 3 * n)
-        back, through = np.zeros_like(state), np.empty_like(state)
+        times, du = np.empty((len(inputs), 3, *states.shape[1:]), states.dtype), np.empty((*inputs.shape, 3, n), states.dtype)
+        by_z, by_r, by_inner = times[:, 0], times[:, 1], times[:, 2]
+        np.subtract(before, new, by_z)
+        by_z *= z
+        by_z *= 1 - z
+        np.multiply(by_new, r, by_inner)
+        np.subtract(1, r, by_r)
+        by_r *= by_inner
+        by_r *= inner
+        ut, flat_du, by_gate = np.ascontiguousarray(w["u"].T), du.reshape(*inputs.shape, 3 * n), du.transpose(0, 2, 1, 3)
+        back, through = np.zeros_like(states[0]), np.empty_like(states[0])
         for t in range(len(inputs) - 1, -1, -1):
             own = ds[t]
             own += back
-            np.multiply(own[:, None], times[t], du[t])
+            np.multiply(own, times[t], by_gate[t])
             np.matmul(flat_du[t], ut, back)
             np.multiply(own, z[t], through)
             back += through
             if t in resets:
                 back *= resets[t]
         np.matmul(before.reshape(-1, n).T, flat_du.reshape(-1, 3 * n), g["u"])
-        du[:, :, 2].sum((0, 1), out=g["bu"])
+        g["bu"][:] = np.ones(inputs.size, du.dtype) @ du[:, :, 2].reshape(-1, n)
         np.multiply(ds, by_new, du[:, :, 2])  # from here on by the input's part, where r does not come in
-        at = inputs.ravel()
-        order = np.argsort(at.astype(np.int16), kind="stable")
-        first = np.flatnonzero(np.diff(at[order], prepend=-1))
         g["x"][:] = 0
-        g["x"][at[order[first]]] = np.add.reduceat(flat_du.reshape(-1, 3 * n)[order], first, 0)
+        places = inputs.reshape(-1, 1).astype(np.int64) * (3 * n) + np.arange(3 * n)
+        np.add.at(g["x"].reshape(-1), places.ravel(), du.ravel())  # quick for one dimension alone
         return g, states[-1], loss / count
 
     def train(self, docs: list[np.ndarray], size: int = 32, rate: float = 0.01, most: int = 64) -> list[float]:
