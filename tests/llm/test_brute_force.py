@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skylattice.llm import bpe_codec, gru, lm_scoring, near_texts, simhash, token_counts, toxicity
+from skylattice.llm import bpe_codec, common, gru, lm_scoring, near_texts, simhash, token_counts, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -208,6 +209,38 @@ def test_copies_spread_over_training_groups(spark):
     assert sum(sizes) == 400 and len(sizes) >= 15 and max(sizes) <= 60
 
 
+def test_word_counts_come_packed_by_slice_and_part(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART", 200)
+    r, odd = random.Random(4), ["", " \t\n", "\x0bA a\x0c", "x\x1cy\x85z\u00a0q  X\x1cY", "\u00c4 \u00e4 \u00c4\r\n", None]
+    rows = [(i, odd[i] if i < len(odd) else " ".join(f"w{int(r.paretovariate(0.6)) % 900}" for _ in range(30))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    slices = common.written(spark, lm_scoring.sliced(common.texts(docs).withColumn("rest", F.crc32(F.col("doc_id").cast("string").cast("binary")))), "slices")
+    asked = lm_scoring.asked(slices, 7)
+    assert slices.count() == 3 and asked.count() <= 21  # a row for each slice and part, not for each word
+    words = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for i, t in rows}
+    c = collections.Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    summary = lm_scoring.counted(asked).filter("slice is null").collect()
+    assert sum(x.types for x in summary) == len(c) and sum(sum(x.bins) for x in summary) == sum(c.values())
+    assert {bytes(w): n for x in summary for w, n in zip(x.top_words, x.top_cs)} == c
+    docs_in = sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows)
+    whole = sum(c.values()) + docs_in + 0.1 * (len(c) + 2)
+    got = {x.doc_id: x for x in lm_scoring.score_documents(docs, rounds=1).collect()}
+    for i, ws in words.items():
+        assert (got[i].n_tokens, got[i].n_known) == (len(ws) + 1, sum(c[w] > 0 for w in ws) + 1)
+        assert got[i].base_score == pytest.approx(sum(math.log10((n + 0.1) / whole) for n in [docs_in, *(c[w] for w in ws)]))
+
+
+def test_ended_lanes_take_no_part():
+    rng = np.random.default_rng(3)
+    model = gru.Model(gru.initial(gru.sizes(6, 3, 3, 4)))
+    docs = [rng.integers(0, 9, n).astype(np.int32) for n in (40, 3, 9, 2, 5)]
+    codes, doc = gru.lanes(docs, 4)
+    windows = list(model.windows(codes, doc, 8))
+    assert [w[1].shape[1] for w in windows] == [4, 2, 1, 1, 1] and sum((w[1] >= 0).sum() for w in windows) == 59
+    alone = [float(model.score([d], 7)[0]) for d in docs]
+    assert model.score(docs) == pytest.approx(alone, rel=1e-5) and model.score(docs, 3) == pytest.approx(alone, rel=1e-5)
+
+
 def test_gradients_and_carried_state(monkeypatch):
     monkeypatch.setattr(gru, "F32", np.float64)
     rng = np.random.default_rng(0)
