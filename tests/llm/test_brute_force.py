@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -230,6 +231,16 @@ def test_word_counts_come_packed_by_slice_and_part(spark, monkeypatch):
         assert got[i].base_score == pytest.approx(sum(math.log10((n + 0.1) / whole) for n in [docs_in, *(c[w] for w in ws)]))
 
 
+def test_words_of_a_cut_batch():
+    texts = ["first One", " lead\ttrail ", "", "Two two\x0b\x0cONE", "last"]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"])
+        for at, n in ((0, 5), (1, 3), (3, 2), (2, 1), (0, 0)):
+            words, every, counts = lm_scoring.words_of(batch.slice(at, n))
+            want = [t.encode().lower().split() for t in texts[at : at + n]]
+            assert [words[int(i)].as_py() for i in every] == [w for ws in want for w in ws] and counts.tolist() == [len(ws) for ws in want]
+
+
 def test_ended_lanes_take_no_part():
     rng = np.random.default_rng(3)
     model = gru.Model(gru.initial(gru.sizes(6, 3, 3, 4)))
