@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import settled
+from ..sources.shared import settled, stored
 
 PARTS = 64
 
@@ -20,13 +20,14 @@ def ranked(df: DataFrame, keys: list[str], value: str, *ties: str) -> DataFrame:
     """df with rank_i (from 0, by value, then ties) and rank_n (rows) within keys; rows whose value is null are left out.
 
     A mergeable sketch of each group cuts its values into 64 parts of about equal size; a rank is the size of the parts
-    before plus the place within the part, so that the largest sort is that of a part.
+    before plus the place within the part, so that the largest sort is that of a part. A sketch depends on the order in which
+    rows and partial sketches come, so the cuts are stored: parts are counted and ranked by the same ones.
     """
     own = df.columns
     df = df.filter(F.col(value).isNotNull()).withColumn("rank_v", F.col(value).cast("double"))
     named = [f"rank_k{i}" for i in range(len(keys))]
     to = lambda frame, *more: frame.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], *more)
-    cuts = df.groupBy(*keys).agg(F.percentile_approx("rank_v", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(1000)).alias("rank_cuts"), F.count("*").alias("rank_n"))
+    cuts = stored(df.groupBy(*keys).agg(F.percentile_approx("rank_v", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(1000)).alias("rank_cuts"), F.count("*").alias("rank_n")))
     rows = df.join(to(cuts, "rank_cuts", "rank_n"), same(keys, named))
     rows = rows.select(*own, "rank_v", "rank_n", F.size(F.filter("rank_cuts", lambda x: x < F.col("rank_v"))).alias("rank_p"))
     w = Window.partitionBy(*keys).orderBy("rank_p").rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows a group

@@ -1,10 +1,13 @@
 """Values that lie on a threshold or a tie of rounding fall on the side on which SQL has them."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
 from skylattice.operators import windows
+from skylattice.operators.ranks import ranked
 from skylattice.plans import sql
 
 
@@ -29,3 +32,15 @@ def test_turns_of_one_degree_a_second(spark):
     trig = [f(F.radians(c)) for c in ("b", "a") for f in (geo.sin_libm, geo.cos_libm)]
     got = spark.createDataFrame(rows, "a double, b double, d long").select((geo.signed_turn(*trig) / F.col("d")).alias("turn")).agg(F.count_if(F.abs("turn") > 1), F.count_if(F.abs("turn") == 1)).head()
     assert [tuple(got)] == want
+
+
+def test_ranks_of_rows_that_come_in_another_order_on_every_read(spark):
+    n = 300_000
+
+    def any_order(batches):
+        rows = pa.Table.from_batches(batches)
+        yield from rows.take(pa.array(np.random.permutation(rows.num_rows))).to_batches()
+
+    rows = spark.range(0, n, 1, 2).select(F.lit("k").alias("k"), "id", (F.col("id") * 7919 % n).cast("double").alias("v")).mapInArrow(any_order, "k string, id long, v double")
+    wrong = F.count_if((F.col("rank_i") != F.col("v")) | (F.col("rank_n") != n))
+    assert tuple(ranked(rows, ["k"], "v", "id").agg(F.count("*"), wrong).head()) == (n, 0)
